@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .mixing import OP3_SQL, op3_pfair_mix
+from .url_filter import OP4_SQL, op4_url_verdicts
 
 QUERIES = {
     "op3_pfair_mix": op3_pfair_mix,
+    "op4_url_verdicts": op4_url_verdicts,
 }
 ORACLE = {
     "op3_pfair_mix": OP3_SQL,
+    "op4_url_verdicts": OP4_SQL,
 }
