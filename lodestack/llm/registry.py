@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from .mixing import OP3_SQL, op3_pfair_mix
 from .url_filter import OP4_SQL, op4_url_verdicts
+from .warc import OP6_SQL, op6_warc_round_trip
 
 QUERIES = {
     "op3_pfair_mix": op3_pfair_mix,
     "op4_url_verdicts": op4_url_verdicts,
+    "op6_warc_round_trip": op6_warc_round_trip,
 }
 ORACLE = {
     "op3_pfair_mix": OP3_SQL,
     "op4_url_verdicts": OP4_SQL,
+    "op6_warc_round_trip": OP6_SQL,
 }
