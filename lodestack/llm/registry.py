@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .chat_format import op7_role_repair
+from .fingerprint import op9_piecewise_hash
 from .mixing import OP3_SQL, op3_pfair_mix
+from .secrets import op5_secret_spans
 from .url_filter import OP4_SQL, op4_url_verdicts
 from .warc import OP6_SQL, op6_warc_round_trip
 
 QUERIES = {
     "op3_pfair_mix": op3_pfair_mix,
     "op4_url_verdicts": op4_url_verdicts,
+    "op5_secret_spans": op5_secret_spans,
     "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_role_repair": op7_role_repair,
+    "op9_piecewise_hash": op9_piecewise_hash,
 }
 ORACLE = {
     "op3_pfair_mix": OP3_SQL,
