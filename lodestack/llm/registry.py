@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from .chat_format import op7_role_repair
 from .fingerprint import op9_piecewise_hash
+from .lm_score import op10_pseudo_likelihood
 from .mixing import OP3_SQL, op3_pfair_mix
+from .quality import op2_byte_cnn
 from .secrets import op5_secret_spans
 from .url_filter import OP4_SQL, op4_url_verdicts
 from .warc import OP6_SQL, op6_warc_round_trip
 
 QUERIES = {
+    "op2_byte_cnn": op2_byte_cnn,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_url_verdicts": op4_url_verdicts,
     "op5_secret_spans": op5_secret_spans,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_role_repair": op7_role_repair,
     "op9_piecewise_hash": op9_piecewise_hash,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 ORACLE = {
     "op3_pfair_mix": OP3_SQL,
