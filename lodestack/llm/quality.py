@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, read
 
@@ -188,7 +189,7 @@ def with_score(docs: DataFrame, net: dict, name: str) -> DataFrame:
             scores = [score((t.as_py() or "").encode(), net) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(work, docs.schema.add(name, "double"))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
