@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import op7_role_repair
+from .decontam import op1_decontaminate
 from .fingerprint import op9_piecewise_hash
 from .lm_score import op10_pseudo_likelihood
 from .mixing import OP3_SQL, op3_pfair_mix
@@ -12,6 +13,7 @@ from .url_filter import OP4_SQL, op4_url_verdicts
 from .warc import OP6_SQL, op6_warc_round_trip
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_byte_cnn": op2_byte_cnn,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_url_verdicts": op4_url_verdicts,
