@@ -7,6 +7,7 @@ from .decontam import op1_decontaminate
 from .fingerprint import op9_piecewise_hash
 from .lm_score import op10_pseudo_likelihood
 from .mixing import OP3_SQL, op3_pfair_mix
+from .near_dedup import op8_bbit_minhash
 from .quality import op2_byte_cnn
 from .secrets import op5_secret_spans
 from .url_filter import OP4_SQL, op4_url_verdicts
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secret_spans": op5_secret_spans,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_role_repair": op7_role_repair,
+    "op8_bbit_minhash": op8_bbit_minhash,
     "op9_piecewise_hash": op9_piecewise_hash,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
