@@ -63,7 +63,7 @@ def load_config(root: str) -> Config:
     try:
         with open(os.path.join(root, CONFIG_NAME), encoding="utf-8") as f:
             return parse_config(f.read())
-    except FileNotFoundError:
+    except (FileNotFoundError, NotADirectoryError):
         return Config()
 
 
