@@ -37,7 +37,7 @@ _NAME = re.compile(r"""(?:(["'])([A-Za-z_][\w.\-]*)\1|([A-Za-z_][\w.\-]*))[ \t]*
 _TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;{}()\[\]<>#+]+)""", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*\n?[ \t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_PLACEHOLDER = re.compile(r"^(?:[x*.\-_]+|\$\{.*\}|\$\w+|%\w+%|<.*>|\{\{.*\}\}|(?:example|sample|changeme|change_me|placeholder|your|dummy|test|todo|none|null|true|false|undefined|nil|env|os|process)\b.*)$", re.I | re.S)
+_PLACEHOLDER = re.compile(r"^(?:[x*.\-_]+|\$\{.*\}|\$\w+|%\w+%|<.*>|\{\{.*\}\}|(?:example|sample|changeme|change_me|placeholder|your|dummy|test|todo|none|null|true|false|undefined|nil|env|os|process)(?:[^A-Za-z0-9].*)?)$", re.I | re.S)
 
 
 class Span(NamedTuple):
