@@ -32,39 +32,65 @@ class Engine:
     """An index on disk, and the queries over it. Without an embedder searches are by keyword."""
 
     def __init__(self, spark: SparkSession, path: str, embedder=None):
-        self.spark, self.store, self.embedder = spark, store.Generations(spark, path), embedder
+        self.spark, self.store, self.embedder = spark, store.Store(spark, path), embedder
 
     def add(self, root: str, tag: str | None = None, exclude: list[str] | None = None) -> Stats:
-        """Index a folder or a file, or bring it up to date: changed files are read again, vanished ones leave."""
+        """Index a folder or a file, or bring it up to date: changed files are read again, vanished ones leave.
+
+        A file that can't be read is counted, and its last readable version stays.
+        """
         root = folder.canonical(root) if "://" not in root else root
         config = folder.load_config(root)
         tag, exclude = config.tag if tag is None else tag, [*config.exclude, *(exclude or [])]
-        old = self.store.read()
+        manifest = self.store.manifest()
+        old = self.store.read(manifest)
         source = self.spark.createDataFrame([(root, tag)], "path string, tag string").select(store.stable_id("path").alias("source_id"), "path", "tag", F.current_timestamp().alias("added_at"))
         source_id = source.select("source_id").first()[0]
         scanned = folder.scan(self.spark, root, exclude).withColumn("sha256", store.file_sha(F.col("content")))
-        fresh = store.changed(scanned, old["files"]).cache()
-        read = extract.extract_files(fresh).cache()
-        good = fresh.drop("content").join(read.where("error is null").select("path"), "path", "left_semi")
-        files = good.select(store.stable_id("path").alias("file_id"), F.lit(source_id).alias("source_id"), "path", "sha256", "size", "mtime")
-        chunks = chunking.chunk_files(read.where("error is null")).select(store.stable_id("path", "seq").alias("chunk_id"), store.stable_id("path").alias("file_id"), "seq", "page", "text").cache()
-        tables = dict(old)
-        tables["sources"] = store.upsert_sources(old["sources"], source)
-        tables = store.replace_files(tables, files, chunks)
-        tables = store.prune(tables, source_id, scanned)
+        fresh = store.changed(scanned, old["files"]).persist()
+        read = extract.extract_files(fresh).persist()
+        good = read.where("error is null")
+        files = fresh.drop("content").join(good.select("path"), "path", "left_semi").select(store.stable_id("path").alias("file_id"), F.lit(source_id).alias("source_id"), "path", "sha256", "size", "mtime")
+        chunks = chunking.chunk_files(good).select(store.stable_id("path", "seq").alias("chunk_id"), store.stable_id("path").alias("file_id"), "seq", "page", "text").persist()
+        seen = scanned.select("path")
+        gone = old["files"].where(F.col("source_id") == source_id).join(seen, "path", "left_anti").select("file_id")
+        dead = old["files"].join(files.select("file_id"), "file_id", "left_semi").select("file_id").unionByName(gone).persist()
+        of_file = chunks.select("chunk_id", "file_id")
+        added = {
+            "sources": store.upsert_sources(old["sources"], source),
+            "files": files,
+            "chunks": chunks,
+            "lengths": keyword.lengths(chunks).join(of_file, "chunk_id"),
+            "postings": keyword.postings(chunks).join(of_file, "chunk_id"),
+        }
         if self.embedder is not None:
-            tables = store.embed_missing(tables, embed.embedder_for(self.embedder), self.embedder.model)
-        self.store.write(tables)
-        failed = read.where("error is not null").count()
+            alive = old["chunks"].join(dead, "file_id", "left_anti").select("file_id", "chunk_id", "text")
+            missing = store.missing_embeddings(alive, old["embeddings"]).unionByName(chunks.select("file_id", "chunk_id", "text"))
+            added["embeddings"], added["embedding_cache"], added["meta"] = store.embed_missing(missing, old["embedding_cache"], old["meta"], embed.embedder_for(self.embedder), self.embedder.model)
+        failed, changed, total, n_chunks = read.where("error is not null").count(), fresh.count(), scanned.select("path").count(), chunks.count()
+        if changed > failed or not dead.isEmpty() or manifest["version"] == 0 or "embeddings" in added:
+            manifest = self.store.commit(added, dead, manifest)
+        else:
+            manifest = self.store.commit({"sources": added["sources"]}, None, manifest)
         marks = read.select(F.explode("sections").alias("s")).agg(F.count_if("s.scan_skipped").alias("a"), F.count_if("s.scan_failed").alias("b")).first()
-        total, changed = scanned.count(), fresh.count()
-        stats = Stats(changed - failed, total - changed, failed, chunks.count(), marks["a"], marks["b"])
-        for df in (fresh, read, chunks):
+        for df in (fresh, read, chunks, dead):
             df.unpersist()
-        return stats
+        if max(map(len, manifest["segments"].values())) > store.SEGMENTS:
+            self.store.compact()
+        return Stats(changed - failed, total - changed, failed, n_chunks, marks["a"], marks["b"])
 
     def remove(self, *roots: str) -> None:
-        self.store.write(store.remove_sources(self.store.read(), [folder.canonical(r) for r in roots]))
+        """Sources and all that came from their files leave; cached vectors stay.
+
+        Where no vectors are left, the pinned model goes too, so that another can be chosen.
+        """
+        manifest = self.store.manifest()
+        old, paths_ = self.store.read(manifest), [folder.canonical(r) if "://" not in r else r for r in roots]
+        gone = old["sources"].where(F.col("path").isin(paths_)).select("source_id")
+        dead = old["files"].join(gone, "source_id", "left_semi").select("file_id")
+        left = old["embeddings"].join(dead, "file_id", "left_anti").limit(1).agg(F.count("*").alias("_left"))
+        meta = old["meta"].crossJoin(F.broadcast(left)).where("key <> 'embed_model' or _left > 0").drop("_left")
+        self.store.commit({"sources": old["sources"].where(~F.col("path").isin(paths_)), "meta": meta}, dead, manifest)
 
     def sources(self) -> DataFrame:
         t = self.store.read()
@@ -79,21 +105,27 @@ class Engine:
         return tables["chunks"].join(files, "file_id").select("chunk_id", "path", "seq", "page", "text", "tag")
 
     def search(self, query: str, tag: str = "", limit: int | None = 10, answer: bool = False) -> DataFrame:
-        """The best hits (path, seq, page, snippet, text, score); for an answer, the nearest ones if none are relevant."""
+        """The best hits (path, seq, page, snippet, text, score); for an answer, the nearest ones if none are relevant.
+
+        Scores come from the stored postings of the query's terms; texts are
+        joined to the few hits only.
+        """
         limit = fusion.resolve_limit(limit, 6 if answer else 10, 20 if answer else 100)
         words = text.py_words(query)
         if not words:
             raise ValueError("empty query")
         tables = self.store.read()
         chunks = self._passages(tables)
-        tagged = chunks.where(F.col("tag") == tag) if tag else chunks
-        postings, lengths = keyword.postings(tables["chunks"]), keyword.lengths(tables["chunks"])
+        places = chunks.where(F.col("tag") == tag).drop("text") if tag else chunks.drop("text")
 
         def hits(scored: DataFrame, shown) -> DataFrame:
-            found = keyword.top(tagged.join(scored, "chunk_id"), limit, "path", "seq")
-            return found.select("path", "seq", "page", shown.alias("snippet"), "text", "score")
+            found = keyword.top(places.join(scored, "chunk_id"), limit, "path", "seq")
+            # At most `limit` rows: the texts are found by a broadcast of their ids.
+            with_text = tables["chunks"].select("chunk_id", "text").join(F.broadcast(found), "chunk_id")
+            return with_text.select("path", "seq", "page", shown.alias("snippet"), "text", "score").orderBy(F.desc("score"), "path", "seq")
 
         shown = passages.snippets(F.col("text"), query)
+        postings, lengths = tables["postings"], tables["lengths"]
         all_words = hits(keyword.bm25(postings, lengths, query), shown)
         any_word = hits(keyword.bm25(postings, lengths, query, any_word=True), shown) if len(words) > 1 else None
         vector, failed = None, False
@@ -104,9 +136,8 @@ class Engine:
             except OSError:
                 failed = True
             else:
-                vectors = tables["embeddings"].join(tagged.select("chunk_id"), "chunk_id", "left_semi")
-                best = top_vectors(vectors, q, limit, "chunk_id", "vector")
-                vector = hits(best, passages.excerpts(F.col("text"), words))
+                vectors = tables["embeddings"].join(places.select("chunk_id"), "chunk_id", "left_semi") if tag else tables["embeddings"]
+                vector = hits(top_vectors(vectors, q, limit, "chunk_id", "vector"), passages.excerpts(F.col("text"), words))
         return fusion.hybrid(all_words, any_word, vector, ["path", "seq"], limit, answer, failed)
 
     def chunk(self, path: str, seq: int, window: int = 1) -> DataFrame:

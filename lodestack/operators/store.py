@@ -105,27 +105,24 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
     return keyed.groupBy("sha").agg(F.min("chunk_id").alias("first"), F.count("*").alias("copies"), F.min("text").alias("text"))
 
 
-def embed_missing(tables: dict[str, DataFrame], embedder, model: str) -> dict[str, DataFrame]:
-    """The tables with a vector for every chunk. Cached texts aren't embedded again, and equal texts once.
+def embed_missing(missing: DataFrame, cache: DataFrame, meta: DataFrame, embedder, model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(embeddings, new cache rows, meta) for chunks (file_id, chunk_id, text) without a vector.
 
-    embedder: a function from (sha, text) rows to (sha, vector) rows. ValueError
-    if the index was made with another model.
+    embedder: a function from (sha, text) rows to (sha, vector) rows. Cached
+    texts aren't embedded again, and equal texts once. ValueError if the index
+    was made with another model.
     """
-    pinned = tables["meta"].where("key = 'embed_model'").select("value").first()
+    pinned = meta.where("key = 'embed_model'").select("value").first()
     if pinned and pinned[0] != model:
         raise ValueError(f"the index holds vectors of {pinned[0]}, not {model}")
-    spark = tables["meta"].sparkSession
-    missing = missing_embeddings(tables["chunks"], tables["embeddings"]).withColumn("sha", F.sha2("text", 256))
-    cache = tables["embedding_cache"].where(F.col("model") == model).select("sha", "vector")
-    wanted = missing.groupBy("sha").agg(F.min("text").alias("text")).join(cache.select("sha"), "sha", "left_anti")
-    made = embedder(wanted).select("sha", "vector")
-    known = cache.unionByName(made)
-    out = dict(tables)
-    out["embeddings"] = tables["embeddings"].unionByName(missing.join(known, "sha").select("chunk_id", "vector"))
-    out["embedding_cache"] = tables["embedding_cache"].unionByName(made.select("sha", F.lit(model).alias("model"), "vector"))
+    keyed = missing.withColumn("sha", F.sha2("text", 256))
+    known = cache.where(F.col("model") == model).select("sha", "vector")
+    wanted = keyed.groupBy("sha").agg(F.min("text").alias("text")).join(known.select("sha"), "sha", "left_anti")
+    made = embedder(wanted).select("sha", F.lit(model).alias("model"), "vector").persist()
+    vectors = keyed.join(known.unionByName(made.select("sha", "vector")), "sha").select("file_id", "chunk_id", "vector")
     if not pinned:
-        out["meta"] = tables["meta"].unionByName(spark.createDataFrame([("embed_model", model)], TABLES["meta"]))
-    return out
+        meta = meta.unionByName(meta.sparkSession.createDataFrame([("embed_model", model)], TABLES["meta"]))
+    return vectors, made, meta
 
 
 def context(chunks: DataFrame, path: str, seq: int, window: int = 1) -> DataFrame:
@@ -155,8 +152,32 @@ def owners(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return paths.join(best, "path", "left")
 
 
-class Generations:
-    """Tables on disk as numbered folders and a pointer; readers keep the generation they opened."""
+#: The stored tables: those of files carry file_id, so that a file's rows can be marked dead everywhere at once.
+STORED = {
+    "sources": TABLES["sources"],
+    "meta": TABLES["meta"],
+    "files": TABLES["files"],
+    "chunks": TABLES["chunks"],
+    "lengths": "file_id long, chunk_id long, dl long",
+    "postings": "file_id long, chunk_id long, pos int, term string",
+    "embeddings": "file_id long, chunk_id long, vector array<float>",
+    "embedding_cache": TABLES["embedding_cache"],
+}
+#: Small tables that a commit writes anew; the cache only grows; the others grow by segments and shrink by dead files.
+SMALL, BY_FILE = ("sources", "meta"), ("files", "chunks", "lengths", "postings", "embeddings")
+#: Segments of a table after which an index is compacted.
+SEGMENTS = 32
+
+
+class Store:
+    """The index on disk: immutable segments, marks of dead files, and a numbered log that names them.
+
+    A commit writes what is new as a segment, the ids of files whose earlier
+    rows are dead, and then the next file of the log, which must not exist yet:
+    readers keep the version they opened, a failed commit leaves no trace in
+    the log, and of two writers one gets an error. The cost of a commit follows
+    the change, not the index.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -164,29 +185,64 @@ class Generations:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])["generation"]
-
-    def read(self) -> dict[str, DataFrame]:
-        name = self.current()
-        if name is None:
-            return {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()}
-        return {t: self.spark.read.schema(s).parquet(f"{self.path}/{name}/{t}") for t, s in TABLES.items()}
-
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """A new generation with the tables; the pointer moves once all are written."""
-        name = f"gen-{uuid.uuid4().hex}"
-        for t in TABLES:
-            tables[t].select(*[c.split()[0] for c in TABLES[t].split(", ")]).write.parquet(f"{self.path}/{name}/{t}")
-        pending, at = self._path(f"{self.path}/.{name}"), self._path(f"{self.path}/CURRENT")
-        out = self._fs.create(pending)
-        out.write(bytearray(json.dumps({"generation": name}).encode()))
+    def manifest(self) -> dict:
+        """The newest version: number, (number, folder) of every table's segments and of the dead files."""
+        log = self._path(f"{self.path}/log")
+        names = [f.getPath().getName() for f in self._fs.listStatus(log)] if self._fs.exists(log) else []
+        names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        if not names:
+            return {"version": 0, "segments": {t: [] for t in STORED}, "dead": []}
+        return json.loads(self.spark.read.text(f"{self.path}/log/{max(names)}").first()[0])
+
+    def read(self, manifest: dict | None = None) -> dict[str, DataFrame]:
+        """The live rows of all tables."""
+        manifest = manifest or self.manifest()
+        return {t: self._table(t, manifest) for t in STORED}
+
+    def _table(self, table: str, manifest: dict) -> DataFrame:
+        segments = manifest["segments"][table]
+        if not segments:
+            return self.spark.createDataFrame([], STORED[table])
+        newest_dead = max((n for n, _ in manifest["dead"]), default=0)
+        read = lambda at: self.spark.read.schema(STORED[table]).parquet(f"{self.path}/{at}")
+        if table not in BY_FILE or newest_dead <= min(n for n, _ in segments):
+            return self.spark.read.schema(STORED[table]).parquet(*[f"{self.path}/{at}" for _, at in segments])
+        rows = None
+        for n, at in segments:
+            part = read(at).withColumn("_segment", F.lit(n))
+            rows = part if rows is None else rows.unionByName(part)
+        dead = None
+        for n, at in manifest["dead"]:
+            part = self.spark.read.schema("file_id long").parquet(f"{self.path}/{at}").select(F.col("file_id").alias("_dead"), F.lit(n).alias("_until"))
+            dead = part if dead is None else dead.unionByName(part)
+        dead = dead.groupBy("_dead").agg(F.max("_until").alias("_until"))
+        return rows.join(dead, (F.col("file_id") == F.col("_dead")) & (F.col("_segment") < F.col("_until")), "left_anti").drop("_segment")
+
+    def commit(self, added: dict[str, DataFrame], dead: DataFrame | None = None, based_on: dict | None = None, afresh: bool = False) -> dict:
+        """The next version: small tables replaced by those in added, others grown by them, files in dead (file_id) gone from earlier segments.
+
+        afresh: added holds all rows there are, and earlier segments are let go.
+        """
+        old = based_on or self.manifest()
+        n, folder = old["version"] + 1, f"data/{old['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
+        segments = {t: ([] if afresh else list(old["segments"][t])) for t in STORED}
+        for t, df in added.items():
+            rows = df.select(*[c.split()[0] for c in STORED[t].split(", ")])
+            if t == "postings":  # a query's terms are in few row groups
+                rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id", "pos")
+            rows.write.parquet(f"{self.path}/{folder}/{t}")
+            segments[t] = [*([] if t in SMALL else segments[t]), [n, f"{folder}/{t}"]]
+        marks = [] if afresh else list(old["dead"])
+        if dead is not None:
+            dead.select("file_id").distinct().write.parquet(f"{self.path}/{folder}/dead")
+            marks.append([n, f"{folder}/dead"])
+        manifest = {"version": n, "segments": segments, "dead": marks}
+        out = self._fs.create(self._path(f"{self.path}/log/{n:08d}.json"), False)
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(pending, at):
-            raise OSError("the pointer can't be moved")
-        return name
+        return manifest
+
+    def compact(self) -> dict:
+        """One segment a table, without dead rows. Folders that no version of the log needs may then be deleted."""
+        manifest = self.manifest()
+        return self.commit(self.read(manifest), based_on=manifest, afresh=True)
