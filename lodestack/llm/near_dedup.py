@@ -10,9 +10,11 @@ drops the hopeless ones. What is left is confirmed on the full shingle sets.
 
 Buckets are never expanded into all their pairs while that can be avoided.
 Twice, each bucket compares its members with one member only, and what is
-linked becomes a component; after that, pairs are made only between different
-components that still share a bucket. A group of thousands of near copies so
-costs a few comparisons a member, and no link between components is lost.
+linked becomes a component; after that, documents are compared only with other
+components that still share a bucket with them, in blocks, and each is looked
+up in an index of the other component's full shingle sets. A group of thousands
+of near copies so costs a few comparisons a member, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ WORDS, PERCENT = 5, 80
 MARGIN = 0.17
 _ODD = (np.random.default_rng(5).integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _BAND = np.random.default_rng(6).integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-#: Shingles that are hashed at a time.
-STEP = 512
+#: Shingles that are hashed at a time; members of a bucket or component that one task compares at a time.
+STEP, BLOCK = 512, 2048
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, planes array<long>"
 
 
@@ -135,6 +137,107 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.mapInArrow(work, "a long, b long")
 
 
+def _grouped(batches, keys: int):
+    """(key values, rows as one table) of consecutive rows with equal first columns, from sorted batches."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(i)) for i in range(keys)]
+        changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for at, end in zip([0, *changes.tolist()], [*changes.tolist(), batch.num_rows], strict=True):
+            key = tuple(int(c[at]) for c in columns)
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def contenders(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, rival): documents that share a bucket with a document of another component that may be similar enough.
+
+    members: (key, doc_id, label). In each bucket the documents outside its
+    most frequent component are compared with all the others. A bucket is dealt
+    over blocks of about BLOCK members; only the documents outside the most
+    frequent component go to all of its blocks.
+    """
+    by_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = by_label.groupBy("key").agg(F.sum("n").alias("total"), F.max_by("label", F.struct("n", "label")).alias("major"))
+    rows = members.join(sizes, "key").withColumn("blocks", F.expr(f"cast(total div {BLOCK} + 1 as int)")).join(planes, "doc_id")
+    every = F.when(F.col("label") != F.col("major"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("asks")))).otherwise(F.expr("cast(array() as array<struct<block: int, asks: int>>)"))
+    own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks")))
+    dealt = rows.select("key", F.explode(F.concat(own, every)).alias("to"), "doc_id", "label", "major", "n_shingles", "planes")
+    dealt = dealt.select("key", "to.block", "to.asks", "doc_id", "label", "major", "n_shingles", "planes").repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    least, half = percent / 100 - MARGIN, HASHES // 64
+
+    def work(batches):
+        for _, rows in _grouped(batches, 2):
+            asks, ids, labels, major, n = (rows.column(c).to_numpy() for c in ("asks", "doc_id", "label", "major", "n_shingles"))
+            bits = np.asarray(rows.column("planes").combine_chunks().flatten()).reshape(len(ids), -1).view(np.uint64)
+            local, asking = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+            found = []
+            for at in range(0, len(asking), 256):
+                some = asking[at : at + 256]
+                differ = np.zeros((len(some), len(local)), np.uint16)
+                for i in range(half):
+                    differ += np.bitwise_count((bits[some, i, None] ^ bits[local, i]) | (bits[some, half + i, None] ^ bits[local, half + i]))
+                chance = 2.0**-BITS
+                near = (1 - differ / HASHES - chance) / (1 - chance) >= least
+                a, b = n[some, None], n[local]
+                near &= (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (labels[some, None] != labels[local])
+                # Of two components outside the most frequent one, the lower asks.
+                near &= (labels[local] == major[local]) | (labels[some, None] < labels[local])
+                x, y = np.nonzero(near)
+                found.append(np.stack([ids[some[x]], labels[local[y]]]))
+            if found:
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                if pairs.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["doc_id", "rival"])
+
+    return dealt.mapInArrow(work, "doc_id long, rival long").distinct()
+
+
+def first_links(asked: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): for every (doc_id, rival) a link to some document of that component, if there is any.
+
+    labels: (doc_id, label) of all nodes. The full shingle sets of a component's
+    documents are indexed by shingle, and the sizes of their intersections with
+    an asking document's set are counted. A component is dealt over blocks of
+    about BLOCK documents, and who asks goes to each of them.
+    """
+    sizes = labels.groupBy(F.col("label").alias("rival")).agg(F.expr(f"cast(count(*) div {BLOCK} + 1 as int)").alias("blocks")).join(asked.select("rival").distinct(), "rival", "left_semi")
+    there = labels.withColumnRenamed("label", "rival").join(sizes, "rival").select("rival", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "doc_id")
+    ask = asked.join(sizes, "rival").select("rival", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "doc_id")
+    rows = there.unionByName(ask).join(texts, "doc_id").select("rival", "block", "asks", "doc_id", "text").repartition("rival", "block").sortWithinPartitions("rival", "block", "asks")
+
+    def work(batches):
+        for _, rows in _grouped(batches, 2):
+            index: dict[tuple, list[int]] = {}
+            ids, sizes, out = [], [], []
+            for asks, doc_id, text in zip(rows.column("asks").to_pylist(), rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
+                own = shingle_set(text.as_py(), k)
+                if not asks:
+                    for g in own:
+                        index.setdefault(g, []).append(len(ids))
+                    ids.append(doc_id)
+                    sizes.append(len(own))
+                    continue
+                hits = [index[g] for g in own if g in index]
+                if hits:
+                    common = np.bincount(np.concatenate([np.asarray(h) for h in hits]), minlength=len(ids))
+                    linked = np.flatnonzero(100 * common >= percent * (len(own) + np.asarray(sizes) - common))
+                    if len(linked):
+                        out.append((doc_id, ids[int(linked[0])]))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(work, "a long, b long")
+
+
 def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -178,13 +281,10 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     top = open_.where("doc_id = high").select("key", F.col("label").alias("_top")).distinct()
     pairs = open_.join(top, "key").where("label <> _top").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct()
     links = cut(links.union(confirmed(likely(pairs), near, k, percent)))
-    _, open_ = labelled(links)
-    side = open_.join(planes, "doc_id")
-    one = side.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("planes").alias("pa"))
-    two = side.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("planes").alias("pb"))
-    alike = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (similarity(F.col("pa"), F.col("pb")) >= least)
-    rest = one.join(two, (one["key"] == two["key"]) & alike).select("a", "b").distinct()
-    links = cut(links.union(confirmed(rest, near, k, percent)))
+    labels, open_ = labelled(links)
+    asked = cut(contenders(open_.select("key", "doc_id", "label"), planes, percent))
+    of_node = nodes.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"))
+    links = cut(links.union(first_links(asked, of_node, near, k, percent)))
     labels = components(links)
     heads_of = classes.join(labels.select(F.col("node").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("_component"))
     out = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(heads_of, "digest", "left")
