@@ -140,3 +140,12 @@ def highlighted(c: Column, words: list[str], before: str = "<mark>", after: str
         return c
     pattern = "(?i)(" + "|".join(re.escape(w) for w in words) + ")"
     return F.regexp_replace(c, pattern, before + "$1" + after)
+
+
+def progress_line(phase: Column, done: Column, total: Column, unit: str, width: int = 10) -> Column:
+    """One line for a pass: phase, bar, percent, counts; just the phase while the total isn't known."""
+    pct = F.floor(done * 100 / total)
+    filled = F.least(F.floor(pct * width / 100), F.lit(width)).cast("int")
+    bar = F.concat(F.lit("["), F.repeat(F.lit("#"), filled), F.repeat(F.lit("·"), width - filled), F.lit("]"))
+    line = F.format_string(f"%-10s %s %3d%% · %s/%s {unit}", phase, bar, pct, short_count(done), short_count(total))
+    return F.when(total > 0, line).otherwise(F.concat(phase, F.lit("…")))

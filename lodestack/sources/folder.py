@@ -99,3 +99,9 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, conte
     start = F.locate(at, F.col("path"))
     out = out.withColumn("rel", F.substr("path", start + len(at)))
     return out.where(paths.eligible(F.col("rel"), exclude or []))
+
+
+def browse(path: str) -> list[tuple[str, bool]]:
+    """(name, is a folder) of what can be added in a folder: folders and readable files without hidden ones, by name in any case."""
+    found = [(e.name, e.is_dir()) for e in os.scandir(path) if not e.name.startswith(".")]
+    return sorted((x for x in found if x[1] or os.path.splitext(x[0])[1].lower() in paths.FORMATS), key=lambda x: x[0].lower())
