@@ -12,8 +12,11 @@ from .functions import chunking, embed, passages, text
 from .functions.vectors import top_vectors
 from .operators import fusion, keyword, store
 from .sources import extract, folder
+from .streaming import watch
 
 HIT = ("path", "seq", "page", "snippet", "text", "score")
+#: Written files of one batch of changes that are indexed by themselves; with more the whole root is brought up to date.
+MOST_FILES = 1000
 
 
 @dataclass(frozen=True)
@@ -39,21 +42,51 @@ class Engine:
 
         A file that can't be read is counted, and its last readable version stays.
         """
-        root = folder.canonical(root) if "://" not in root else root
-        config = folder.load_config(root)
-        tag, exclude = config.tag if tag is None else tag, [*config.exclude, *(exclude or [])]
+        root, tag, exclude = self._settings(root, tag, exclude)
+        return self._index(root, tag, folder.scan(self.spark, root, exclude), True)
+
+    def add_files(self, root: str, files: list[str], tag: str | None = None, exclude: list[str] | None = None) -> Stats:
+        """Index some files of a root again; no other file is read."""
+        root, tag, exclude = self._settings(root, tag, exclude)
+        return self._index(root, tag, folder.scan_files(self.spark, root, files, exclude), False)
+
+    def watch(self, root: str, checkpoint: str, tag: str | None = None, exclude: list[str] | None = None, interval: str = "1 second"):
+        """A running query that keeps a root fresh. Written files are indexed by themselves; anything else brings the root up to date."""
+        base, _, patterns = self._settings(root, tag, exclude)
+
+        def take(changes: DataFrame) -> None:
+            rel = F.substr("path", F.lit(len(base) + 2))
+            job = watch.route(F.col("op"), F.lit(False), text.base_name(F.col("path")) == folder.CONFIG_NAME, F.col("path"), rel, patterns)
+            jobs = changes.select(job.alias("job"), "path").where("job is not null").distinct()
+            if jobs.where("job = 'reconcile'").isEmpty():
+                written = [r["path"] for r in jobs.limit(MOST_FILES + 1).collect()]
+                if not written:
+                    return
+                if len(written) <= MOST_FILES:
+                    self.add_files(root, written, tag, exclude)
+                    return
+            self.add(root, tag, exclude)
+
+        return watch.keep_fresh(self.spark, base, checkpoint, take, interval)
+
+    def _settings(self, root: str, tag: str | None, exclude: list[str] | None) -> tuple[str, str, list[str]]:
+        root = folder.canonical(root) if "://" not in root else root.rstrip("/")
+        config = folder.load_config(root) if "://" not in root else folder.Config()
+        return root, config.tag if tag is None else tag, [*config.exclude, *(exclude or [])]
+
+    def _index(self, root: str, tag: str, scanned: DataFrame, whole: bool) -> Stats:
         manifest = self.store.manifest()
         old = self.store.read(manifest)
         source = self.spark.createDataFrame([(root, tag)], "path string, tag string").select(store.stable_id("path").alias("source_id"), "path", "tag", F.current_timestamp().alias("added_at"))
         source_id = source.select("source_id").first()[0]
-        scanned = folder.scan(self.spark, root, exclude).withColumn("sha256", store.file_sha(F.col("content")))
+        scanned = scanned.withColumn("sha256", store.file_sha(F.col("content")))
         fresh = store.changed(scanned, old["files"]).persist()
         read = extract.extract_files(fresh).persist()
         good = read.where("error is null")
         files = fresh.drop("content").join(good.select("path"), "path", "left_semi").select(store.stable_id("path").alias("file_id"), F.lit(source_id).alias("source_id"), "path", "sha256", "size", "mtime")
         chunks = chunking.chunk_files(good).select(store.stable_id("path", "seq").alias("chunk_id"), store.stable_id("path").alias("file_id"), "seq", "page", "text").persist()
         seen = scanned.select("path")
-        gone = old["files"].where(F.col("source_id") == source_id).join(seen, "path", "left_anti").select("file_id")
+        gone = old["files"].where((F.col("source_id") == source_id) & F.lit(whole)).join(seen, "path", "left_anti").select("file_id")
         dead = old["files"].join(files.select("file_id"), "file_id", "left_semi").select("file_id").unionByName(gone).persist()
         of_file = chunks.select("chunk_id", "file_id")
         added = {

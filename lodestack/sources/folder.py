@@ -101,6 +101,19 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, conte
     return out.where(paths.eligible(F.col("rel"), exclude or []))
 
 
+def scan_files(spark: SparkSession, root: str, files: list[str], exclude: list[str] | None = None) -> DataFrame:
+    """scan() of a folder for some of its files; files that aren't there any more are left out."""
+    at = root.rstrip("/") + "/"
+    there = [f for f in files if "://" in f or os.path.isfile(f)]
+    if not there:
+        return spark.createDataFrame([], "path string, size long, mtime long, content binary, rel string")
+    rows = spark.read.format("binaryFile").load(there)
+    path = F.regexp_replace("path", r"^file:/+", "/")
+    out = rows.select(path.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
+    out = out.withColumn("rel", F.substr("path", F.locate(at, F.col("path")) + len(at)))
+    return out.where(paths.eligible(F.col("rel"), exclude or []))
+
+
 def browse(path: str) -> list[tuple[str, bool]]:
     """(name, is a folder) of what can be added in a folder: folders and readable files without hidden ones, by name in any case."""
     found = [(e.name, e.is_dir()) for e in os.scandir(path) if not e.name.startswith(".")]

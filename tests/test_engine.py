@@ -1,6 +1,7 @@
 """The engine end to end over folders, and the store's changes."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,52 @@ def test_single_files(spark, tmp_path):
         engine.add(str(tmp_path / "b.jpg"))
 
 
+def test_watching(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "a.md").write_text("apples")
+    engine = Engine(spark, str(tmp_path / "index"))
+    query = engine.watch(str(root), str(tmp_path / "checkpoint"), "t", interval="200 milliseconds")
+
+    def wait(word, n):
+        end = time.time() + 60
+        while time.time() < end:
+            if engine.store.manifest()["version"] and engine.search(word).count() == n:
+                return
+            time.sleep(0.5)
+        raise AssertionError(f"{word}: not {n}")
+
+    try:
+        wait("apples", 1)
+        (root / "b.txt").write_text("pears")
+        wait("pears", 1)
+        (root / "a.md").write_text("plums")
+        wait("plums", 1)
+        wait("apples", 0)
+        (root / "b.txt").unlink()
+        wait("pears", 0)
+    finally:
+        query.stop()
+
+
+def test_segments_and_compaction(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    (tmp_path / "d").mkdir()
+    for n in range(3):
+        (tmp_path / "d/a.txt").write_text(f"version {n} words")
+        engine.add(str(tmp_path / "d"))
+    manifest = engine.store.manifest()
+    assert len(manifest["segments"]["chunks"]) == 3
+    before = [tuple(r) for r in engine.search("words").collect()]
+    assert [r[4] for r in before] == ["version 2 words"]
+    engine.store.compact()
+    assert len(engine.store.manifest()["segments"]["chunks"]) == 1
+    assert [tuple(r) for r in engine.search("words").collect()] == before
+    assert engine.store.read(manifest)["chunks"].count() == 1  # an opened version stays readable
+    with pytest.raises(Exception, match="exist"):
+        engine.store.commit({}, based_on=manifest)
+
+
 @pytest.mark.parametrize(("limit", "want"), [(None, 10), (0, 10), (-1, 10), (101, 10), (100, 100), (3, 3)])
 def test_limits(limit, want):
     assert fusion.resolve_limit(limit, 10, 100) == want
