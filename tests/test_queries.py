@@ -32,3 +32,58 @@ def test_unchecked_queries_have_whole_tables(spark):
     assert catalogue.QUERIES["chunk_documents"](spark, SF).select("doc_id").distinct().count() == docs.count()
     pages = spark.read.parquet(f"{SF}/pages.parquet").count()
     assert catalogue.QUERIES["html_sections"](spark, SF).select("page_id").distinct().count() == pages
+
+
+def test_excerpts_by_a_plain_search(spark):
+    """Every excerpt is a piece of its text around the first word that occurs, by plain string search."""
+    from lodestack.functions import passages
+
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    words = catalogue.OR.split()
+    for r in catalogue.QUERIES["excerpt"](spark, SF).collect():
+        text, shown = texts[r["doc_id"]], r["excerpt"]
+        inner = shown.removeprefix("…").removesuffix("…")
+        assert inner in text
+        assert len(inner.encode()) <= passages.EXCERPT
+        places = [p for w in words if (p := text.lower().find(w)) >= 0]
+        first = min(places, default=-1)
+        if first <= 0:
+            assert text.startswith(inner)
+        else:
+            begin = len(text[: text.find(inner)].encode())
+            at = len(text[:first].encode())
+            assert at - passages.EXCERPT // 3 - 4 <= begin or text.count(inner) > 1
+            assert any(inner.lower().find(w) >= 0 for w in words)
+
+
+def test_page_sections_by_tags(spark):
+    """No script, style or head text is left, and there is a section for each heading that has text."""
+    import re
+
+    pages = dict(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect())
+    seen = {}
+    for r in catalogue.QUERIES["html_sections"](spark, SF).collect():
+        assert "track(" not in r["text"]
+        assert "margin:0" not in r["text"]
+        assert r["page"] == 0
+        seen.setdefault(r["page_id"], []).append(r["section"])
+    for i, html in pages.items():
+        heads = len(re.findall(r"<h[1-6]\b", html))
+        assert seen[i] == list(range(len(seen[i])))
+        assert heads <= len(seen[i]) <= heads + 1
+
+
+def test_chunks_by_parts(spark):
+    """Chunks of the query are those of the rules, document by document."""
+    from lodestack.functions import chunking, text
+
+    docs = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    got = {}
+    for r in catalogue.QUERIES["chunk_documents"](spark, SF).orderBy("doc_id", "seq").collect():
+        got.setdefault(r["doc_id"], []).append((r["seq"], r["page"], r["text"]))
+    for i, t in docs.items():
+        body = t.strip(text.PY_SPACE)
+        if len(body.encode()) <= chunking.BUDGET:
+            assert got[i] == [(0, 0, body)]
+        assert all(len(c[2].encode()) <= chunking.BUDGET for c in got[i])
+        assert [c[0] for c in got[i]] == list(range(len(got[i])))
