@@ -46,15 +46,21 @@ def fold_tables() -> tuple[str, str]:
     return "".join(marked), "".join(plain)
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def fold(c: Column) -> Column:
     """Lower case without diacritics: the form in which terms are indexed and looked up."""
     marked, plain = fold_tables()
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}", ""), marked, plain)
+    low = F.lower(c)
+    return F.when(is_ascii(low), low).otherwise(F.translate(F.regexp_replace(low, r"\p{Mn}", ""), marked, plain))
 
 
 def terms(c: Column) -> Column:
-    """The index terms of a text, in order."""
-    return F.regexp_extract_all(fold(c), F.lit(f"({TERM})"), F.lit(1))
+    """The index terms of a text, in order. Plain ASCII, the common case, has simpler rules to the same end."""
+    low = F.lower(c)
+    return F.when(is_ascii(low), F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))).otherwise(F.regexp_extract_all(fold(c), F.lit(f"({TERM})"), F.lit(1)))
 
 
 _MARKS, _TERM = regex.compile(r"\p{Mn}+"), regex.compile(TERM)

@@ -85,6 +85,39 @@ def bm25(postings: DataFrame, lengths: DataFrame, query: str, any_word: bool = F
     return (scored if any_word else scored.where(F.col("_phrases") == len(wanted))).select(key, "score")
 
 
+def bm25_scan(chunks: DataFrame, query: str, any_word: bool = False, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """bm25() without an index: (key, score) from the texts themselves, in one scan.
+
+    Each text is reduced to its length and its phrases' counts; these narrow
+    rows are dealt out once, and both the statistics, one row, and the scores
+    are taken from them, so that no text is read twice.
+    """
+    wanted = phrases(query)
+    if not wanted:
+        return chunks.select(key, F.lit(0.0).alias("score")).where("false")
+
+    def count(phrase: tuple[str, ...]):
+        def here(t, i):
+            found = t == phrase[0]
+            for n, other in enumerate(phrase[1:], 1):
+                found = found & (F.get("_ts", i + n) == other)
+            return found
+
+        return F.size(F.filter("_ts", here))
+
+    rows = chunks.select(key, terms(F.coalesce(text, F.lit(""))).alias("_ts"))
+    narrow = rows.select(key, F.size("_ts").cast("long").alias("dl"), *[count(p).alias(f"_tf{n}") for n, p in enumerate(wanted)]).repartition(key)
+    stats = narrow.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"), *[F.count_if(F.col(f"_tf{n}") > 0).alias(f"_df{n}") for n in range(len(wanted))])
+    score, present = F.lit(0.0), []
+    for n, weight in enumerate(wanted.values()):
+        tf, df = F.col(f"_tf{n}"), F.col(f"_df{n}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        score = score + weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        present.append((tf > 0).cast("int"))
+    least = 1 if any_word else len(wanted)
+    return narrow.where(sum(present[1:], present[0]) >= least).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
+
+
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     """The k best rows by score, then by the given columns."""
     return scored.orderBy(F.desc("score"), *ties).limit(k)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import chunking, models, passages, paths, text, vectors
+from ..functions.partition import spread
 from ..operators import fusion, keyword, store
 from ..sources import extract
 from ..streaming import watch
@@ -29,9 +30,14 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def heavy(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A table for work that is heavy by the row."""
+    return spread(read(spark, sf, table))
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """documents as files."""
-    return read(spark, sf, "documents").select("doc_id", F.format_string("/%s/%d.txt", "source", "doc_id").alias("path"), F.concat(F.lit("/"), "source").alias("root"), F.col("lang").alias("tag"), F.col("source"), "text", "n_chars")
+    return heavy(spark, sf, "documents").select("doc_id", F.format_string("/%s/%d.txt", "source", "doc_id").alias("path"), F.concat(F.lit("/"), "source").alias("root"), F.col("lang").alias("tag"), F.col("source"), "text", "n_chars")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +47,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def clean_text(spark, sf):
     cleaned = text.strip_junk(text.trim_space(F.col("text")))
-    return read(spark, sf, "documents").select("doc_id", cleaned.alias("text")).where("text <> ''")
+    return heavy(spark, sf, "documents").select("doc_id", cleaned.alias("text")).where("text <> ''")
 
 
 def format_dispatch(spark, sf):
@@ -62,7 +68,7 @@ def path_exclude(spark, sf):
 def with_headings(spark, sf) -> DataFrame:
     """documents as markdown: lines of at most four words become headings, '###'-marked words open fences."""
     marked = F.regexp_replace("text", r"(?m)^(\S+(?: \S+){0,3})$", "## $1")
-    return read(spark, sf, "documents").select("doc_id", F.regexp_replace(marked, r"(?m)^(\S+\*\*\* )", "```$1").alias("text"))
+    return heavy(spark, sf, "documents").select("doc_id", F.regexp_replace(marked, r"(?m)^(\S+\*\*\* )", "```$1").alias("text"))
 
 
 def markdown_sections(spark, sf):
@@ -70,20 +76,20 @@ def markdown_sections(spark, sf):
 
 
 def html_sections(spark, sf):
-    pages = read(spark, sf, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
+    pages = heavy(spark, sf, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
     found = extract.extract_files(pages, "page_id", "content", "name")
     return found.select("page_id", F.posexplode("sections").alias("section", "s")).select("page_id", "section", F.col("s.text").alias("text"), F.col("s.page").alias("page"))
 
 
 def chunk_documents(spark, sf):
     section = F.struct(text.strip_junk(text.trim_space(F.coalesce("text", F.lit("")))).alias("text"), F.lit(0).alias("page"))
-    return chunking.chunk_files(read(spark, sf, "documents").select("doc_id", F.array(section).alias("sections")), "doc_id")
+    return chunking.chunk_files(heavy(spark, sf, "documents").select("doc_id", F.array(section).alias("sections")), "doc_id")
 
 
 def _bm25(query: str, any_word: bool = False, tag: str = ""):
     def run(spark, sf):
         docs = files(spark, sf)
-        scored = keyword.bm25(keyword.postings(docs, "doc_id"), keyword.lengths(docs, "doc_id"), query, any_word, "doc_id")
+        scored = keyword.bm25_scan(docs, query, any_word, "doc_id")
         shown = docs.select("doc_id", "path", "tag").where(F.col("tag") == tag) if tag else docs.select("doc_id", "path", "tag")
         found = keyword.top(shown.join(scored, "doc_id"), K, "doc_id")
         return found.select("doc_id", text.citation(F.col("path"), F.lit(0), F.lit(0)).alias("cite"), F.round("score", 6).alias("score"))
@@ -92,12 +98,12 @@ def _bm25(query: str, any_word: bool = False, tag: str = ""):
 
 
 def corpus_stats(spark, sf):
-    found = keyword.corpus_stats(keyword.lengths(read(spark, sf, "documents"), "doc_id"))
+    found = keyword.corpus_stats(keyword.lengths(heavy(spark, sf, "documents"), "doc_id"))
     return found.select("n", "total", F.round("avgdl", 6).alias("avgdl"))
 
 
 def term_df(spark, sf):
-    return keyword.term_df(keyword.postings(read(spark, sf, "documents"), "doc_id"), "doc_id")
+    return keyword.term_df(keyword.postings(heavy(spark, sf, "documents"), "doc_id"), "doc_id")
 
 
 def _query_vector(spark, sf) -> list[float]:
@@ -124,13 +130,12 @@ def relevance_floor(spark, sf):
 def _legs(spark, sf, query: str):
     """(keyword hits, hits of any word, nearest vectors), each truncated, as (path, seq, doc_id, score)."""
     docs = files(spark, sf)
-    p, n = keyword.postings(docs, "doc_id"), keyword.lengths(docs, "doc_id")
 
     def hits(scored):
         return keyword.top(docs.select("doc_id", "path").join(scored, "doc_id"), K, "path").select("path", F.lit(0).alias("seq"), "doc_id", "score")
 
     near = vectors.top_vectors(read(spark, sf, "embeddings"), _query_vector(spark, sf), K).withColumnRenamed("vec_id", "doc_id")
-    return hits(keyword.bm25(p, n, query, False, "doc_id")), hits(keyword.bm25(p, n, query, True, "doc_id")), hits(near)
+    return hits(keyword.bm25_scan(docs, query, False, "doc_id")), hits(keyword.bm25_scan(docs, query, True, "doc_id")), hits(near)
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -254,11 +259,11 @@ def mean_pool_label(spark, sf):
 
 
 def excerpt(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", passages.excerpts(F.col("text"), text.py_words(OR)).alias("excerpt"))
+    return heavy(spark, sf, "documents").select("doc_id", passages.excerpts(F.col("text"), text.py_words(OR)).alias("excerpt"))
 
 
 def fts_snippet(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", passages.snippets(F.col("text"), OR).alias("snippet"))
+    return heavy(spark, sf, "documents").select("doc_id", passages.snippets(F.col("text"), OR).alias("snippet"))
 
 
 def citations(spark, sf):
