@@ -58,7 +58,7 @@ def matches(postings: DataFrame, wanted: dict[tuple[str, ...], int], key: str =
     rows = [(n, i, t, len(p)) for n, p in enumerate(wanted) for i, t in enumerate(p)]
     # As many rows as the query has terms.
     table = F.broadcast(spark.createDataFrame(rows, "phrase int, i int, term string, size int"))
-    found = postings.where(F.col("term").isin(sorted({t for _, _, t, _ in rows}))).join(table, "term")
+    found = postings.where(F.col("term").isin(sorted({t for _, _, t, _ in rows})) & F.col(key).isNotNull()).join(table, "term")
     if all(size == 1 for *_, size in rows):
         return found.groupBy("phrase", key).agg(F.count("*").alias("tf"))
     votes = found.groupBy("phrase", key, (F.col("pos") - F.col("i")).alias("at"), "size").agg(F.count_distinct("i").alias("votes"))
@@ -75,7 +75,8 @@ def bm25(postings: DataFrame, lengths: DataFrame, query: str, any_word: bool = F
     if not wanted:
         return lengths.select(key, F.lit(0.0).alias("score")).where("false")
     found = matches(postings, wanted, key)
-    df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+    # Counting tf keeps both uses of the matches alike, so that their shuffle is reused.
+    df = found.groupBy("phrase").agg(F.count("tf").alias("df"))
     stats = corpus_stats(lengths)
     weight = F.create_map(*[F.lit(x) for n, w in enumerate(wanted.values()) for x in (n, w)])
     # One row a phrase, one row of statistics.
