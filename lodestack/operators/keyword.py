@@ -91,32 +91,39 @@ def bm25_scan(chunks: DataFrame, query: str, any_word: bool = False, key: str =
 
     Each text is reduced to its length and its phrases' counts; these narrow
     rows are dealt out once, and both the statistics, one row, and the scores
-    are taken from them, so that no text is read twice.
+    are taken from them, so that no text is read twice. Rows without a key
+    aren't chunks.
     """
     wanted = phrases(query)
     if not wanted:
         return chunks.select(key, F.lit(0.0).alias("score")).where("false")
 
-    def count(phrase: tuple[str, ...]):
+    def count(ts, phrase: tuple[str, ...]):
         def here(t, i):
             found = t == phrase[0]
             for n, other in enumerate(phrase[1:], 1):
-                found = found & (F.get("_ts", i + n) == other)
+                found = found & (F.get(ts, i + n) == other)
             return found
 
-        return F.size(F.filter("_ts", here))
+        return F.size(F.filter(ts, here))
 
-    rows = chunks.select(key, terms(F.coalesce(text, F.lit(""))).alias("_ts"))
-    narrow = rows.select(key, F.size("_ts").cast("long").alias("dl"), *[count(p).alias(f"_tf{n}") for n, p in enumerate(wanted)]).repartition(key)
+    def counted(ts):
+        return F.struct(F.size(ts).cast("long").alias("dl"), *[count(ts, p).alias(f"tf{n}") for n, p in enumerate(wanted)])
+
+    # The terms are bound to a variable, so that a text is split once for all of its counts.
+    rows = chunks.where(F.col(key).isNotNull()).select(key, F.transform(F.array(terms(F.coalesce(text, F.lit("")))), counted)[0].alias("_r"))
+    narrow = rows.select(key, F.col("_r.dl").alias("dl"), *[F.col(f"_r.tf{n}").alias(f"_tf{n}") for n in range(len(wanted))]).repartition(key)
     stats = narrow.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"), *[F.count_if(F.col(f"_tf{n}") > 0).alias(f"_df{n}") for n in range(len(wanted))])
-    score, present = F.lit(0.0), []
+    score, present = F.lit(0.0), F.lit(0)
     for n, weight in enumerate(wanted.values()):
         tf, df = F.col(f"_tf{n}"), F.col(f"_df{n}")
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
         score = score + weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        present.append((tf > 0).cast("int"))
-    least = 1 if any_word else len(wanted)
-    return narrow.where(sum(present[1:], present[0]) >= least).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
+        present = present + (tf > 0).cast("int")
+    # Scores of matches are above 0. The condition is on the score, not on the counts: pushed
+    # below the join it would make two different inputs of one.
+    score = F.when(present >= (1 if any_word else len(wanted)), score).otherwise(0.0)
+    return narrow.crossJoin(F.broadcast(stats)).select(key, score.alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
