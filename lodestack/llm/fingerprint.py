@@ -151,7 +151,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("tail"))
     copies = F.when(F.col("doc_id").eqNullSafe(first), F.array(own, F.struct(to.alias("range"), F.lit(1).alias("tail")))).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", F.explode(copies).alias("_to")).select("_to.range", "_to.tail", "doc_id", "text")
-    return dealt.repartition(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    return dealt.repartitionById(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
 
 def neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
