@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +52,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_arrow(df: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """mapInArrow over all columns of df by position, whatever their names: Spark's own can't take dots in them.
+
+    work sees columns c0, c1, ... and must return columns named likewise; the
+    result has the names of schema.
+    """
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(work, plain).toDF(*schema.names)
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of undirected edges (a, b), both of one orderable type.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_arrow, read
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved; shares of question and answer words that must be found.
@@ -261,7 +261,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, most_bytes: int = INDEX_BYTES)
             for batch in batches:
                 yield batch.filter(pa.array([not matches(t.as_py(), shared.value) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = map_arrow(docs, work, docs.schema)
     return docs
 
 

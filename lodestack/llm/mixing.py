@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read
+from .common import quoted, read
 
 #: Slots in a period: weights are multiples of 1 / PERIOD.
 PERIOD = 1024
@@ -85,28 +85,31 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PE
     one range at a time and adds the counts of the ranges before it.
     """
     kept = [c for c in docs.columns if c.lower() not in ("block", "slot", "position")]
+    p = "_mix"
+    while any(c.lower().startswith(p) for c in kept):
+        p = "_" + p
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(*[docs[c] for c in kept], key.alias("_mix_key")).withColumn("_mix_source", F.coalesce("source", F.lit(""))).withColumn("_mix_range", F.substring("_mix_key", 1, RANGE_DIGITS))
-    counts = docs.select(F.coalesce("source", F.lit("")).alias("_mix_source"), F.substring(key, 1, RANGE_DIGITS).alias("_mix_range")).groupBy("_mix_source", "_mix_range").agg(F.count("*").alias("_mix_n"))
-    by_source = counts.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("_mix_n").alias("n"))
+    rows = docs.select(*[quoted(c) for c in kept], key.alias(f"{p}_key")).withColumn(f"{p}_source", F.coalesce("source", F.lit(""))).withColumn(f"{p}_range", F.substring(f"{p}_key", 1, RANGE_DIGITS))
+    counts = docs.select(F.coalesce("source", F.lit("")).alias(f"{p}_source"), F.substring(key, 1, RANGE_DIGITS).alias(f"{p}_range")).groupBy(f"{p}_source", f"{p}_range").agg(F.count("*").alias(f"{p}_n"))
+    by_source = counts.groupBy(F.col(f"{p}_source").alias("source")).agg(F.sum(f"{p}_n").alias("n"))
     if weights is None:
         units = target_units(by_source, period)
     else:
         named = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(int(v)).cast("long"))]) if weights else F.lit(None).cast("map<string,bigint>")
         units = by_source.select("source", F.coalesce(named[F.col("source")], F.lit(1).cast("long")).alias("units"))
     plan = pfair_schedule(units)
-    before = F.sum("_mix_n").over(Window.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_mix_source", "_mix_range", F.coalesce(before, F.lit(0).cast("long")).alias("_mix_before"))
-    rank = F.row_number().over(Window.partitionBy("_mix_source", "_mix_range").orderBy("_mix_key", "doc_id"))
-    placed = rows.withColumn("_mix_rank", rank).join(offsets, ["_mix_source", "_mix_range"])
-    placed = placed.withColumn("_mix_at", F.col("_mix_before") + F.col("_mix_rank") - 1).withColumn("_mix_block", F.expr(f"_mix_at div {block_docs}"))
-    shares = plan.select(F.col("source").alias("_mix_source"), F.col("nth").alias("_mix_nth"), F.col("slot").alias("_mix_slot"), F.col("units").alias("_mix_units"), F.col("period").alias("_mix_period"))
-    sizes = shares.select("_mix_source", "_mix_units", "_mix_period").distinct()
+    before = F.sum(f"{p}_n").over(Window.partitionBy(f"{p}_source").orderBy(f"{p}_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(f"{p}_source", f"{p}_range", F.coalesce(before, F.lit(0).cast("long")).alias(f"{p}_before"))
+    rank = F.row_number().over(Window.partitionBy(f"{p}_source", f"{p}_range").orderBy(f"{p}_key", "doc_id"))
+    placed = rows.withColumn(f"{p}_rank", rank).join(offsets, [f"{p}_source", f"{p}_range"])
+    placed = placed.withColumn(f"{p}_at", F.col(f"{p}_before") + F.col(f"{p}_rank") - 1).withColumn(f"{p}_block", F.expr(f"{p}_at div {block_docs}"))
+    shares = plan.select(F.col("source").alias(f"{p}_source"), F.col("nth").alias(f"{p}_nth"), F.col("slot").alias(f"{p}_slot"), F.col("units").alias(f"{p}_units"), F.col("period").alias(f"{p}_period"))
+    sizes = shares.select(f"{p}_source", f"{p}_units", f"{p}_period").distinct()
     # One row a source and one a slot of the period: both are bounded by the period.
-    placed = placed.join(F.broadcast(sizes), "_mix_source").withColumn("_mix_nth", F.expr("_mix_block % _mix_units"))
-    placed = placed.join(F.broadcast(shares.select("_mix_source", "_mix_nth", "_mix_slot")), ["_mix_source", "_mix_nth"])
-    slot = F.expr("(_mix_block div _mix_units) * _mix_period + _mix_slot")
-    return placed.select(*[placed[c] for c in kept], F.col("_mix_block").alias("block"), slot.alias("slot"), (slot * block_docs + F.expr(f"_mix_at % {block_docs}")).alias("position"))
+    placed = placed.join(F.broadcast(sizes), f"{p}_source").withColumn(f"{p}_nth", F.expr(f"{p}_block % {p}_units"))
+    placed = placed.join(F.broadcast(shares.select(f"{p}_source", f"{p}_nth", f"{p}_slot")), [f"{p}_source", f"{p}_nth"])
+    slot = F.expr(f"({p}_block div {p}_units) * {p}_period + {p}_slot")
+    return placed.select(*[quoted(c) for c in kept], F.col(f"{p}_block").alias("block"), slot.alias("slot"), (slot * block_docs + F.expr(f"{p}_at % {block_docs}")).alias("position"))
 
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, read
+from .common import fresh, map_arrow, read
 
 #: Bytes a filter sees, filters, bytes of a chunk, hidden units.
 K, FILTERS, CHUNK, HIDDEN = 6, 16, 256, 16
@@ -187,9 +187,9 @@ def with_score(docs: DataFrame, net: dict, name: str) -> DataFrame:
     def work(batches):
         for batch in batches:
             scores = [score((t.as_py() or "").encode(), net) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, f"c{len(batch.columns)}"])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_arrow(docs, work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

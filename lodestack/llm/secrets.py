@@ -17,7 +17,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import map_arrow, read
 
 KINDS = ("assign", "access", "hex", "literal")
 MASK = "[SECRET]"
@@ -205,7 +205,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_arrow(docs, work, docs.schema)
 
 
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
