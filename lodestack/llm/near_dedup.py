@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read
+from .common import components, cut, fresh, read
 from .words import mix, text_words
 
 #: Minima of a document; minima of a band and bands: 1 - (1 - 0.8 ** ROWS) ** BANDS is 0.999997.
@@ -37,8 +37,10 @@ WORDS, PERCENT = 5, 80
 MARGIN = 0.17
 _ODD = (np.random.default_rng(5).integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _BAND = np.random.default_rng(6).integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-#: Shingles that are hashed at a time; members of a bucket or component that one task compares at a time.
-STEP, BLOCK = 512, 2048
+#: Shingles that are hashed at a time; members of a bucket that one task compares at a time; shingles that one task indexes.
+STEP, BLOCK, INDEXED = 512, 2048, 1 << 18
+#: Asking documents that are compared with a block at a time.
+ASKING = 64
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, planes array<long>"
 
 
@@ -171,31 +173,33 @@ def contenders(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame
     own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks")))
     dealt = rows.select("key", F.explode(F.concat(own, every)).alias("to"), "doc_id", "label", "major", "n_shingles", "planes")
     dealt = dealt.select("key", "to.block", "to.asks", "doc_id", "label", "major", "n_shingles", "planes").repartition("key", "block").sortWithinPartitions("key", "block", "asks")
-    least, half = percent / 100 - MARGIN, HASHES // 64
+    half, chance = HASHES // 64, 2.0**-BITS
+    # The estimate is at least `least` where at most this many of the minima differ.
+    most = int(HASHES * (1 - chance - (percent / 100 - MARGIN) * (1 - chance)) + 1e-9)
 
     def work(batches):
         for _, rows in _grouped(batches, 2):
             asks, ids, labels, major, n = (rows.column(c).to_numpy() for c in ("asks", "doc_id", "label", "major", "n_shingles"))
             bits = np.asarray(rows.column("planes").combine_chunks().flatten()).reshape(len(ids), -1).view(np.uint64)
             local, asking = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
-            found = []
-            for at in range(0, len(asking), 256):
-                some = asking[at : at + 256]
+            if not len(asking) or not len(local):
+                continue
+            # By component, so that each one's answers to an asking document fold into one.
+            local = local[np.argsort(labels[local], kind="stable")]
+            firsts = np.flatnonzero(np.diff(labels[local], prepend=labels[local[0]] - 1))
+            for at in range(0, len(asking), ASKING):
+                some = asking[at : at + ASKING]
                 differ = np.zeros((len(some), len(local)), np.uint16)
                 for i in range(half):
                     differ += np.bitwise_count((bits[some, i, None] ^ bits[local, i]) | (bits[some, half + i, None] ^ bits[local, half + i]))
-                chance = 2.0**-BITS
-                near = (1 - differ / HASHES - chance) / (1 - chance) >= least
+                near = differ <= most
                 a, b = n[some, None], n[local]
                 near &= (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (labels[some, None] != labels[local])
                 # Of two components outside the most frequent one, the lower asks.
                 near &= (labels[local] == major[local]) | (labels[some, None] < labels[local])
-                x, y = np.nonzero(near)
-                found.append(np.stack([ids[some[x]], labels[local[y]]]))
-            if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                if pairs.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["doc_id", "rival"])
+                x, y = np.nonzero(np.logical_or.reduceat(near, firsts, axis=1))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some[x]]), pa.array(labels[local[firsts[y]]])], names=["doc_id", "rival"])
 
     return dealt.mapInArrow(work, "doc_id long, rival long").distinct()
 
@@ -203,13 +207,14 @@ def contenders(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame
 def first_links(asked: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): for every (doc_id, rival) a link to some document of that component, if there is any.
 
-    labels: (doc_id, label) of all nodes. The full shingle sets of a component's
-    documents are indexed by shingle, and the sizes of their intersections with
-    an asking document's set are counted. A component is dealt over blocks of
-    about BLOCK documents, and who asks goes to each of them.
+    labels: (doc_id, label, n_shingles) of all nodes. The full shingle sets of a
+    component's documents are indexed by shingle, and the sizes of their
+    intersections with an asking document's set are counted. A component is
+    dealt over blocks of about INDEXED shingles, so an index's memory doesn't
+    grow with its documents' number or length; who asks goes to each block.
     """
-    sizes = labels.groupBy(F.col("label").alias("rival")).agg(F.expr(f"cast(count(*) div {BLOCK} + 1 as int)").alias("blocks")).join(asked.select("rival").distinct(), "rival", "left_semi")
-    there = labels.withColumnRenamed("label", "rival").join(sizes, "rival").select("rival", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "doc_id")
+    sizes = labels.groupBy(F.col("label").alias("rival")).agg(F.expr(f"cast(sum(n_shingles) div {INDEXED} + 1 as int)").alias("blocks")).join(asked.select("rival").distinct(), "rival", "left_semi")
+    there = labels.select("doc_id", F.col("label").alias("rival")).join(sizes, "rival").select("rival", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "doc_id")
     ask = asked.join(sizes, "rival").select("rival", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "doc_id")
     rows = there.unionByName(ask).join(texts, "doc_id").select("rival", "block", "asks", "doc_id", "text").repartition("rival", "block").sortWithinPartitions("rival", "block", "asks")
 
@@ -283,7 +288,7 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     links = cut(links.union(confirmed(likely(pairs), near, k, percent)))
     labels, open_ = labelled(links)
     asked = cut(contenders(open_.select("key", "doc_id", "label"), planes, percent))
-    of_node = nodes.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"))
+    of_node = planes.select("doc_id", "n_shingles").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
     links = cut(links.union(first_links(asked, of_node, near, k, percent)))
     labels = components(links)
     heads_of = classes.join(labels.select(F.col("node").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("_component"))
@@ -299,8 +304,9 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     """
     kept = groups(docs.select("doc_id", "text"), k, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = cut(kept)
-    known, ids = docs.where("doc_id is not null"), kept.select(F.col("doc_id").alias("_kept_id"))
-    out = known.join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    name = fresh(docs, "kept_id")
+    known, ids = docs.where("doc_id is not null"), kept.select(F.col("doc_id").alias(name))
+    out = known.join(ids, F.col("doc_id") == F.col(name), "left_semi")
     if not kept.where("_rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))

@@ -79,6 +79,7 @@ def test_documents_by_brute_force(spark, k):
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(n, "BLOCK", 40)
+    monkeypatch.setattr(n, "INDEXED", 3000)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join(base)]
