@@ -7,7 +7,8 @@ released blocks the one with the earliest deadline takes the next slot; the
 weights add up to one, so every slot is taken and, at any slot, what a source
 has got differs from its share by less than one block. The schedule repeats
 after `period` slots: one period is computed, in one row, and every block
-finds its slot by a join on (source, index within the period).
+finds its slot by a join on (source, index within the period). Where there are
+many sources, that row holds their distinct weights instead of the sources.
 """
 
 from __future__ import annotations
@@ -16,10 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import quoted, read
+from .common import cut, quoted, read
 
-#: Slots in a period: weights are multiples of 1 / PERIOD.
+#: Slots in a period: weights are multiples of 1 / PERIOD. More sources than that get a longer period, of at least SPREAD slots a source.
 PERIOD = 1024
+SPREAD = 4
+#: Picks that one array holds while the schedule is computed.
+PICKS = 1024
+#: Most sources whose schedule is broadcast.
+BROADCAST = 1 << 14
 #: Documents in a block.
 BLOCK_DOCS = 16
 #: Leading hexadecimal digits of the shuffling hash that divide a source into ranges.
@@ -30,15 +36,18 @@ def target_units(sources: DataFrame, period: int = PERIOD) -> DataFrame:
     """Default targets: shares by the square root of a source's documents, in whole units.
 
     sources: (source, n). Every source has one unit; the rest goes by largest
-    remainder, ties by source, so the units add up to `period`. There must be
-    at most `period` sources.
+    remainder, ties by source, so the units add up to the period. That is
+    `period` for up to so many sources, and for more of them the next power of
+    two at or above SPREAD slots a source.
     """
     every = Window.partitionBy()
-    left = F.lit(period) - F.count("*").over(every)
-    shares = sources.withColumn("exact", F.sqrt(F.col("n").cast("double")) / F.sum(F.sqrt(F.col("n").cast("double"))).over(every.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * left)
+    n = F.count("*").over(every)
+    slots = F.when(n <= period, F.lit(period).cast("long")).otherwise(F.expr("shiftleft(1L, length(bin(_least - 1)))"))
+    shares = sources.withColumn("_least", SPREAD * n).withColumn("left", slots - n)
+    shares = shares.withColumn("exact", F.sqrt(F.col("n").cast("double")) / F.sum(F.sqrt(F.col("n").cast("double"))).over(every.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.col("left"))
     shares = shares.withColumn("whole", F.floor("exact")).withColumn("rest", F.round(F.col("exact") - F.col("whole"), 9))
     rank = F.row_number().over(every.orderBy(F.desc("rest"), "source"))
-    short = F.lit(period) - F.count("*").over(every) - F.sum("whole").over(every)
+    short = F.col("left") - F.sum("whole").over(every)
     return shares.withColumn("rank", rank).withColumn("short", short).select("source", (1 + F.col("whole") + (F.col("rank") <= F.col("short")).cast("long")).alias("units"))
 
 
@@ -63,12 +72,38 @@ def pfair_schedule(units: DataFrame) -> DataFrame:
     return slots.withColumn("nth", nth.cast("long"))
 
 
+def wide_schedule(units: DataFrame) -> DataFrame:
+    """pfair_schedule for many sources: the same columns and bounds, but ties go to more units, then by source.
+
+    Sources of equal units have equal release slots and deadlines, so a slot
+    goes to such a class and within it by (index, source). The one row holds
+    the classes, at most the square root of twice the period.
+    """
+    units = units.where("units > 0")
+    members = units.withColumn("member", (F.row_number().over(Window.partitionBy("units").orderBy("source")) - 1).cast("long"))
+    one = units.groupBy("units").agg(F.count("*").alias("m")).groupBy().agg(F.sort_array(F.collect_list(F.struct("units", "m")), False).alias("s"), F.sum(F.col("units") * F.col("m")).alias("period"))
+    pick = """array_min(filter(transform(s, (x, i) -> if(((acc.c[i] div x.m) * period) div x.units <= t,
+        named_struct('deadline', ((acc.c[i] div x.m + 1) * period + x.units - 1) div x.units, 'i', i), null)), x -> x is not null)).i"""
+    # The picks are held in short arrays, as appending copies an array.
+    run = f"""aggregate(sequence(0L, (period - 1) div {PICKS}), named_struct('c', transform(s, x -> 0L), 'runs', cast(array() as array<array<int>>)),
+        (a, k) -> aggregate(sequence(k * {PICKS}, least((k + 1) * {PICKS}, period) - 1), named_struct('c', a.c, 'picks', cast(array() as array<int>)),
+            (acc, t) -> aggregate(array({pick}), acc, (st, p) -> named_struct(
+                'c', transform(st.c, (n, i) -> if(i = p, n + 1L, n)), 'picks', array_append(st.picks, p))),
+            acc -> named_struct('c', acc.c, 'runs', array_append(a.runs, acc.picks))),
+        a -> flatten(a.runs))"""
+    slots = one.select("s", "period", F.posexplode(F.expr(run)).alias("slot", "i")).select(F.expr("s[i].units").alias("units"), F.expr("s[i].m").alias("m"), "period", F.col("slot").cast("long").alias("slot"))
+    given = F.row_number().over(Window.partitionBy("units").orderBy("slot")) - 1
+    slots = slots.withColumn("given", given.cast("long")).select("units", "period", "slot", F.expr("given % m").alias("member"), F.expr("given div m").alias("nth"))
+    return members.join(slots, ["units", "member"]).select("source", "units", "period", "slot", "nth")
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """docs with block, slot and position: the place of every row in the mixture.
 
     docs needs doc_id and source; every other column is carried along, and a
     column of docs that has one of the new names is replaced. weights: whole
-    units by source; without it the units of target_units. A source that
+    units by source; without it the units of target_units, whose period grows
+    with the number of sources. A source that
     weights doesn't name, a null source (mixed as '') among them, gets one
     unit, and the period grows to the sum of units.
 
@@ -97,17 +132,24 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PE
     else:
         named = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(int(v)).cast("long"))]) if weights else F.lit(None).cast("map<string,bigint>")
         units = by_source.select("source", F.coalesce(named[F.col("source")], F.lit(1).cast("long")).alias("units"))
-    plan = pfair_schedule(units)
+    n_sources = docs.select(F.coalesce("source", F.lit(""))).distinct().count()
+    plan = pfair_schedule(units) if n_sources <= PERIOD else cut(wide_schedule(units))
+    shares = plan.select(F.col("source").alias(f"{p}_source"), F.col("nth").alias(f"{p}_nth"), F.col("slot").alias(f"{p}_slot"), F.col("units").alias(f"{p}_units"), F.col("period").alias(f"{p}_period"))
+    sizes = shares.select(f"{p}_source", f"{p}_units", f"{p}_period").distinct()
+    by_nth = shares.select(f"{p}_source", f"{p}_nth", f"{p}_slot")
     before = F.sum(f"{p}_n").over(Window.partitionBy(f"{p}_source").orderBy(f"{p}_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(f"{p}_source", f"{p}_range", F.coalesce(before, F.lit(0).cast("long")).alias(f"{p}_before"))
+    if n_sources > BROADCAST:
+        # Units go along with the ranges' counts, so that no join of rows is by source alone.
+        offsets = offsets.join(sizes, f"{p}_source")
     rank = F.row_number().over(Window.partitionBy(f"{p}_source", f"{p}_range").orderBy(f"{p}_key", "doc_id"))
     placed = rows.withColumn(f"{p}_rank", rank).join(offsets, [f"{p}_source", f"{p}_range"])
     placed = placed.withColumn(f"{p}_at", F.col(f"{p}_before") + F.col(f"{p}_rank") - 1).withColumn(f"{p}_block", F.expr(f"{p}_at div {block_docs}"))
-    shares = plan.select(F.col("source").alias(f"{p}_source"), F.col("nth").alias(f"{p}_nth"), F.col("slot").alias(f"{p}_slot"), F.col("units").alias(f"{p}_units"), F.col("period").alias(f"{p}_period"))
-    sizes = shares.select(f"{p}_source", f"{p}_units", f"{p}_period").distinct()
-    # One row a source and one a slot of the period: both are bounded by the period.
-    placed = placed.join(F.broadcast(sizes), f"{p}_source").withColumn(f"{p}_nth", F.expr(f"{p}_block % {p}_units"))
-    placed = placed.join(F.broadcast(shares.select(f"{p}_source", f"{p}_nth", f"{p}_slot")), [f"{p}_source", f"{p}_nth"])
+    if n_sources <= BROADCAST:
+        # One row a source and one a slot of the period.
+        placed, by_nth = placed.join(F.broadcast(sizes), f"{p}_source"), F.broadcast(by_nth)
+    placed = placed.withColumn(f"{p}_nth", F.expr(f"{p}_block % {p}_units"))
+    placed = placed.join(by_nth, [f"{p}_source", f"{p}_nth"])
     slot = F.expr(f"({p}_block div {p}_units) * {p}_period + {p}_slot")
     return placed.select(*[quoted(c) for c in kept], F.col(f"{p}_block").alias("block"), slot.alias("slot"), (slot * block_docs + F.expr(f"{p}_at % {block_docs}")).alias("position"))
 

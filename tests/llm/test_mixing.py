@@ -39,3 +39,29 @@ def test_edges(edge, empty):
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(edge, {}).count() == edge.count()
     assert mixing.mix(edge, {"s": 5}).count() == edge.count()
+
+
+@pytest.mark.parametrize("broadcast", [mixing.BROADCAST, 1])
+def test_more_sources_than_slots(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST", broadcast)
+    sizes = {"hot": 6000} | {f"s{i:04d}": 1 + i % 3 for i in range(2000)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    units = {r["source"]: r["units"] for r in mixing.target_units(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+    assert units.keys() == sizes.keys()
+    assert min(units.values()) >= 1
+    assert sum(units.values()) == 8192
+    assert units["hot"] == max(units.values()) > units["s0002"] > 1
+    got = mixing.mix(docs, block_docs=4).collect()
+    assert Counter(r["source"] for r in got) == sizes
+    assert len({r["position"] for r in got}) == len(got)
+    # Every block lies between its release slot and its deadline.
+    plan = mixing.wide_schedule(spark.createDataFrame(list(units.items()), "source string, units long")).orderBy("slot").collect()
+    assert [r["slot"] for r in plan] == list(range(8192))
+    given = Counter()
+    for t, r in enumerate(plan):
+        s, u = r["source"], r["units"]
+        assert r["nth"] == given[s]
+        assert given[s] * 8192 // u <= t < -(-(given[s] + 1) * 8192 // u)
+        given[s] += 1
+    assert given == units
