@@ -1,9 +1,10 @@
 """Secret scans: patterns, and assignment-aware lexing of source and configuration syntax.
 
 The lexer reads `name = literal` pairs in the syntaxes of programs, shells,
-JSON, YAML, INI and XML attributes; joins literals by + ; follows names that
-stand for constants assigned anywhere in the text; and scores each literal
-by how sensitive the names are that it reaches.
+JSON, YAML, INI and XML attributes; joins literals by + ; follows names to the
+constants they stand for, the latest assignment above or else the first below;
+and scores each literal by how sensitive the names are that it reaches. Its
+time is linear in the text.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 STRONG = {"password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "credential", "credentials", "privatekey", "accesskey", "secretkey", "authkey", "bearer"}
 WEAK = {"key", "pass", "auth", "signature", "salt", "cert", "dsn", "cookie", "session", "login", "private", "access", "api"}
 _LIKELY = re.compile(r"pass|pwd|secret|token|key|cred|bearer|auth|private|signature|salt|cert|dsn|cookie|session|login|access|api", re.I | re.A)
-_NAME = re.compile(r"""(?:(["'])([A-Za-z_][\w.\-]*)\1|([A-Za-z_][\w.\-]*))[ \t]*(?:=>|:=|[:=](?![:=]))[ \t]*""", re.A)
-_TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;{}()\[\]<>#+]+)""", re.A)
+#: A bare name is tried at the first character of its run only, and no run is given back, so that the search is linear.
+_NAME = re.compile(r"""(?:(["'])([A-Za-z_][\w.\-]*+)\1|(?<![\w.\-])[\d.\-]*+([A-Za-z_][\w.\-]*+))[ \t]*+(?:=>|:=|[:=](?![:=]))[ \t]*+""", re.A)
+_TERM = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s"'`,;{}()\[\]<>#+]++)""", re.A)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*\n?[ \t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_PLACEHOLDER = re.compile(r"^(?:[x*.\-_]+|\$\{.*\}|\$\w+|%\w+%|<.*>|\{\{.*\}\}|(?:example|sample|changeme|change_me|placeholder|your|dummy|test|todo|none|null|true|false|undefined|nil|env|os|process)(?:[^A-Za-z0-9].*)?)$", re.I | re.S)
+#: Values that stand for one to be filled in, apart from those that _stands_in() tells by their ends.
+_PLACEHOLDER = re.compile(r"(?:example|sample|changeme|change_me|placeholder|your|dummy|test|todo|none|null|true|false|undefined|nil|env|os|process)(?![A-Za-z0-9])", re.I | re.A)
+#: Characters of a joined value's beginning that _PLACEHOLDER needs, and of its end that _stands_in() needs.
+_HEAD, _TAIL = 16, 2
+_SYMBOLS, _WORD_CHARS = frozenset("xX*.-_"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
 class Span(NamedTuple):
@@ -100,47 +106,127 @@ def sensitivity(name: str) -> float:
     return 0.0 if not hits else 0.5 if hits == 1 else 0.8
 
 
-def strength(value: str) -> float:
+class Value(NamedTuple):
+    """What a literal's score is taken from: its characters' counts, its beginning and its end. Joining two needs no more than that."""
+
+    counts: Counter
+    head: str
+    tail: str
+
+def joined(parts: list[str | Value]) -> Value:
+    """The value of literals and values one after the other."""
+    counts, head, tail = Counter(), "", ""
+    for x in parts:
+        text = isinstance(x, str)
+        counts.update(x if text else x.counts)
+        if len(head) < _HEAD:
+            head = (head + (x[:_HEAD] if text else x.head))[:_HEAD]
+        tail = (tail + (x[-_TAIL:] if text else x.tail))[-_TAIL:]
+    return Value(counts, head, tail)
+
+
+_EMPTY = Value(Counter(), "", "")
+
+
+def _stands_in(v: Value, length: int) -> bool:
+    """Whether a value is a placeholder: dashes and crosses, a reference to a variable, a tag, or a word like 'changeme'."""
+    if v.counts.keys() <= _SYMBOLS:
+        return True
+    for begins, ends in (("${", "}"), ("{{", "}}"), ("<", ">")):
+        if v.head.startswith(begins) and v.tail.endswith(ends) and length >= len(begins) + len(ends):
+            return True
+    others = v.counts.keys() - _WORD_CHARS
+    if v.head[:1] == "$" and others == {"$"} and v.counts["$"] == 1 and length > 1:
+        return True
+    if v.head[:1] == "%" == v.tail[-1:] and others == {"%"} and v.counts["%"] == 2 and length > 2:
+        return True
+    return bool(_PLACEHOLDER.match(v.head))
+
+
+def strength(value: str | Value) -> float:
     """0 to 1: how much a literal looks like a secret, by length, character classes and entropy."""
-    if len(value) < 8 or any(c.isspace() for c in value) or _PLACEHOLDER.match(value):
+    v = value if isinstance(value, Value) else joined([value])
+    length = sum(v.counts.values())
+    if length < 8 or any(c.isspace() for c in v.counts) or _stands_in(v, length):
         return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, bits * len(value) / 48) * (0.4 if classes < 2 else 0.8 if classes == 2 else 1.0)
+    bits = -sum(n / length * math.log2(n / length) for n in v.counts.values())
+    kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in v.counts}
+    return min(1.0, bits * length / 48) * (0.4 if len(kinds) < 2 else 0.8 if len(kinds) == 2 else 1.0)
+
+
+def references(found: list[Assignment]) -> list[list[int | None]]:
+    """For every term of every assignment the number of the assignment it refers to: None for a literal, -1 for nothing but itself.
+
+    That is the latest assignment of the name above it, else the first one below.
+    """
+    first: dict[str, int] = {}
+    for i, a in enumerate(found):
+        first.setdefault(a.name, i)
+    latest: dict[str, int] = {}
+    out = []
+    for i, a in enumerate(found):
+        row: list[int | None] = []
+        for refers, *_ in a.terms:
+            j = None if refers is None else latest.get(refers, first.get(refers))
+            row.append(-1 if j == i else j)
+        out.append(row)
+        latest[a.name] = i
+    return out
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through constants."""
+    """Literals that reach a sensitive name, directly or through constants.
+
+    Every assignment is resolved once, whatever the number of names that refer
+    to it and the length of the chains between them; a name that is being
+    resolved already, in a circle, adds nothing.
+    """
     if not ("=" in text or ":" in text) or not _LIKELY.search(text):
         return []
     found = assignments(text)
-    table = {a.name: a for a in reversed(found)}  # a name's first assignment is its constant
-    out: dict[tuple[int, int], float] = {}
-
-    def follow(a: Assignment, seen: frozenset[str]) -> list[tuple[str, int, int]]:
-        parts = []
-        for refers, literal, start, end in a.terms:
-            if refers in table and refers not in seen and len(seen) < 16:
-                parts += follow(table[refers], seen | {refers})
-            else:
-                parts.append((literal if refers is None or refers not in seen else "", start, end))
-        return parts
-
-    for a in found:
-        if weight := sensitivity(a.name):
-            parts = follow(a, frozenset((a.name,)))
-            score = weight * strength("".join(p[0] for p in parts))
-            for literal, start, end in parts:
-                if literal and score >= THRESHOLD:
-                    out[start, end] = score
+    refers = references(found)
+    values: dict[int, Value | None] = {}  # None: being resolved
+
+    def resolve(root: int) -> Value:
+        todo = [root]
+        while todo:
+            i = todo[-1]
+            if values.get(i) is not None:
+                todo.pop()
+                continue
+            open_ = [j for j in refers[i] if j is not None and j >= 0 and j not in values]
+            values[i] = None
+            if open_:
+                todo += open_
+                continue
+            parts = [literal if j is None else values.get(j) or _EMPTY for j, (_, literal, *_) in zip(refers[i], found[i].terms, strict=True)]
+            values[i] = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else joined(parts)
+            todo.pop()
+        return values[root] or _EMPTY
+
+    reached, todo = set(), []
+    for i, a in enumerate(found):
+        if (weight := sensitivity(a.name)) and weight * strength(resolve(i)) >= THRESHOLD:
+            todo.append(i)
+    out = set()
+    while todo:
+        i = todo.pop()
+        if i not in reached:
+            reached.add(i)
+            out.update((start, end) for j, (_, _, start, end) in zip(refers[i], found[i].terms, strict=True) if j is None and end > start)
+            todo += [j for j in refers[i] if j is not None and j >= 0]
     return [Span(s, 3, e, s, e) for s, e in sorted(out)]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): a literal within a base span isn't listed again."""
-    base = base_spans(text)
-    more = [x for x in literal_spans(text) if not any(b.start <= x.start and x.end <= b.end for b in base)]
+    base, more, at, reach = base_spans(text), [], 0, -1
+    for x in literal_spans(text):
+        while at < len(base) and base[at].start <= x.start:
+            reach = max(reach, base[at].end)
+            at += 1
+        if x.end > reach:
+            more.append(x)
     return base, sorted(base + more)
 
 

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pandas as pd
+import pytest
 
 from lodestack.llm import secrets as s
 
@@ -60,6 +62,50 @@ def test_assignments_and_constants():
         assert found(harmless) == []
 
 
+def test_constants_are_the_latest_above():
+    assert found('k = "aB3dE5fG7hJ9"\npassword_x = k\nk = "zY8xW6vU4tS2"\nsecret_y = k') == ["aB3dE5fG7hJ9", "zY8xW6vU4tS2"]
+    assert found('auth_key = later\nlater = "aB3dE5fG7hJ9"\nlater = "zY8xW6vU4tS2"') == ["aB3dE5fG7hJ9"]
+    assert found('k = "aB3dE5fG7hJ9"\nk = k + "zY8x"\nmy_pwd = k') == ["aB3dE5fG7hJ9", "zY8x"]
+    assert found("my_pwd = my_pwd") == []
+    assert found('--db-passphrase="aB3dE5fG7hJ9"') == ["aB3dE5fG7hJ9"]
+
+
+@pytest.mark.parametrize("n", [20, 1000, 20000])
+def test_long_chains(n):
+    lines = ['c0 = "aB3dE5fG7hJ9"', *[f"c{i} = c{i - 1}" for i in range(1, n)], f"auth_key = c{n - 1}"]
+    assert found("\n".join(lines)) == ["aB3dE5fG7hJ9"]
+    assert found("\n".join(reversed(lines))) == ["aB3dE5fG7hJ9"]
+
+
+def test_joined_values_score_as_the_text_they_make():
+    rng = random.Random(6)
+    parts = ["x", "***", "aB3dE5fG", "${", "}", "<tag", ">", "{{", "$", "%", "name", "changeme", "-", "example", ".", " ", "é", "9"]
+    for _ in range(3000):
+        some = [rng.choice(parts) for _ in range(rng.randrange(1, 6))]
+        whole, value = s.strength("".join(some)), s.joined([s.joined(some[:2]), *some[2:]])
+        assert abs(s.strength(value) - whole) < 1e-12
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "key: x " + "a" * 10_000_000,
+        "key: " + "QUJD" * 2_500_000,
+        "a.b-" * 2_500_000 + ' key = "',
+        'token = "' * 200_000,
+        "key=" + "'a' + " * 1_000_000,
+        "key = v\n" * 1_000_000,
+        "password=abcdef123456 " * 100_000,
+        "\n".join(['c0_0 = "aB3d"', *[f"c{i} = c{i - 1} + c{i - 1} + c{i - 1} + c{i - 1}" for i in range(1, 200)], "auth_key = c199"]).replace("c0 ", "c0_0 "),
+    ],
+    ids=["run", "base64", "dots", "quotes", "terms", "lines", "spans", "tree"],
+)
+def test_time_is_linear(text):
+    begun = time.perf_counter()
+    s.find(text)
+    assert time.perf_counter() - begun < 30
+
+
 def test_redaction():
     text = 'k = "Zx81kd92jd83hd7"\ndb_pwd = k\ntoken: abcdef123456 0123456789abcdef0123456789'
     out = s.redact(text)
