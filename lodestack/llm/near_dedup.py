@@ -33,12 +33,13 @@ from .words import mix, text_words
 HASHES, ROWS, BANDS, BITS = 256, 6, 42, 2
 #: Words of a shingle and the least similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-#: A pair whose estimate is this far below the least similarity (over five standard deviations) is dropped.
-MARGIN = 0.17
+#: A pair whose estimate is this far below the least similarity (over five standard deviations) is dropped, unless a set has fewer shingles than SMALL.
+MARGIN, SMALL = 0.17, 64
 _ODD = (np.random.default_rng(5).integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _BAND = np.random.default_rng(6).integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-#: Shingles that are hashed at a time; members of a bucket that one task compares at a time; shingles that one task indexes.
-STEP, BLOCK, INDEXED = 512, 2048, 1 << 18
+_SPREAD = np.uint32(0x2C1B3C6D)
+#: Shingles that are hashed at a time; documents on either side of a block of a bucket; shingles that one task indexes, and that are looked up in one index.
+STEP, BLOCK, INDEXED, LOOKED_UP = 512, 1024, 1 << 18, 1 << 20
 #: Asking documents that are compared with a block at a time.
 ASKING = 64
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, planes array<long>"
@@ -56,11 +57,18 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """HASHES minima over a set of shingle hashes, each under an own permutation of their upper halves."""
+    """HASHES minima over a set of shingle hashes, each under an own permutation of their upper halves.
+
+    A product alone keeps too much of the order and the low bits of small sets
+    alike in all permutations; it is folded and multiplied once more.
+    """
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), STEP):
-        np.minimum(out, (x[at : at + STEP, None] * _ODD).min(0), out=out)
+        h = x[at : at + STEP, None] * _ODD
+        h ^= h >> np.uint32(15)
+        h *= _SPREAD
+        np.minimum(out, h.min(0), out=out)
     return out
 
 
@@ -68,7 +76,8 @@ def packed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket keys (n, BANDS), bit planes (n, BITS * HASHES / 64)) of minima (n, HASHES), as signed longs."""
     banded = rows[:, : ROWS * BANDS].reshape(-1, BANDS, ROWS).astype(np.uint64)
     keys = mix((mix(banded) * _BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    planes = [np.packbits((rows >> np.uint32(b)) & np.uint32(1), axis=1).view(np.int64) for b in range(BITS)]
+    low = rows ^ (rows >> np.uint32(16))
+    planes = [np.packbits((low >> np.uint32(b)) & np.uint32(1), axis=1).view(np.int64) for b in range(BITS)]
     return keys.view(np.int64), np.concatenate(planes, axis=1)
 
 
@@ -139,67 +148,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.mapInArrow(work, "a long, b long")
 
 
-def _grouped(batches, keys: int):
-    """(key values, rows as one table) of consecutive rows with equal first columns, from sorted batches."""
-    held, now = [], None
+def _runs(batches, keys: int):
+    """(key values, rows) of consecutive rows with equal first columns, from sorted batches; a key may come in several pieces."""
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [np.asarray(batch.column(i)) for i in range(keys)]
         changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
         for at, end in zip([0, *changes.tolist()], [*changes.tolist(), batch.num_rows], strict=True):
-            key = tuple(int(c[at]) for c in columns)
-            if held and key != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(at, end - at))
-    if held:
-        yield now, pa.Table.from_batches(held)
+            yield tuple(int(c[at]) for c in columns), batch.slice(at, end - at)
+
+
+def _dealt(here: DataFrame, asking: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """Rows (by, block, part, asks, doc_id, ...) for a comparison of all of `here` with all of `asking` that share `by`.
+
+    sizes: (by, blocks, parts). A row of here is in one block and goes to all
+    parts, a row of asking is in one part and goes to all blocks, so that both
+    sides of a (block, part) are bounded whatever the size of a group.
+    """
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    a = here.join(sizes, by).withColumn("block", one("blocks", 0)).withColumn("part", F.explode(every("parts"))).withColumn("asks", F.lit(0))
+    b = asking.join(sizes, by).withColumn("part", one("parts", 1)).withColumn("block", F.explode(every("blocks"))).withColumn("asks", F.lit(1))
+    return a.drop("blocks", "parts").unionByName(b.drop("blocks", "parts"))
+
+
+def _in_order(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    return rows.select(by, "block", "part", "asks", *columns).repartition(by, "block", "part").sortWithinPartitions(by, "block", "part", "asks")
 
 
 def contenders(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
     """(doc_id, rival): documents that share a bucket with a document of another component that may be similar enough.
 
     members: (key, doc_id, label). In each bucket the documents outside its
-    most frequent component are compared with all the others. A bucket is dealt
-    over blocks of about BLOCK members; only the documents outside the most
-    frequent component go to all of its blocks.
+    most frequent component are compared with all the others, in blocks of
+    about BLOCK documents of either side. A task holds one block's members and
+    lets those who ask pass by.
     """
     by_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    sizes = by_label.groupBy("key").agg(F.sum("n").alias("total"), F.max_by("label", F.struct("n", "label")).alias("major"))
-    rows = members.join(sizes, "key").withColumn("blocks", F.expr(f"cast(total div {BLOCK} + 1 as int)")).join(planes, "doc_id")
-    every = F.when(F.col("label") != F.col("major"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("asks")))).otherwise(F.expr("cast(array() as array<struct<block: int, asks: int>>)"))
-    own = F.array(F.struct(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks")))
-    dealt = rows.select("key", F.explode(F.concat(own, every)).alias("to"), "doc_id", "label", "major", "n_shingles", "planes")
-    dealt = dealt.select("key", "to.block", "to.asks", "doc_id", "label", "major", "n_shingles", "planes").repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+    sizes = by_label.groupBy("key").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"))
+    sizes = sizes.select("key", "major", F.expr(f"cast(total div {BLOCK} + 1 as int)").alias("blocks"), F.expr(f"cast((total - most) div {BLOCK} + 1 as int)").alias("parts"))
+    rows = members.join(sizes.select("key", "major"), "key")
+    dealt = _dealt(rows, rows.where("label <> major"), sizes.drop("major"), "key").join(planes, "doc_id")
+    dealt = _in_order(dealt, "key", "doc_id", "label", "major", "n_shingles", "planes")
     half, chance = HASHES // 64, 2.0**-BITS
     # The estimate is at least `least` where at most this many of the minima differ.
     most = int(HASHES * (1 - chance - (percent / 100 - MARGIN) * (1 - chance)) + 1e-9)
 
+    def columns(rows):
+        ids, labels, major, n = (rows.column(c).to_numpy() for c in ("doc_id", "label", "major", "n_shingles"))
+        planes = rows.column("planes")
+        planes = planes.combine_chunks() if isinstance(planes, pa.ChunkedArray) else planes
+        return ids, labels, major, n, np.asarray(planes.flatten()).reshape(len(ids), -1).view(np.uint64)
+
+    def block_of(held):
+        ids, labels, major, n, bits = columns(pa.Table.from_batches(held))
+        # By component, so that each one's answers to an asking document fold into one.
+        order = np.argsort(labels, kind="stable")
+        labels = labels[order]
+        return labels, major[order], n[order], bits[order], np.flatnonzero(np.diff(labels, prepend=labels[0] - 1))
+
     def work(batches):
-        for _, rows in _grouped(batches, 2):
-            asks, ids, labels, major, n = (rows.column(c).to_numpy() for c in ("asks", "doc_id", "label", "major", "n_shingles"))
-            bits = np.asarray(rows.column("planes").combine_chunks().flatten()).reshape(len(ids), -1).view(np.uint64)
-            local, asking = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
-            if not len(asking) or not len(local):
+        now, held, there = None, [], None
+        for (*group, asks), rows in _runs(batches, 4):
+            if group != now:
+                now, held, there = group, [], None
+            if not asks:
+                held.append(rows)
+                continue
+            if not held:
                 continue
-            # By component, so that each one's answers to an asking document fold into one.
-            local = local[np.argsort(labels[local], kind="stable")]
-            firsts = np.flatnonzero(np.diff(labels[local], prepend=labels[local[0]] - 1))
-            for at in range(0, len(asking), ASKING):
-                some = asking[at : at + ASKING]
-                differ = np.zeros((len(some), len(local)), np.uint16)
+            there = there or block_of(held)
+            labels, major, n, bits, firsts = there
+            ids, own_labels, _, own_n, own_bits = columns(rows)
+            for at in range(0, len(ids), ASKING):
+                some = slice(at, at + ASKING)
+                differ = np.zeros((len(ids[some]), len(labels)), np.uint16)
                 for i in range(half):
-                    differ += np.bitwise_count((bits[some, i, None] ^ bits[local, i]) | (bits[some, half + i, None] ^ bits[local, half + i]))
-                near = differ <= most
-                a, b = n[some, None], n[local]
-                near &= (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (labels[some, None] != labels[local])
+                    differ += np.bitwise_count((own_bits[some, i, None] ^ bits[:, i]) | (own_bits[some, half + i, None] ^ bits[:, half + i]))
+                a, b, label = own_n[some, None], n, own_labels[some, None]
+                near = (differ <= most) | (np.minimum(a, b) < SMALL)
+                near &= (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (label != labels)
                 # Of two components outside the most frequent one, the lower asks.
-                near &= (labels[local] == major[local]) | (labels[some, None] < labels[local])
+                near &= (labels == major) | (label < labels)
                 x, y = np.nonzero(np.logical_or.reduceat(near, firsts, axis=1))
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some[x]]), pa.array(labels[local[firsts[y]]])], names=["doc_id", "rival"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][x]), pa.array(labels[firsts[y]])], names=["doc_id", "rival"])
 
     return dealt.mapInArrow(work, "doc_id long, rival long").distinct()
 
@@ -210,19 +244,25 @@ def first_links(asked: DataFrame, labels: DataFrame, texts: DataFrame, k: int, p
     labels: (doc_id, label, n_shingles) of all nodes. The full shingle sets of a
     component's documents are indexed by shingle, and the sizes of their
     intersections with an asking document's set are counted. A component is
-    dealt over blocks of about INDEXED shingles, so an index's memory doesn't
-    grow with its documents' number or length; who asks goes to each block.
+    dealt over blocks of about INDEXED shingles and those who ask over parts of
+    about LOOKED_UP shingles. A task holds one block's index and one asking
+    document at a time.
     """
-    sizes = labels.groupBy(F.col("label").alias("rival")).agg(F.expr(f"cast(sum(n_shingles) div {INDEXED} + 1 as int)").alias("blocks")).join(asked.select("rival").distinct(), "rival", "left_semi")
-    there = labels.select("doc_id", F.col("label").alias("rival")).join(sizes, "rival").select("rival", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "doc_id")
-    ask = asked.join(sizes, "rival").select("rival", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "doc_id")
-    rows = there.unionByName(ask).join(texts, "doc_id").select("rival", "block", "asks", "doc_id", "text").repartition("rival", "block").sortWithinPartitions("rival", "block", "asks")
+    rivals = asked.select("rival").distinct()
+    there = labels.select("doc_id", F.col("label").alias("rival"), "n_shingles").join(rivals, "rival", "left_semi")
+    ask = asked.join(labels.select("doc_id", "n_shingles"), "doc_id").select("doc_id", "rival", "n_shingles")
+    blocks = there.groupBy("rival").agg(F.expr(f"cast(sum(n_shingles) div {INDEXED} + 1 as int)").alias("blocks"))
+    parts = ask.groupBy("rival").agg(F.expr(f"cast(sum(n_shingles) div {LOOKED_UP} + 1 as int)").alias("parts"))
+    rows = _dealt(there.drop("n_shingles"), ask.drop("n_shingles"), blocks.join(parts, "rival"), "rival")
+    rows = _in_order(rows.join(texts, "doc_id"), "rival", "doc_id", "text")
 
     def work(batches):
-        for _, rows in _grouped(batches, 2):
-            index: dict[tuple, list[int]] = {}
-            ids, sizes, out = [], [], []
-            for asks, doc_id, text in zip(rows.column("asks").to_pylist(), rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
+        now, index, ids, sizes = None, {}, [], []
+        for (*group, asks), rows in _runs(batches, 4):
+            if group != now:
+                now, index, ids, sizes = group, {}, [], []
+            out = []
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
                 own = shingle_set(text.as_py(), k)
                 if not asks:
                     for g in own:
@@ -271,7 +311,8 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     def likely(pairs: DataFrame) -> DataFrame:
         one = planes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("planes").alias("pa"))
         two = planes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("planes").alias("pb"))
-        kept = pairs.join(one, "a").join(two, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (similarity(F.col("pa"), F.col("pb")) >= least))
+        close = (similarity(F.col("pa"), F.col("pb")) >= least) | (F.least("na", "nb") < SMALL)
+        kept = pairs.join(one, "a").join(two, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & close)
         return kept.select("a", "b").distinct()
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -316,3 +357,18 @@ def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on 2-word shingles: doc_id, n_shingles, component_id, kept."""
     out = groups(read(spark, sf_dir, "documents").select("doc_id", "text"), 2, 80)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: All four columns, by comparing every pair that shares a shingle.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE len(ws) WHEN 0 THEN [] WHEN 1 THEN ws ELSE list_distinct(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS n, doc_id AS m FROM s UNION SELECT r.n, e.b FROM reach r JOIN edges e ON e.a = r.m),
+c AS (SELECT n AS doc_id, min(m) AS component_id FROM reach GROUP BY n)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c USING (doc_id)
+"""

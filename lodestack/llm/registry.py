@@ -7,7 +7,7 @@ from .decontam import op1_decontaminate
 from .fingerprint import op9_piecewise_hash
 from .lm_score import op10_pseudo_likelihood
 from .mixing import OP3_SQL, op3_pfair_mix
-from .near_dedup import op8_bbit_minhash
+from .near_dedup import OP8_SQL, op8_bbit_minhash
 from .quality import op2_byte_cnn
 from .secrets import op5_secret_spans
 from .url_filter import OP4_SQL, op4_url_verdicts
@@ -29,4 +29,5 @@ ORACLE = {
     "op3_pfair_mix": OP3_SQL,
     "op4_url_verdicts": OP4_SQL,
     "op6_warc_round_trip": OP6_SQL,
+    "op8_bbit_minhash": OP8_SQL,
 }

@@ -80,6 +80,7 @@ def test_documents_by_brute_force(spark, k):
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(n, "BLOCK", 40)
     monkeypatch.setattr(n, "INDEXED", 3000)
+    monkeypatch.setattr(n, "LOOKED_UP", 2000)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join(base)]
@@ -97,6 +98,31 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert len({r for r in roots}) > 40
 
 
+def test_links_at_the_least_similarity_by_set_size(spark):
+    """Pairs of exactly 80 and just over: (common shingles, more in one, more in the other)."""
+    shapes = [(4, 1, 0), (4, 0, 1), (8, 1, 1), (8, 2, 0), (9, 1, 1), (12, 3, 0), (16, 2, 2), (40, 5, 5), (41, 5, 5), (80, 10, 10), (400, 50, 50)]
+    texts = []
+    for n_pair in range(100):
+        for c, more, other in shapes:
+            same = [f"s{len(texts)}_{i}" for i in range(c + 1)]
+            texts.append(" ".join(same + [f"a{len(texts)}_{i}" for i in range(more)]))
+            texts.append(" ".join(same + [f"b{len(texts)}_{i}" for i in range(other)]))
+    got = {r["doc_id"]: r["component_id"] for r in n.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2, 80).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_small_sets_are_told_apart_alike():
+    """Sets of 4 and 5 shingles of similarity 0.8: no pair's estimate falls below the margin, and none lacks a band."""
+    rng = np.random.default_rng(2)
+    sets = rng.integers(0, 1 << 63, (20000, 5), dtype=np.uint64) * np.uint64(2)
+    keys, planes = n.packed(np.stack([n.minima(x) for x in sets]))
+    keys4, planes4 = n.packed(np.stack([n.minima(x[:4]) for x in sets]))
+    bits, bits4, half = planes.view(np.uint64), planes4.view(np.uint64), n.HASHES // 64
+    differ = np.bitwise_count((bits[:, :half] ^ bits4[:, :half]) | (bits[:, half:] ^ bits4[:, half:])).sum(1)
+    assert ((1 - differ / n.HASHES - 0.25) / 0.75 >= 0.8 - n.MARGIN).all()
+    assert (keys == keys4).any(1).sum() >= 19998
+
+
 def test_edges(edge, empty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in n.groups(edge, 2, 80).collect())
     assert got == sorted(
