@@ -8,10 +8,34 @@ from .conftest import LONG
 
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
-    texts = [bytes(rng.integers(97, 123, 300, dtype=np.uint8)) for _ in range(4)]
-    net = q.train(texts, [0, 1, 0, 1], epochs=1)
-    assert set(net) == {"filters", "w1", "b1", "w2", "b2", "mu", "sd"}
-    assert q.train(texts, [0, 1, 0, 1], epochs=1)["w1"].tobytes() == net["w1"].tobytes()
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (300, 0, 1500, 40)]
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    net = {k: v.astype(np.float64) for k, v in q.starting_net(0.4).items()}
+    net["mu"], net["sd"] = rng.normal(0, 0.1, 3 * q.FILTERS), rng.uniform(0.5, 1, 3 * q.FILTERS)
+
+    def loss(net):
+        x = np.stack([q.summary(q.pooled(t, net["filters"]))[0] for t in texts])
+        logit = q.head(x, net)[1]
+        return np.mean(np.logaddexp(0, logit) - y * logit)
+
+    got = q.gradients(texts, y, net)
+    assert {k: v.shape for k, v in got.items()} == {k: net[k].shape for k in ("w2", "b2", "w1", "b1", "filters")}
+    for k, gradient in got.items():
+        flat = gradient.ravel()
+        for i in {*rng.choice(flat.size, min(10, flat.size), replace=False).tolist(), *np.argsort(-np.abs(flat))[:20].tolist()}:
+            up, down = ({**net, k: net[k].copy()} for _ in range(2))
+            up[k].ravel()[i] += 1e-6
+            down[k].ravel()[i] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - flat[i]) < 1e-6, (k, i)
+
+
+def test_training_repeats_and_lowers_the_loss():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 110 if i % 2 else 123, 200, dtype=np.uint8)) for i in range(12)]
+    labels = [i % 2 for i in range(12)]
+    net = q.train(texts, labels, 60)
+    assert q.train(texts, labels, 60)["w1"].tobytes() == net["w1"].tobytes()
+    assert all((q.score(t, net) > 0.5) == bool(y) for t, y in zip(texts, labels, strict=True))
 
 
 def test_pooling_by_plain_loops():
@@ -60,5 +84,5 @@ def test_edges(edge, empty, labels):
     assert q.classify(edge, labels.where("false")).count() == edge.count()
     kept = q.keep_good(edge, edge, labels)
     assert kept.columns == edge.columns
-    kept.collect()
+    assert kept.count() == sum(r["predicted"] for r in got)
     assert 0 <= q.score(LONG.encode(), q.train([], [])) <= 1
