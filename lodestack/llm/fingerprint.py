@@ -16,7 +16,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
@@ -27,8 +27,6 @@ WINDOW, LEAST_BLOCK, PIECES = 7, 4, 64
 SHORT, LONG = 4, 4
 #: Bytes that are hashed at a time; a text's own size bounds nothing else but its bytes.
 SEGMENT = 1 << 20
-#: Most ranges of doc_id that next_document() makes.
-MOST_RANGES = 16384
 _MULTIPLIERS = np.array([0x9E3779B1 ** (j + 1) & 0xFFFFFFFF for j in range(WINDOW)], dtype=np.uint32)
 
 
@@ -126,6 +124,20 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _listed(numbers: list, kind: str = "bigint") -> Column:
+    """A constant array, however long: one literal instead of an expression an item."""
+    return F.expr(f"cast(split('{','.join(map(str, numbers))}', ',') as array<{kind}>)")
+
+
+def _range_of(splits: list[int]) -> Column:
+    """How many of the ascending splits aren't above doc_id, by halving; 0 for null."""
+    if not splits:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(splits).bit_length()))]
+    bounds = _listed(splits)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (range, tail, doc_id, text) dealt so that a task has its rows in order of (range, tail, doc_id, text).
 
@@ -134,22 +146,25 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     range's first document (after the last range: of the first).
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    marks = [i / parts for i in range(1, parts)]
-    splits = sorted(set(ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, marks)), F.lit(10000)).alias("s")).first()["s"] or [])) if marks else []
-    listed = lambda xs: F.expr("array(" + ",".join(f"{x}L" for x in xs) + ")")
-    bound = F.size(F.filter(listed(splits), lambda s: s <= F.col("doc_id"))) if splits else F.lit(0)
+    splits = []
+    if parts > 1:
+        marks = _listed([i / parts for i in range(1, parts)], "double")
+        splits = sorted(set(ids.agg(F.percentile_approx("doc_id", marks, F.lit(max(10000, 2 * parts))).alias("s")).first()["s"] or []))
     # Null ids come before all others.
-    rows = docs.select(F.coalesce(bound, F.lit(0)).alias("range"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.when(F.count("*") > F.count("doc_id"), None).otherwise(F.min("doc_id")).alias("first")).collect()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(_range_of(splits).alias("range"), "doc_id", "text")
+    firsts = {r["range"]: (r["first"], r["nulls"]) for r in rows.groupBy("range").agg(F.min("doc_id").alias("first"), (F.count("*") - F.count("doc_id")).alias("nulls")).collect()}
     present = sorted(firsts)
     if not present:
         return rows.withColumn("tail", F.lit(0)).limit(0)
     before = {r: present[i - 1] for i, r in enumerate(present)}
     every = range(len(splits) + 1)
-    to = F.element_at(F.expr("array(" + ",".join(str(before.get(r, 0)) for r in every) + ")"), F.col("range") + 1)
-    first = F.element_at(F.expr("array(" + ",".join(f"{firsts[r]}L" if firsts.get(r) is not None else "null" for r in every) + ")").cast("array<bigint>"), F.col("range") + 1)
+    to = F.get(_listed([before.get(r, 0) for r in every], "int"), F.col("range"))
+    first = F.get(_listed([firsts.get(r, (0, 0))[0] or 0 for r in every]), F.col("range"))
+    is_first = F.col("doc_id") == first
+    if firsts.get(0, (0, 0))[1]:  # only the first range holds null ids
+        is_first = F.when(F.col("range") == 0, F.col("doc_id").isNull()).otherwise(is_first)
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("tail"))
-    copies = F.when(F.col("doc_id").eqNullSafe(first), F.array(own, F.struct(to.alias("range"), F.lit(1).alias("tail")))).otherwise(F.array(own))
+    copies = F.when(is_first, F.array(own, F.struct(to.alias("range"), F.lit(1).alias("tail")))).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", F.explode(copies).alias("_to")).select("_to.range", "_to.tail", "doc_id", "text")
     return dealt.repartitionById(parts, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
@@ -167,7 +182,7 @@ def neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     a time. Only quantiles and first ids of the ranges reach the driver. Ranges
     can't divide rows with one doc_id.
     """
-    parts = parts or min(MOST_RANGES, max(8, 2 * docs.rdd.getNumPartitions()))
+    parts = parts or max(8, 2 * docs.rdd.getNumPartitions())
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
     def row(doc, following):

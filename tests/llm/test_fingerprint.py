@@ -25,6 +25,38 @@ def test_edit_distance_by_the_table():
         assert f.edit_distance(a, b) == levenshtein(a, b)
 
 
+def by_the_byte(data):
+    """The fingerprint, one byte after the other."""
+    block = 4
+    while block * 64 < len(data):
+        block *= 2
+    signatures = []
+    for size in (block, 2 * block):
+        letters, length, total = "", 0, 0
+        for i in range(len(data)):
+            window = (bytes(6) + data[: i + 1])[-7:] if i < 7 else data[i - 6 : i + 1]
+            h = sum(b * (0x9E3779B1 ** (j + 1)) for j, b in enumerate(window)) % 2**32
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D % 2**32
+            h ^= h >> 13
+            length, total = length + 1, total + (h ^ h << 7) % 2**32
+            triggered = h % size == size - 1 and length >= size // 4
+            if triggered or length == 4 * size or i == len(data) - 1:
+                letters += f.LETTERS[((total ^ total >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> 58]
+                length, total = 0, 0
+        signatures.append(letters)
+    return f"{block}:{signatures[0]}:{signatures[1]}"
+
+
+def test_fingerprints_by_the_byte(monkeypatch):
+    texts = [random.Random(n).randbytes(n) for n in (0, 1, 2, 6, 7, 8, 255, 256, 257, 1000, 9000)] + [b"ab" * 2000, b"a" * 3000, bytes(700)]
+    texts += [t.encode() for t in pd.read_parquet(f"{SF}/documents.parquet").text if len(t) < 3000][:60]
+    want = [by_the_byte(t) for t in texts]
+    assert [f.fingerprint(t) for t in texts] == want
+    monkeypatch.setattr(f, "SEGMENT", 50)
+    assert [f.fingerprint(t) for t in texts] == want
+
+
 def test_segments_do_not_matter(monkeypatch):
     texts = [random.Random(i).randbytes(n) for i, n in enumerate((0, 1, 6, 7, 8, 100, 5000, 20000))] + [b"ab" * 3000, b"a" * 5000]
     whole = [f.fingerprint(t) for t in texts]
@@ -45,7 +77,7 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
+@pytest.mark.parametrize("parts", [1, 3, 16, 150])
 def test_documents_one_after_the_other(spark, parts):
     docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
     got = f.neighbours(spark.read.parquet(f"{SF}/documents.parquet").repartition(5), parts).collect()
