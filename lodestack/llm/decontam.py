@@ -1,31 +1,35 @@
 """Benchmark decontamination: a BM25 index of test items, block-max WAND, and overlap checks.
 
 Every training passage, a window of words long enough that any item fits whole
-into some window, is a query. An item's BM25 score is divided by the score the
-item gives itself, so that one threshold holds for all items. Block-max WAND
-retrieves every item at or above the threshold; in front of it, the maxima of
-groups of blocks bound all windows of a text at once. A retrieved item counts if
-enough of its question words and of its answer words lie in runs of three words
-that the passage shares.
+into some window, is a query. Items form classes by length, each with its own
+index and windows, so that a long item doesn't widen the windows of short ones.
+An item's BM25 score is divided by the score the item gives itself, so that one
+threshold holds for all items. Block-max WAND retrieves every item at or above
+the threshold; in front of it, the maxima of groups of blocks bound all windows
+of a text at once. A retrieved item counts if enough of its question words and
+of its answer words lie in runs of three words that a part of the passage, of
+twice the item's length, shares.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read
+from .common import cut, map_arrow, read
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved; shares of question and answer words that must be found.
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.5, 0.5
-#: Words of a run, items of a block, least words of half a window.
-RUN, BLOCK, HALF = 3, 2, 32
+#: Words of a run, items of a block, words of half a window for the shortest class of items; each further class has items of up to WIDER times that.
+RUN, BLOCK, HALF, WIDER = 3, 2, 64, 4
 #: Most bytes of item texts in one index; more items are searched index by index.
 INDEX_BYTES = 32 << 20
 #: Most cells of the table of group maxima.
@@ -50,11 +54,10 @@ class Item:
 
 
 class Index:
-    """Postings of items with block maxima. total, average and df are over all items, also of other indexes."""
+    """Postings of items of at most `half` words with block maxima. total, average and df are over all items, also of other indexes."""
 
-    def __init__(self, items: list[Item], total: int, average: float, df: dict[str, int]):
-        self.items = items = [x for x in items if x.words]
-        self.half = max([HALF, *(len(x.words) for x in items)])
+    def __init__(self, items: list[Item], total: int, average: float, df: dict[str, int], half: int = HALF):
+        self.items, self.half = items, half
         self.ids: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
         for n, item in enumerate(items):
@@ -168,26 +171,43 @@ def overlaps(item: Item, words: list[str]) -> tuple[float, float]:
     return (sum(q) / len(q) if q else 1.0), (sum(a) / len(a) if a else 1.0)
 
 
-def matches(text: str | None, index: Index, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> dict[int, tuple[float, float, float]]:
-    """For each item found in a text: score, question overlap and answer overlap of its best passage."""
+def by_length(items: list[Item], total: int, average: float, df: dict[str, int]) -> list[Index]:
+    """An index for each class of lengths among the items; items without words are in none."""
+    classes: dict[int, list[Item]] = {}
+    for x in items:
+        half = HALF
+        while half < len(x.words):
+            half *= WIDER
+        if x.words:
+            classes.setdefault(half, []).append(x)
+    return [Index(held, total, average, df, half) for half, held in sorted(classes.items())]
+
+
+def best_overlaps(item: Item, passage: list[str], question: float, answer: float) -> tuple[float, float]:
+    """The best overlaps (question, answer) of an item in the parts of a passage of twice its length, each beginning a length after the last; parts with enough of both come first."""
+    n = max(RUN, len(item.words))
+    return max((overlaps(item, passage[at : at + 2 * n]) for at in range(0, max(1, len(passage) - n), n)), key=lambda v: (v[0] >= question and v[1] >= answer, sum(v)))
+
+
+def matches(text: str | None, found: list[Index], threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> dict:
+    """For each item found in a text, by (index, number): score, question overlap and answer overlap of its best passage."""
     words, out = tokens(text), {}
-    if not words or not index.items:
-        return out
-    for at, size, found in index.candidates(index.encode(words), threshold):
-        passage = words[at : at + size]
-        for n, s in found:
-            q, a = overlaps(index.items[n], passage)
-            if q >= question and a >= answer and (n not in out or (q + a, s) > (sum(out[n][1:]), out[n][0])):
-                out[n] = (s, q, a)
+    for k, index in enumerate(found if words else []):
+        for at, size, hits in index.candidates(index.encode(words), threshold):
+            passage = words[at : at + size]
+            for n, s in hits:
+                q, a = best_overlaps(index.items[n], passage, question, answer)
+                if q >= question and a >= answer and ((k, n) not in out or (q + a, s) > (sum(out[k, n][1:]), out[k, n][0])):
+                    out[k, n] = (s, q, a)
     return out
 
 
-def indexes(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[Index]:
-    """Indexes of items (item_id, text, optionally answer), each of at most about most_bytes of text.
+def indexes(items: DataFrame, most_bytes: int = INDEX_BYTES) -> Iterator[list[Index]]:
+    """Indexes of items (item_id, text, optionally answer), those of at most about most_bytes of text at a time.
 
-    Statistics are over all items. Their sizes are summed first: one index is
+    Statistics are over all items. Their sizes are summed first: one share is
     the rule, and a larger set is dealt by hash over as many as it takes, so
-    what is sent to the executors at a time stays bounded.
+    what the driver holds and sends to the executors at a time stays bounded.
     """
     answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
     rows = items.select("item_id", "text", answer.alias("answer"))
@@ -200,7 +220,8 @@ def indexes(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[Index]:
             for w in set(x.words):
                 df[w] = df.get(w, 0) + 1
         words = sum(len(x.words) for x in made)
-        return [Index(made, len(made), words / max(1, len(made)), df)]
+        yield by_length(made, len(made), words / max(1, len(made)), df)
+        return
 
     def counts(batches):
         for batch in batches:
@@ -212,15 +233,28 @@ def indexes(items: DataFrame, most_bytes: int = INDEX_BYTES) -> list[Index]:
                     held[w] = held.get(w, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
 
-    df_rows = rows.mapInArrow(counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    df_rows = cut(rows.mapInArrow(counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
     total = rows.count()
     average = (df_rows.where("w = ''").first() or {"n": 0})["n"] / max(1, total)
-    out = []
     for k in range(shards):
         made = [Item(r["item_id"], r["text"], r["answer"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()]
         own = df_rows.sparkSession.createDataFrame([(w,) for w in {w for x in made for w in x.words}], "w string")
         df = {r["w"]: r["n"] for r in df_rows.join(own, "w").collect()}
-        out.append(Index(made, total, average, df))
+        yield by_length(made, total, average, df)
+
+
+def _each(items: DataFrame, most_bytes: int, step: Callable[[Broadcast, DataFrame | None], DataFrame]) -> list[DataFrame]:
+    """step(broadcast indexes, the last step's rows) for every share of the items.
+
+    With several shares each one's rows are written before the next share is made, and its broadcast is let go.
+    """
+    sc, out, last = items.sparkSession.sparkContext, [], None
+    for found in indexes(items, most_bytes):
+        if last is not None:
+            out[-1] = cut(out[-1])
+            last.destroy()
+        last = sc.broadcast(found)
+        out.append(step(last, out[-1] if out else None))
     return out
 
 
@@ -233,36 +267,43 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     table on either side gives an empty result.
     """
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    out = None
-    for index in indexes(items, most_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches, shared=shared):
-            index = shared.value
+    def step(shared: Broadcast, _: DataFrame | None) -> DataFrame:
+        def work(batches):
+            found = shared.value
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    rows += [(doc_id, index.items[n].item_id, *v) for n, v in sorted(matches(text.as_py(), index, threshold, question, answer).items())]
+                    rows += [(doc_id, found[k].items[n].item_id, *v) for (k, n), v in sorted(matches(text.as_py(), found, threshold, question, answer).items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.mapInArrow(work, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.union(part)
+        return docs.mapInArrow(work, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+    parts = _each(items, most_bytes, step)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
     return out
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, most_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of docs in which no item is found, with all their columns."""
-    at = docs.columns.index("text")
-    for index in indexes(items, most_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    """The rows of docs in which no item is found, with all their columns.
 
-        def work(batches, shared=shared):
+    Rows are judged one by one, repeated rows and rows with a null doc_id too;
+    rows with a null or empty text stay. Without items all rows stay; an empty
+    table gives an empty result.
+    """
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def step(shared: Broadcast, before: DataFrame | None) -> DataFrame:
+        def work(batches):
             for batch in batches:
                 yield batch.filter(pa.array([not matches(t.as_py(), shared.value) for t in batch.column(at)], pa.bool_()))
 
-        docs = map_arrow(docs, work, docs.schema)
-    return docs
+        return map_arrow(docs if before is None else before, work, schema)
+
+    return _each(items, most_bytes, step)[-1]
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,14 +81,24 @@ def page_links(pages: DataFrame) -> DataFrame:
     count, outside comments and scripts. A page whose url has no '://' has no edges.
     """
     html = F.coalesce("html", F.lit(""))
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
+    # What is left open goes to the end of the text, so that no end is looked for twice.
+    body = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*+>|\z)|<style\b.*?(?:</style\s*+>|\z)", " ")
     likely = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", body.alias("_body"))
-    tags = likely.select("url", F.explode(F.regexp_extract_all("_body", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
-    value = lambda name: F.concat(*[F.regexp_extract("tag", r"(?is)[\s\"']" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i) for i in (1, 2, 3)])
-    canonical = F.col("tag").rlike(r"(?is)^<link\b") & value("rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
-    refresh = F.col("tag").rlike(r"(?is)^<meta\b") & value("http-equiv").rlike(r"(?i)^\s*refresh\s*$")
-    target = F.when(canonical, value("href")).when(refresh, F.regexp_extract(value("content"), r"(?is)\burl\s*=\s*['\"]?([^'\"]*)", 1))
-    found = tags.select("url", resolved(target, F.col("url")).alias("to")).where("to is not null")
+    tags = likely.select("url", F.explode(F.regexp_extract_all("_body", F.lit(r"(?is)<(?:link|meta)\b[^>]*+(?:>|\z)"), F.lit(0))).alias("tag"))
+
+    def value(name: str) -> Column:
+        """An attribute's value without its quotes; empty if it isn't there."""
+        pattern = r"(?is)[\s\"']" + name + r"""\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+        return F.regexp_replace(F.regexp_extract("tag", pattern, 1), r"""^["']|["']$""", "")
+
+    # A projection of their own, so that each attribute is taken once.
+    names = {"rel": "rel", "equiv": "http-equiv", "href": "href", "content": "content"}
+    taken = tags.select("url", F.col("tag").rlike(r"(?is)^<link\b").alias("link"), *[value(v).alias(k) for k, v in names.items()])
+    canonical = F.col("link") & F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = ~F.col("link") & F.col("equiv").rlike(r"(?i)^\s*refresh\s*$")
+    target = F.when(canonical, F.col("href")).when(refresh, F.regexp_extract("content", r"(?is)\burl\s*=\s*['\"]?([^'\"]*)", 1))
+    targets = taken.select("url", target.alias("href")).where("href <> ''")
+    found = targets.select("url", resolved(F.col("href"), F.col("url")).alias("to")).where("to is not null")
     return found.select(node_key(F.col("url")).alias("a"), node_key(F.col("to")).alias("b")).where("a is not null and b is not null")
 
 
@@ -135,23 +145,33 @@ def _sql_rules() -> str:
     return ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 
-#: Verdicts by rules, and aliases by the canonical and refresh tags with absolute targets.
-OP4_SQL = f"""
+def _sql_attribute(name: str) -> str:
+    return rf"""regexp_replace(regexp_extract(tag, '(?is)[\s"'']{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')"""
+
+
+#: Verdicts by rules, and by aliases through canonical and refresh tags whose targets are absolute.
+OP4_SQL = rf"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES {_sql_rules()}),
-base AS (SELECT page_id, url, html,
-  CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-parts AS (SELECT page_id, url, html,
+base AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, url,
   CASE WHEN rest IS NULL THEN '' ELSE translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') END AS host,
   CASE WHEN rest IS NULL THEN '' ELSE regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) END AS path FROM base),
-fit AS (SELECT page_id, url, html, host, path,
-  (SELECT max({{'n': length(r.h) + length(r.p), 'rule': r.h || r.p, 'verdict': r.verdict}}) FROM rules r
-   WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)) AS best FROM parts),
-keyed AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(url, '#.*$', '') END AS k,
-  regexp_extract(html, '(?is)<link\\b[^>]*rel\\s*=\\s*"?canonical[^>]*href\\s*=\\s*"([^"#]*)', 1) AS c FROM fit),
-edges AS (SELECT k AS a, c AS b FROM keyed WHERE c <> '' UNION SELECT c, k FROM keyed WHERE c <> ''),
-reach AS (SELECT DISTINCT a AS n, a AS m FROM edges UNION SELECT r.n, e.b FROM reach r JOIN edges e ON e.a = r.m),
-carried AS (SELECT r.n, CASE WHEN bool_or(k.best.verdict = 'allow') THEN 'allow' WHEN bool_or(k.best.verdict = 'block') THEN 'block' END AS v
-  FROM reach r JOIN keyed k ON k.k = r.m GROUP BY r.n)
-SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, c.v, 'allow') AS verdict
-FROM keyed LEFT JOIN carried c ON c.n = keyed.k
+tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*(?:>|\z)')) AS tag
+  FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+targets AS (SELECT url, CASE
+  WHEN regexp_matches(tag, '(?is)^<link\b') THEN CASE WHEN regexp_matches({_sql_attribute("rel")}, '(?i)(^|\s)canonical(\s|$)') THEN {_sql_attribute("href")} END
+  WHEN regexp_matches({_sql_attribute("http-equiv")}, '(?i)^\s*refresh\s*$') THEN regexp_extract({_sql_attribute("content")}, '(?is)\burl\s*=\s*[''"]?([^''"]*)', 1) END AS target FROM tags),
+urls AS (SELECT url FROM pages UNION SELECT target FROM targets),
+keys AS (SELECT url, regexp_replace(url, '#.*$', '') AS bare, translate(regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1), '{UPPER}', '{LOWER}') AS head FROM urls WHERE contains(url, '://')),
+nodes AS (SELECT url, head || CASE WHEN length(head) = length(bare) THEN '/' ELSE substr(bare, length(head) + 1) END AS k FROM keys WHERE head <> ''),
+edges AS (SELECT a.k AS a, b.k AS b FROM targets t JOIN nodes a ON a.url = t.url JOIN nodes b ON b.url = t.target),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a AS n, a AS m FROM both_ways UNION SELECT r.n, e.b FROM reach r JOIN both_ways e ON e.a = r.m),
+ends AS (SELECT DISTINCT m, regexp_extract(m, '://([^/?]*)', 1) AS host, regexp_extract(m, '://[^/?]*([^?]*)', 1) AS path FROM reach),
+fit AS (SELECT host, path, max({{'n': length(r.h) + length(r.p), 'rule': r.h || r.p, 'verdict': r.verdict}}) AS best
+  FROM (SELECT host, path FROM parts UNION SELECT host, path FROM ends) x JOIN rules r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY host, path),
+carried AS (SELECT r.n, CASE WHEN bool_or(f.best.verdict = 'allow') THEN 'allow' WHEN bool_or(f.best.verdict = 'block') THEN 'block' END AS v
+  FROM reach r JOIN ends e ON e.m = r.m JOIN fit f ON f.host = e.host AND f.path = e.path GROUP BY r.n)
+SELECT p.page_id, p.host, p.path, f.best.rule AS rule, coalesce(f.best.verdict, c.v, 'allow') AS verdict
+FROM parts p LEFT JOIN fit f ON f.host = p.host AND f.path = p.path LEFT JOIN nodes n ON n.url = p.url LEFT JOIN carried c ON c.n = n.k
 """

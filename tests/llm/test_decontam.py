@@ -14,7 +14,7 @@ def index(texts):
     for x in items:
         for w in set(x.words):
             df[w] = df.get(w, 0) + 1
-    return d.Index(items, len(items), sum(len(x.words) for x in items) / max(1, len(items)), df)
+    return d.by_length(items, len(items), sum(len(x.words) for x in items) / max(1, len(items)), df)
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def bench():
 
 @pytest.mark.parametrize("threshold", [0.2, 0.4, 0.6])
 def test_wand_finds_what_full_scoring_finds(bench, threshold):
-    ix, rng = index(bench), random.Random(1)
+    (ix,), rng = index(bench), random.Random(1)
     for _ in range(300):
         words = rng.choice(bench).split()[: rng.randrange(1, 40)] + rng.choice(bench).split()[: rng.randrange(20)]
         terms = sorted({int(t) for t in ix.encode(d.tokens(" ".join(words)))} - {len(ix.postings)})
@@ -52,9 +52,22 @@ def test_edited_and_moved_items_are_found(bench):
     for n, b in enumerate(bench):
         words = b.split()
         words[len(words) // 3] = "changed"
-        assert n in d.matches(filler + " ".join(words).upper() + " " + filler, ix)
+        assert (0, n) in d.matches(filler + " ".join(words).upper() + " " + filler, ix)
         half = " ".join(b.split()[: len(b.split()) // 2])
-        assert n not in d.matches(filler + half + " " + filler, ix)
+        assert (0, n) not in d.matches(filler + half + " " + filler, ix)
+
+
+def test_a_long_item_leaves_the_others_alone(bench):
+    """A very long item has windows of its own: what is found of the others stays the same."""
+    rng = random.Random(3)
+    long = " ".join(f"u{rng.randrange(3000)}" for _ in range(20000))
+    scattered = " ".join(" ".join([*bench[0].split()[i : i + 3], *(f"z{i}{j}" for j in range(400))]) for i in range(0, len(bench[0].split()), 3))
+    for found in (index(bench), index([*bench, long])):
+        assert d.matches(scattered, found) == {}
+        assert {found[k].items[n].item_id for k, n in d.matches("begin " * 50 + bench[5] + " end" * 50, found)} == {5}
+    found = index([*bench, long])
+    assert [ix.half for ix in found] == [64, 65536]
+    assert {found[k].items[n].item_id for k, n in d.matches("begin " * 50 + long + " end" * 50, found)} == {len(bench)}
 
 
 def test_edges(spark, edge, empty, bench):
@@ -72,3 +85,5 @@ def test_shards_find_the_same(spark, bench):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole, parts = (sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in d.contaminated(docs, items, most_bytes=n).collect()) for n in (d.INDEX_BYTES, 3000))
     assert whole == parts
+    clean, other = (sorted(r["doc_id"] for r in d.keep_clean(docs, items, n).collect()) for n in (d.INDEX_BYTES, 3000))
+    assert clean == other == sorted({r["doc_id"] for r in docs.collect()} - {i for i, *_ in whole})

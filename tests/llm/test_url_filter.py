@@ -1,4 +1,8 @@
 import random
+import time
+
+import duckdb
+import pandas as pd
 
 from lodestack.llm import url_filter as u
 from lodestack.llm.common import components
@@ -68,3 +72,31 @@ def test_aliases(spark):
     log = spark.createDataFrame([("http://g.org/", "http://hop.org/"), ("http://hop.org/", "http://b.net/fr/1"), (None, "x")], "source_url string, target_url string")
     assert u.judge(pages(spark, *rows), redirects=log).where("page_id = 9").first()["verdict"] == "block"
     assert u.judge(pages(spark, *rows).where("false")).count() == 0
+
+
+def test_planted_links_by_sql(spark):
+    """Chains, stars and cycles of canonical and refresh tags with absolute targets, against DuckDB."""
+    rng = random.Random(5)
+    hosts = ["a.org", "B.org", "example.com", "www.Example.com", "c.net", "d.net", "e.de"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/1", "/fr/2", "/es/3?q=1", "/x#f")]
+    shapes = [
+        '<link rel="canonical" href="{}">', "<LINK HREF='{}' REL='alternate Canonical'/>", "<link rel=canonical href={}>", '<meta http-equiv="refresh" content="5; url={}">',
+        "<meta content=\"0;URL='{}'\" http-equiv=Refresh>", '<!-- <link rel="canonical" href="{}"> -->', '<link rel="next" href="{}">', '<script>var x = \'<link rel="canonical" href="{}">\'</script>', "<!-- open <link rel=canonical href={}>",
+    ]
+    rows = [(i, rng.choice([*urls, None, "no scheme"]), "<p>" + rng.choice(shapes).format(rng.choice(urls)) if rng.random() < 0.3 else rng.choice([None, "", "<p>canonical"])) for i in range(300)]
+    frame = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    c = duckdb.connect()
+    c.register("pages", frame)
+    want = sorted(tuple(r) for r in c.execute(f"select page_id, host, path, rule, verdict from ({u.OP4_SQL.strip()})").fetchall())
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in u.judge(pages(spark, *rows)).collect())
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(r["alias"] for r in u.judge(pages(spark, *rows)).collect()) > 20
+
+
+def test_very_long_html(spark):
+    """What is opened over and over and never closed takes linear time."""
+    begun = time.perf_counter()
+    rows = [(i, f"http://h{i}.org/", "canonical " + piece * (2_000_000 // len(piece))) for i, piece in enumerate(("<!-- x", "<script>x ", "<link rel=", "<meta content='", "<link rel=canonical href=http://b.net/fr/1 ", "<link href='//b.net/fr/1' rel=canonical>"))]
+    got = {r["page_id"]: r["verdict"] for r in u.judge(pages(spark, *rows)).collect()}
+    assert got == {0: "allow", 1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block"}
+    assert time.perf_counter() - begun < 60
