@@ -12,31 +12,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import decontam, mixing, near_dedup, quality, secrets
-from lodestack.llm.common import read, shared_dir
+from lodestack.llm.common import read, remove, shared_dir
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the classifier rejects; it is trained on the labelled rows of documents."""
+    """docs without those that the classifier rejects; it is trained on the labelled rows of documents.
+
+    Every row is judged by its own text, repeated ones and those without a
+    doc_id too; a null or empty text is judged as no bytes.
+    """
     return quality.keep_good(docs, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates on five-word shingles."""
+    """One document of each group of near duplicates on five-word shingles, that of the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows without words are near to
+    nothing; rows without a doc_id all stay.
+    """
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item. Rows with a null or empty text stay, as does everything without items."""
     return decontam.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the secrets in their texts masked and n_chars brought up to date."""
+    """docs with the secrets in their texts masked and n_chars brought up to date. No row goes; null texts stay null."""
     return secrets.redacted(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with block, slot and position in the mixture of sources."""
+    """docs with block, slot and position in the mixture of sources. No row goes; a null source is one of its own."""
     return mixing.mix(docs)
 
 
@@ -53,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents; the last stage's rows."""
+    """All stages over the whole of documents; the last stage's rows. A stage's rows are removed once the next one's are written.
+
+    An empty table goes through all stages and stays empty.
+    """
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("errorifexists").parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -17,8 +17,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where neither the setting nor the context has one (tests), a temporary
-    folder of this machine is set; a cluster always names its own.
+    Where neither the setting nor the context has one, a local session (tests)
+    gets a temporary folder; on a cluster, which has to name a shared one, that
+    is a RuntimeError.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
     made = tempfile.mkdtemp(prefix="lodestack-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -39,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark knows, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -107,8 +107,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PE
     weights doesn't name, a null source (mixed as '') among them, gets one
     unit, and the period grows to the sum of units.
 
-    Within a source, rows are in the order of md5(doc_id), then doc_id; a null
-    doc_id counts as ''. Equal rows take adjacent places. block counts a
+    Within a source, rows are in the order of md5(doc_id), then doc_id, then a
+    hash of all columns but maps; a null doc_id counts as ''. Equal rows take
+    adjacent places. block counts a
     source's blocks from 0; slot is the block's place in the whole mixture;
     position is slot * block_docs + the row's place in the block. No row is
     dropped: once a source has run out its later slots stay empty, and up to
@@ -124,7 +125,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PE
     while any(c.lower().startswith(p) for c in kept):
         p = "_" + p
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(*[quoted(c) for c in kept], key.alias(f"{p}_key")).withColumn(f"{p}_source", F.coalesce("source", F.lit(""))).withColumn(f"{p}_range", F.substring(f"{p}_key", 1, RANGE_DIGITS))
+    tie = F.xxhash64(*[quoted(f.name) for f in docs.schema.fields if f.name in kept and "map<" not in f.dataType.simpleString()])
+    rows = docs.select(*[quoted(c) for c in kept], key.alias(f"{p}_key"), tie.alias(f"{p}_tie")).withColumn(f"{p}_source", F.coalesce("source", F.lit(""))).withColumn(f"{p}_range", F.substring(f"{p}_key", 1, RANGE_DIGITS))
     counts = docs.select(F.coalesce("source", F.lit("")).alias(f"{p}_source"), F.substring(key, 1, RANGE_DIGITS).alias(f"{p}_range")).groupBy(f"{p}_source", f"{p}_range").agg(F.count("*").alias(f"{p}_n"))
     by_source = counts.groupBy(F.col(f"{p}_source").alias("source")).agg(F.sum(f"{p}_n").alias("n"))
     if weights is None:
@@ -142,7 +144,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PE
     if n_sources > BROADCAST:
         # Units go along with the ranges' counts, so that no join of rows is by source alone.
         offsets = offsets.join(sizes, f"{p}_source")
-    rank = F.row_number().over(Window.partitionBy(f"{p}_source", f"{p}_range").orderBy(f"{p}_key", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(f"{p}_source", f"{p}_range").orderBy(f"{p}_key", "doc_id", f"{p}_tie"))
     placed = rows.withColumn(f"{p}_rank", rank).join(offsets, [f"{p}_source", f"{p}_range"])
     placed = placed.withColumn(f"{p}_at", F.col(f"{p}_before") + F.col(f"{p}_rank") - 1).withColumn(f"{p}_block", F.expr(f"{p}_at div {block_docs}"))
     if n_sources <= BROADCAST:

@@ -9,8 +9,11 @@ length, without inflating it. Members without the field, and plain archives,
 are read too; there the payload is passed over by inflating or by seeking.
 
 Files are opened through pyarrow's file systems, so an archive folder may be a
-path or a URI of any store that pyarrow knows. Python data sources must be
-importable on the executors, as this package is.
+path or a URI of any store that pyarrow knows, and read through a buffer. Every
+committed job leaves a manifest of its files: appending adds one, overwriting
+takes away the others, and a file of the writer that no manifest names is that
+of a lost attempt. Archives of other writers in the folder are read as well.
+Python data sources must be importable on the executors, as this package is.
 """
 
 from __future__ import annotations
@@ -38,7 +41,10 @@ FILE_BYTES, BATCH_ROWS, BATCH_BYTES = 256 << 20, 512, 16 << 20
 #: The date of records whose input has none.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+#: Names of the writer's files and of its jobs' manifests.
+OWN, MANIFEST = re.compile(r"^part-[0-9a-f]{32}\.warc\.gz$"), re.compile(r"^_manifest-[0-9a-f]{32}\.json$")
+#: Bytes that the reader asks a store for at a time.
+BUFFER = 1 << 18
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, content_length long, payload binary"
 #: Column of the schema: the header that it is read from.
@@ -64,6 +70,20 @@ def open_store(path: str):
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def listing(store, at: str) -> tuple[list[str], list[str]]:
+    """(archives to be read, manifests) under a folder. Without any manifest all archives are read."""
+    from pyarrow import fs
+
+    found = sorted(x.path for x in store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)) if x.type == fs.FileType.File)
+    manifests = [x for x in found if MANIFEST.match(x.rsplit("/", 1)[-1])]
+    named = set()
+    for name in manifests:
+        with store.open_input_stream(name) as f:
+            named.update(json.loads(f.read()))
+    archives = [x for x in found if re.search(r"\.warc(\.gz)?$", x)]
+    return [x for x in archives if not manifests or x.rsplit("/", 1)[-1] in named or not OWN.match(x.rsplit("/", 1)[-1])], manifests
+
+
 def clean(value: str) -> str:
     """A header's value on one line: line ends and NUL are percent-encoded."""
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").replace("\0", "%00") if re.search(r"[\r\n\0%]", value) else value
@@ -215,17 +235,7 @@ class WarcReader(DataSourceReader):
         store, at = open_store(self.path)
         from pyarrow import fs
 
-        info = store.get_file_info(at)
-        if info.type == fs.FileType.File:
-            files = [at]
-        else:
-            with_manifest = store.get_file_info(f"{at}/{MANIFEST}").type == fs.FileType.File
-            if with_manifest:
-                with store.open_input_stream(f"{at}/{MANIFEST}") as f:
-                    files = [f"{at}/{x}" for x in json.loads(f.read())]
-            else:
-                found = store.get_file_info(fs.FileSelector(at, recursive=True))
-                files = sorted(x.path for x in found if x.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path))
+        files = [at] if store.get_file_info(at).type == fs.FileType.File else listing(store, at)[0]
         return [Part(files[i : i + self.group]) for i in range(0, len(files), self.group)] or [Part([])]
 
     def wanted(self, head: dict[str, str]) -> bool:
@@ -244,7 +254,7 @@ class WarcReader(DataSourceReader):
 
         rows, held = [], 0
         for name in partition.files:
-            with store.open_input_file(name) as f:
+            with store.open_input_file(name) as raw, io.BufferedReader(raw, BUFFER) as f:
                 for head, payload in scan(f, self.wanted, self.payload):
                     values = [head.get(HEADERS[n]) for n in names]
                     values[2:4] = [plain(v) if v is not None else None for v in values[2:4]]
@@ -280,9 +290,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each attempt writes files of its own; the manifest names those of the committed ones, so retried tasks leave no records behind."""
+    """Each attempt writes files of its own; the job's manifest names those of the committed ones, so retried tasks leave no records behind."""
 
     def __init__(self, options, overwrite):
+        self.overwrite = overwrite
         self.path, self.level, self.date = options["path"], int(options.get("level", "6")), options.get("date", DATE)
 
     def write(self, iterator):
@@ -295,7 +306,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or size > FILE_BYTES:
                         if out:
                             out.close()
-                        names.append(f"{uuid.uuid4().hex}.warc.gz")
+                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
                         out, size = store.open_output_stream(f"{at}/{names[-1]}", compression=None), 0
                     data = member(self.encode(r), self.level)
                     out.write(data)
@@ -318,8 +329,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         store, at = open_store(self.path)
         store.create_dir(at, recursive=True)
-        with store.open_output_stream(f"{at}/{MANIFEST}", compression=None) as f:
+        archives, manifests = listing(store, at) if self.overwrite else ([], [])
+        with store.open_output_stream(f"{at}/_manifest-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        # The manifests go first: a file that none names isn't read.
+        new = {x for m in messages if m for x in m.files}
+        for name in [*manifests, *(x for x in archives if x.rsplit("/", 1)[-1] not in new)]:
+            store.delete_file(name)
 
     def abort(self, messages):
         store, at = open_store(self.path)
@@ -372,8 +388,8 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, path: str, level: int = 6) -> None:
-    """Write pages (page_id, url, html) as WARC files under path."""
+def write_archive(pages: DataFrame, path: str, level: int = 6, mode: str = "append") -> None:
+    """Write pages (page_id, url, html) as WARC files under path: beside what is there (append) or in its place (overwrite)."""
     register(pages.sparkSession)
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     out = with_revisits(pages).select(
@@ -381,7 +397,7 @@ def write_archive(pages: DataFrame, path: str, level: int = 6) -> None:
         F.concat(F.lit("sha256:"), F.col("payload_digest")).alias("payload_digest"), "payload_bytes", F.lit(0).cast("long").alias("content_length"),
         F.when(F.col("record_type") == "revisit", None).otherwise(F.col("payload")).alias("payload"),
     )
-    out.write.format("warc").option("path", path).option("level", str(level)).mode("append").save()
+    out.write.format("warc").option("path", path).option("level", str(level)).mode(mode).save()
 
 
 def read_archive(spark: SparkSession, path: str, types: str = "", payload: bool = True, **headers: str) -> DataFrame:

@@ -80,3 +80,33 @@ def test_empty(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
     assert docs.count() == 0
     assert near_dedup.keep_one(docs).count() == 0
+
+
+def test_edges(spark, edge, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through all stages."""
+    docs = edge
+    for k, (name, stage) in enumerate(p.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
+        if name == "source mixture":
+            assert [c for c in docs.columns if c not in ("block", "slot", "position")] == [c for c in after.columns if c not in ("block", "slot", "position")]
+            assert after.count() == docs.count()
+        else:
+            assert after.columns == docs.columns
+            assert after.count() <= docs.count()
+        # What the classifier makes of such rows is its own matter; the next stages get them all.
+        docs = after if k else edge
+
+
+def test_intermediate_rows_are_removed(spark):
+    from pathlib import Path
+
+    from lodestack.llm.common import shared_dir
+
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(at.glob("pipeline-*"))
+    rows = p.run(spark, SF).count()
+    (made,) = set(at.glob("pipeline-*")) - before
+    assert [x.name for x in made.iterdir()] == [str(len(p.STAGES) - 1)]
+    assert rows > 0

@@ -8,6 +8,7 @@ from lodestack.llm import warc as w
 
 
 def pages(spark, *rows):
+    rows = rows or [(0, None, None)]
     return spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, payload string, record_type string")
 
 
@@ -78,7 +79,42 @@ def test_pushed_predicates(spark, tmp_path):
 
 def test_uncommitted_files_are_not_read(spark, tmp_path):
     w.write_archive(pages(spark, (1, "u", "x")), str(tmp_path / "w"))
-    (tmp_path / "w/lost-attempt.warc.gz").write_bytes(b"half a reco")
+    (tmp_path / f"w/part-{"f" * 32}.warc.gz").write_bytes(b"half a reco")
     assert w.read_archive(spark, str(tmp_path / "w")).count() == 1
     w.write_archive(pages(spark, (1, "u", "x")).where("false"), str(tmp_path / "none"))
     assert w.read_archive(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_appending_and_overwriting(spark, tmp_path):
+    at = tmp_path / "w"
+    ids = lambda: sorted(r["record_id"] for r in w.read_archive(spark, str(at)).collect())
+    w.write_archive(pages(spark, (1, "u", "one"), (2, "u", "two")).repartition(2), str(at))
+    w.write_archive(pages(spark, (3, "u", "three")), str(at))
+    assert ids() == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
+    # A lost attempt's file, which no manifest names, and another writer's archives.
+    lost = w.member(w.record([("WARC-Type", "response"), ("WARC-Record-ID", "<lost>")], b"x"))
+    (at / f"part-{'0' * 32}.warc.gz").write_bytes(lost)
+    foreign = [w.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<foreign-{n}>")], b"y" * 300000) for n in range(3)]
+    (at / "CRAWL-0001.warc.gz").write_bytes(b"".join(map(gzip.compress, foreign[:2])))
+    (at / "plain.warc").write_bytes(foreign[2])
+    assert ids() == ["<foreign-0>", "<foreign-1>", "<foreign-2>", "<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
+    w.write_archive(pages(spark, (4, "u", "four")), str(at), mode="overwrite")
+    assert ids() == ["<urn:page:4>"]
+    w.write_archive(pages(spark).where("false"), str(at), mode="overwrite")
+    assert ids() == []
+
+
+def test_reads_are_buffered(tmp_path):
+    records = b"".join(w.member(w.record([("WARC-Type", "revisit")], b"")) for _ in range(2000))
+
+    class Counting(io.BytesIO):
+        asked = 0
+
+        def readinto(self, b):
+            Counting.asked += 1
+            return super().readinto(b)
+
+    with io.BufferedReader(Counting(records), w.BUFFER) as f:
+        assert len(list(w.scan(f, lambda h: True, True))) == 2000
+    # The last records of a file ask once or twice more for what comes after the end.
+    assert Counting.asked <= 40
