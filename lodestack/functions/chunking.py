@@ -28,34 +28,61 @@ def tail(text: str) -> str:
     return end[end.find(" ") + 1 :].strip(PY_SPACE)
 
 
+def _after_space(data: bytes, at: int) -> int:
+    """The first place from `at` on where white space ends."""
+    while at < len(data):
+        ahead = data[at : rune_floor(data, at + 256)].decode()
+        blank = len(ahead) - len(ahead.lstrip(PY_SPACE))
+        at += len(ahead[:blank].encode())
+        if blank < len(ahead):
+            break
+    return at
+
+
 def cut_long(text: str) -> list[str]:
-    """Pieces of a text without breaks: cut at the last blank that fits, each after the first led by an overlap."""
-    out = []
-    while len(data := text.encode()) > BUDGET:
-        at = data[:BUDGET].rfind(b" ")
-        if at <= 0:
-            at = rune_floor(data, BUDGET)
-        piece, rest = data[:at].decode(), data[at:].decode().strip(PY_SPACE)
-        out.append(piece)
-        lead = tail(piece)
-        text = f"{lead} {rest}" if lead else rest
-    return [*out, text] if text.strip(PY_SPACE) else out
+    """Pieces of a text without breaks: cut at the last blank that fits, each after the first led by an overlap.
+
+    The text is encoded once and an offset moves over it: the time is linear.
+    """
+    data, out, lead, at = text.encode(), [], b"", 0
+    while len(lead) + len(data) - at > BUDGET:
+        ahead = lead + data[at : at + BUDGET + 4]
+        cut = ahead[:BUDGET].rfind(b" ")
+        # A lead over OVERLAP, to a whole character, would be its own tail for ever: it isn't a piece by itself.
+        if cut <= 0 or OVERLAP < cut < len(lead):
+            cut = rune_floor(ahead, BUDGET)
+        if not out:
+            data = data.decode().rstrip(PY_SPACE).encode()
+        out.append(ahead[:cut].decode())
+        # A lead ends with a blank, so a cut never falls before that.
+        at = _after_space(data, at + max(0, cut - len(lead)))
+        repeated = tail(out[-1])
+        lead = f"{repeated} ".encode() if repeated else b""
+    rest = (lead + data[at:]).decode()
+    return [*out, rest] if rest.strip(PY_SPACE) else out
 
 
 def line_pieces(paragraph: str) -> list[str]:
-    """A paragraph over the budget as pieces of whole lines; a longer line is cut."""
+    """A paragraph over the budget as trimmed pieces of whole lines; a longer line is cut. Blank pieces are left out."""
     out, held, size = [], [], 0
+
+    def close() -> None:
+        if piece := "\n".join(held).strip(PY_SPACE):
+            out.append(piece)
+        held.clear()
+
     for line in paragraph.split("\n"):
         n = len(line.encode())
-        if held and size + n + 1 > BUDGET:
-            out.append("\n".join(held))
-            held, size = [], 0
+        if size + n + 1 > BUDGET:
+            close()
+            size = 0
         if n > BUDGET:
             out += cut_long(line)
         else:
             held.append(line)
             size += n + 1
-    return [*out, "\n".join(held)] if held else out
+    close()
+    return out
 
 
 def split_section(text: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 import re
 import sqlite3
+import time
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,74 @@ def test_chunk_counts(sections, want):
     assert abs(len(chunking.split_sections(sections)) - want) <= (1 if want > 2 else 0)
 
 
+def plain_pieces(line):
+    """cut_long() with strings only: the rest is measured and cut anew for every piece."""
+    out, rest, lead = [], line, ""
+    while len(rest.encode()) > 2000:
+        fits = rest
+        while len(fits.encode()) > 2000:
+            fits = fits[: len(fits) - max(1, (len(fits.encode()) - 2000) // 4)]
+        at = fits.rfind(" ")
+        at = at if at > 0 and not (at <= len(lead) and len(lead.encode()) > 250) else len(fits)
+        out.append(rest[:at])
+        lead, rest = chunking.tail(rest[:at]), rest[at:].strip(text.PY_SPACE)
+        rest = f"{lead} {rest}" if lead else rest
+    return out + ([rest] if rest.strip(text.PY_SPACE) else [])
+
+
+def plain_chunks(body):
+    """split_section() in one pass over paragraphs and lines."""
+    pieces = []
+    for paragraph in body.replace("\r\n", "\n").split("\n\n"):
+        paragraph = paragraph.strip(text.PY_SPACE)
+        if len(paragraph.encode()) <= 2000:
+            pieces.append(paragraph)
+            continue
+        block = ""
+        for line in paragraph.split("\n"):
+            if len((block + line).encode()) + 1 > 2000:
+                pieces.append(block.strip(text.PY_SPACE))
+                block = ""
+            if len(line.encode()) > 2000:
+                pieces += plain_pieces(line)
+            else:
+                block += line + "\n"
+        pieces.append(block.strip(text.PY_SPACE))
+    out, now = [], ""
+    for piece in filter(None, pieces):
+        if now and len((now + piece).encode()) + 2 > 2000:
+            out.append(now.strip(text.PY_SPACE))
+            lead = chunking.tail(now)
+            now = f"{lead}\n\n" if lead and len((lead + piece).encode()) + 2 <= 2000 else ""
+        now += piece + "\n\n"
+    return [c for c in [*out, now.strip(text.PY_SPACE)] if c]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(CHARS, st.lists(st.text(alphabet=st.sampled_from("ab .é漢\n"), max_size=900), max_size=12).map("\n\n      ".join)))
+def test_chunks_by_a_plain_version(body):
+    assert chunking.split_section(body) == plain_chunks(body)
+
+
+def test_documents_chunked_by_a_plain_version():
+    for body in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text:
+        assert chunking.split_section(body) == plain_chunks(body)
+
+
+def test_blank_lines_at_the_edge_of_a_piece_go():
+    lines = ["x" * 90] * 25
+    got = chunking.split_section("\n".join([*lines[:21], " ", "      indented", *lines]))
+    assert got == plain_chunks("\n".join([*lines[:21], " ", "      indented", *lines]))
+    assert all("\n\n " not in c for c in got)
+
+
+def test_a_very_long_line_is_cut_in_linear_time():
+    begun = time.perf_counter()
+    assert len(chunking.split_section("word " * 1_000_000)) > 2000
+    assert len(chunking.split_section("漢" * 1_000_000)) > 1000
+    assert time.perf_counter() - begun < 30
+
+
 @settings(max_examples=150, deadline=None)
 @given(CHARS)
 def test_chunks_keep_the_rules(body):
