@@ -15,10 +15,17 @@ from .sources import extract, folder
 from .streaming import watch
 
 HIT = ("path", "seq", "page", "snippet", "text", "score")
+#: How many times the limit of a search is taken at first, for rows that tie.
+TIES = 4
 #: Written files of one batch of changes that are indexed by themselves; with more the whole root is brought up to date.
 MOST_FILES = 1000
 
 
+def by_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
+    """The rows with one of a few ids."""
+    return df.where(F.col(column).isin(sorted(set(ids))))
+
+
 @dataclass(frozen=True)
 class Stats:
     """What a pass over a source did."""
@@ -94,7 +101,7 @@ class Engine:
             "files": files,
             "chunks": chunks,
             "lengths": keyword.lengths(chunks).join(of_file, "chunk_id"),
-            "postings": keyword.postings(chunks).join(of_file, "chunk_id"),
+            "postings": keyword.stored_postings(chunks),
         }
         if self.embedder is not None:
             alive = old["chunks"].join(dead, "file_id", "left_anti").select("file_id", "chunk_id", "text")
@@ -109,7 +116,7 @@ class Engine:
         for df in (fresh, read, chunks, dead):
             df.unpersist()
         if max(map(len, manifest["segments"].values())) > store.SEGMENTS:
-            self.store.compact()
+            self.store.merge()
         return Stats(changed - failed, total - changed, failed, n_chunks, marks["a"], marks["b"])
 
     def remove(self, *roots: str) -> None:
@@ -137,30 +144,48 @@ class Engine:
         files = tables["files"].select("file_id", "source_id", "path").join(tables["sources"].select("source_id", "tag"), "source_id")
         return tables["chunks"].join(files, "file_id").select("chunk_id", "path", "seq", "page", "text", "tag")
 
-    def search(self, query: str, tag: str = "", limit: int | None = 10, answer: bool = False) -> DataFrame:
+    def _hits(self, tables: dict[str, DataFrame], scored: DataFrame, limit: int, shown: Callable[[str], str]) -> DataFrame:
+        """The best of scored (chunk_id, score), ties by path and seq, as rows of HIT.
+
+        A few best ids are taken first, and their chunks and files found by
+        conditions that are pushed down to the scans. Only where more rows than
+        that tie for the last place are all places joined with the scores.
+        """
+        best = scored.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(TIES * limit).collect()
+        if len(best) == TIES * limit and best[-1]["score"] == best[limit - 1]["score"]:
+            places = tables["chunks"].select("chunk_id", "file_id", "seq").join(tables["files"].select("file_id", "path"), "file_id")
+            best = keyword.top(places.join(scored.select("chunk_id", "score"), "chunk_id"), limit, "path", "seq").select("chunk_id", "score").collect()
+        chunks = by_ids(tables["chunks"], "chunk_id", [r["chunk_id"] for r in best]).collect() if best else []
+        files = by_ids(tables["files"], "file_id", [r["file_id"] for r in chunks]).select("file_id", "path").collect() if best else []
+        path, score = {r["file_id"]: r["path"] for r in files}, {r["chunk_id"]: r["score"] for r in best}
+        rows = [(path[r["file_id"]], r["seq"], r["page"], r["text"], float(score[r["chunk_id"]])) for r in chunks if r["file_id"] in path]
+        rows = sorted(rows, key=lambda r: (-r[4], r[0], r[1]))[:limit]
+        return self.spark.createDataFrame([(*r[:3], shown(r[3]), *r[3:]) for r in rows], "path string, seq int, page int, snippet string, text string, score double")
+
+    def search(self, query: str, tag: str = "", limit: int | None = 10, answer: bool = False, mode: str = "") -> DataFrame:
         """The best hits (path, seq, page, snippet, text, score); for an answer, the nearest ones if none are relevant.
 
-        Scores come from the stored postings of the query's terms; texts are
-        joined to the few hits only.
+        mode: hybrid, or nothing for the same; anything else is a ValueError.
+        Scores come from the stored postings of the query's terms and the
+        version's own statistics; texts are read of the few hits only.
         """
+        if mode not in ("", "hybrid"):
+            raise ValueError(f"unknown mode: {mode}")
         limit = fusion.resolve_limit(limit, 6 if answer else 10, 20 if answer else 100)
         words = text.py_words(query)
         if not words:
             raise ValueError("empty query")
-        tables = self.store.read()
-        chunks = self._passages(tables)
-        places = chunks.where(F.col("tag") == tag).drop("text") if tag else chunks.drop("text")
+        manifest = self.store.manifest()
+        tables, stats = self.store.read(manifest), self.store.stats(manifest)
+        tagged = tables["files"].join(tables["sources"].where(F.col("tag") == tag).select("source_id"), "source_id", "left_semi").select("file_id") if tag else None
 
         def hits(scored: DataFrame, shown) -> DataFrame:
-            found = keyword.top(places.join(scored, "chunk_id"), limit, "path", "seq")
-            # At most `limit` rows: the texts are found by a broadcast of their ids.
-            with_text = tables["chunks"].select("chunk_id", "text").join(F.broadcast(found), "chunk_id")
-            return with_text.select("path", "seq", "page", shown.alias("snippet"), "text", "score").orderBy(F.desc("score"), "path", "seq")
-
-        shown = passages.snippets(F.col("text"), query)
-        postings, lengths = tables["postings"], tables["lengths"]
-        all_words = hits(keyword.bm25(postings, lengths, query), shown)
-        any_word = hits(keyword.bm25(postings, lengths, query, any_word=True), shown) if len(words) > 1 else None
+            return self._hits(tables, scored if tagged is None else scored.join(tagged, "file_id", "left_semi"), limit, shown)
+
+        def by_keyword(any_word: bool) -> DataFrame:
+            return hits(keyword.bm25(tables["postings"], None, query, any_word, stats=stats), lambda t: passages.snippet(t, query))
+
+        all_words, any_word = by_keyword(False), by_keyword(True) if len(words) > 1 else None
         vector, failed = None, False
         pinned = tables["meta"].where("key = 'embed_model'").select("value").first()
         if self.embedder is not None and pinned and pinned[0] == self.embedder.model:
@@ -169,8 +194,8 @@ class Engine:
             except OSError:
                 failed = True
             else:
-                vectors = tables["embeddings"].join(places.select("chunk_id"), "chunk_id", "left_semi") if tag else tables["embeddings"]
-                vector = hits(top_vectors(vectors, q, limit, "chunk_id", "vector"), passages.excerpts(F.col("text"), words))
+                vectors = tables["embeddings"] if tagged is None else tables["embeddings"].join(tagged, "file_id", "left_semi")
+                vector = self._hits(tables, top_vectors(vectors, q, limit, "chunk_id", "vector"), limit, lambda t: passages.excerpt(t, words))
         return fusion.hybrid(all_words, any_word, vector, ["path", "seq"], limit, answer, failed)
 
     def chunk(self, path: str, seq: int, window: int = 1) -> DataFrame:

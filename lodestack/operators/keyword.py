@@ -24,6 +24,13 @@ def lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Dat
     return chunks.select(key, F.size(terms(F.coalesce(text, F.lit("")))).cast("long").alias("dl"))
 
 
+def stored_postings(chunks: DataFrame) -> DataFrame:
+    """(file_id, chunk_id, pos, term, dl) of every token: with the chunk's length, so that a search needs no other table."""
+    found = F.transform(F.array(terms(F.coalesce("text", F.lit("")))), lambda t: F.struct(F.size(t).cast("long").alias("dl"), t.alias("terms")))[0]
+    rows = chunks.select("file_id", "chunk_id", found.alias("_t"))
+    return rows.select("file_id", "chunk_id", F.col("_t.dl").alias("dl"), F.posexplode("_t.terms").alias("pos", "term"))
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row (n, total, avgdl): chunks, tokens, tokens a chunk."""
     return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).withColumn("avgdl", F.col("total") / F.greatest("n", F.lit(1)))
@@ -47,8 +54,8 @@ def phrases(query: str) -> dict[tuple[str, ...], int]:
     return dict(Counter(p for p in (tuple(py_terms(w)) for w in words) if p))
 
 
-def matches(postings: DataFrame, wanted: dict[tuple[str, ...], int], key: str = "chunk_id") -> DataFrame:
-    """(phrase, key, tf): how often each phrase occurs in each chunk that has it.
+def matches(postings: DataFrame, wanted: dict[tuple[str, ...], int], key: str = "chunk_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(phrase, key, carried..., tf): how often each phrase occurs in each chunk that has it. What is carried is the same all over a chunk.
 
     Only postings of the query's terms are read: the condition is pushed to
     the scan. A place where the i-th term of a phrase stands votes for the
@@ -60,30 +67,38 @@ def matches(postings: DataFrame, wanted: dict[tuple[str, ...], int], key: str =
     table = F.broadcast(spark.createDataFrame(rows, "phrase int, i int, term string, size int"))
     found = postings.where(F.col("term").isin(sorted({t for _, _, t, _ in rows})) & F.col(key).isNotNull()).join(table, "term")
     if all(size == 1 for *_, size in rows):
-        return found.groupBy("phrase", key).agg(F.count("*").alias("tf"))
-    votes = found.groupBy("phrase", key, (F.col("pos") - F.col("i")).alias("at"), "size").agg(F.count_distinct("i").alias("votes"))
-    return votes.where("votes = size").groupBy("phrase", key).agg(F.count("*").alias("tf"))
+        return found.groupBy("phrase", key, *carried).agg(F.count("*").alias("tf"))
+    votes = found.groupBy("phrase", key, *carried, (F.col("pos") - F.col("i")).alias("at"), "size").agg(F.count_distinct("i").alias("votes"))
+    return votes.where("votes = size").groupBy("phrase", key, *carried).agg(F.count("*").alias("tf"))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, query: str, any_word: bool = False, key: str = "chunk_id") -> DataFrame:
-    """(key, score) of the chunks that have all phrases of a query, or any.
+def bm25(postings: DataFrame, lengths: DataFrame | None, query: str, any_word: bool = False, key: str = "chunk_id", stats: tuple[int, int] | None = None) -> DataFrame:
+    """(key, score) of the chunks that have all phrases of a query, or any; with file_id where the postings have it.
 
-    Statistics are over all chunks, whatever is filtered afterwards. A word
-    without terms is ignored; if no word has any, nothing is found.
+    Statistics are over all chunks, whatever is filtered afterwards: stats, the
+    numbers of chunks and of tokens, or else those of lengths. Postings that
+    have dl don't need lengths. A word without terms is ignored; if no word has
+    any, nothing is found.
     """
     wanted = phrases(query)
+    carried = tuple(c for c in ("file_id", "dl") if c in postings.columns)
+    kept = [key, *(c for c in carried if c != "dl")]
     if not wanted:
-        return lengths.select(key, F.lit(0.0).alias("score")).where("false")
-    found = matches(postings, wanted, key)
+        return postings.select(*kept, F.lit(0.0).alias("score")).where("false")
+    found = matches(postings, wanted, key, carried)
     # Counting tf keeps both uses of the matches alike, so that their shuffle is reused.
     df = found.groupBy("phrase").agg(F.count("tf").alias("df"))
-    stats = corpus_stats(lengths)
+    if stats is None:
+        df = df.crossJoin(corpus_stats(lengths))
+    else:
+        df = df.withColumn("n", F.lit(stats[0])).withColumn("avgdl", F.lit(stats[1] / max(1, stats[0])))
     weight = F.create_map(*[F.lit(x) for n, w in enumerate(wanted.values()) for x in (n, w)])
     # One row a phrase, one row of statistics.
-    idf = F.broadcast(df.crossJoin(stats).select("phrase", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"), "avgdl"))
+    idf = F.broadcast(df.select("phrase", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"), "avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * weight[F.col("phrase")]
-    scored = found.join(lengths, key).join(idf, "phrase").groupBy(key).agg(F.sum(part).alias("score"), F.count("*").alias("_phrases"))
-    return (scored if any_word else scored.where(F.col("_phrases") == len(wanted))).select(key, "score")
+    sized = found if "dl" in carried else found.join(lengths, key)
+    scored = sized.join(idf, "phrase").groupBy(*kept).agg(F.sum(part).alias("score"), F.count("*").alias("_phrases"))
+    return (scored if any_word else scored.where(F.col("_phrases") == len(wanted))).select(*kept, "score")
 
 
 def bm25_scan(chunks: DataFrame, query: str, any_word: bool = False, key: str = "chunk_id", text: str = "text") -> DataFrame:

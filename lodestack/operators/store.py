@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -159,14 +160,16 @@ STORED = {
     "files": TABLES["files"],
     "chunks": TABLES["chunks"],
     "lengths": "file_id long, chunk_id long, dl long",
-    "postings": "file_id long, chunk_id long, pos int, term string",
+    "postings": "file_id long, chunk_id long, pos int, term string, dl long",
     "embeddings": "file_id long, chunk_id long, vector array<float>",
     "embedding_cache": TABLES["embedding_cache"],
 }
 #: Small tables that a commit writes anew; the cache only grows; the others grow by segments and shrink by dead files.
 SMALL, BY_FILE = ("sources", "meta"), ("files", "chunks", "lengths", "postings", "embeddings")
-#: Segments of a table after which an index is compacted.
+#: Segments of a table after which small ones are merged.
 SEGMENTS = 32
+#: How a table's segments are laid out, so that a search reads few row groups.
+ORDER = {"postings": ("term", "chunk_id", "pos"), "chunks": ("chunk_id",), "files": ("file_id",)}
 
 
 class Store:
@@ -218,31 +221,80 @@ class Store:
         dead = dead.groupBy("_dead").agg(F.max("_until").alias("_until"))
         return rows.join(dead, (F.col("file_id") == F.col("_dead")) & (F.col("_segment") < F.col("_until")), "left_anti").drop("_segment")
 
-    def commit(self, added: dict[str, DataFrame], dead: DataFrame | None = None, based_on: dict | None = None, afresh: bool = False) -> dict:
+    def stats(self, manifest: dict) -> tuple[int, int]:
+        """The numbers of live chunks and of their tokens."""
+        return tuple(manifest["stats"]) if "stats" in manifest else self._counts(self._table("lengths", manifest))
+
+    @staticmethod
+    def _counts(lengths: DataFrame) -> tuple[int, int]:
+        return tuple(lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+
+    def commit(self, added: dict[str, DataFrame], dead: DataFrame | None = None, based_on: dict | None = None, replacing: set[int] = frozenset()) -> dict:
         """The next version: small tables replaced by those in added, others grown by them, files in dead (file_id) gone from earlier segments.
 
-        afresh: added holds all rows there are, and earlier segments are let go.
+        replacing: numbers of commits whose live rows added holds, and whose segments are let go.
         """
         old = based_on or self.manifest()
         n, folder = old["version"] + 1, f"data/{old['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
-        segments = {t: ([] if afresh else list(old["segments"][t])) for t in STORED}
+        segments = {t: [s for s in old["segments"][t] if t in SMALL or s[0] not in replacing] for t in STORED}
         for t, df in added.items():
             rows = df.select(*[c.split()[0] for c in STORED[t].split(", ")])
-            if t == "postings":  # a query's terms are in few row groups
-                rows = rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id", "pos")
+            if t in ORDER:
+                rows = rows.repartitionByRange(ORDER[t][0]).sortWithinPartitions(*ORDER[t])
             rows.write.parquet(f"{self.path}/{folder}/{t}")
             segments[t] = [*([] if t in SMALL else segments[t]), [n, f"{folder}/{t}"]]
-        marks = [] if afresh else list(old["dead"])
+        chunks, tokens = self.stats(old) if old["version"] else (0, 0)
+        marks, rows = list(old["dead"]), {k: v for k, v in old.get("rows", {}).items() if int(k) not in replacing}
         if dead is not None:
             dead.select("file_id").distinct().write.parquet(f"{self.path}/{folder}/dead")
             marks.append([n, f"{folder}/dead"])
-        manifest = {"version": n, "segments": segments, "dead": marks}
+            if old["segments"]["lengths"]:
+                gone = self._counts(self._table("lengths", old).join(self.spark.read.schema("file_id long").parquet(f"{self.path}/{folder}/dead"), "file_id", "left_semi"))
+                chunks, tokens = chunks - gone[0], tokens - gone[1]
+        if "lengths" in added:
+            made = self._counts(self.spark.read.schema(STORED["lengths"]).parquet(f"{self.path}/{folder}/lengths"))
+            rows[str(n)] = made[0]
+            if not replacing:
+                chunks, tokens = chunks + made[0], tokens + made[1]
+        # A mark is of use as long as there are segments from before it.
+        first = min((s[0] for t in BY_FILE for s in segments[t]), default=n)
+        manifest = {"version": n, "segments": segments, "dead": [m for m in marks if m[0] > first], "stats": [chunks, tokens], "rows": rows}
         out = self._fs.create(self._path(f"{self.path}/log/{n:08d}.json"), False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         return manifest
 
+    def _rewrite(self, manifest: dict, numbers: set[int]) -> dict:
+        """The live rows of some commits' segments as one segment a table."""
+        part = {"segments": {t: [s for s in manifest["segments"][t] if s[0] in numbers] for t in STORED}, "dead": manifest["dead"]}
+        return self.commit({t: self._table(t, part) for t in STORED if t not in SMALL and part["segments"][t]}, based_on=manifest, replacing=numbers)
+
     def compact(self) -> dict:
-        """One segment a table, without dead rows. Folders that no version of the log needs may then be deleted."""
+        """One segment a table, without dead rows. vacuum() deletes what no version needs any more."""
+        manifest = self.manifest()
+        return self._rewrite(manifest, {s[0] for t in STORED if t not in SMALL for s in manifest["segments"][t]})
+
+    def merge(self) -> dict:
+        """Small segments as one; a segment of at least twice the rows of all smaller ones stays, so a row is rewritten a logarithmic number of times."""
         manifest = self.manifest()
-        return self.commit(self.read(manifest), based_on=manifest, afresh=True)
+        rows = manifest.get("rows", {})
+        numbers = sorted({s[0] for t in STORED if t not in SMALL for s in manifest["segments"][t]}, key=lambda n: -rows.get(str(n), 0))
+        sizes = [rows.get(str(n), 0) for n in numbers]
+        first = next((i for i in range(len(numbers)) if sizes[i] < 2 * sum(sizes[i + 1 :]) or sizes[i] == 0), len(numbers))
+        return self._rewrite(manifest, set(numbers[first:])) if len(numbers) - first > 1 else manifest
+
+    def vacuum(self, keep: int = 1, age_seconds: float = 3600) -> int:
+        """Delete folders that none of the last `keep` versions needs, and older log files; what is younger than age_seconds stays. How many went."""
+        log, data = self._path(f"{self.path}/log"), self._path(f"{self.path}/data")
+        if not self._fs.exists(log):
+            return 0
+        logs = sorted((f for f in self._fs.listStatus(log) if f.getPath().getName().endswith(".json")), key=lambda f: f.getPath().getName())
+        needed = set()
+        for f in logs[-keep:]:
+            manifest = json.loads(self.spark.read.text(f.getPath().toString()).first()[0])
+            needed.update(at.split("/")[1] for segments in (*manifest["segments"].values(), manifest["dead"]) for _, at in segments)
+        folders = self._fs.listStatus(data) if self._fs.exists(data) else []
+        old = [f for f in [*logs[:-keep], *(f for f in folders if f.getPath().getName() not in needed)] if f.getModificationTime() <= (time.time() - age_seconds) * 1000]
+        for f in old:
+            self._fs.delete(f.getPath(), True)
+        return len(old)

@@ -122,6 +122,49 @@ def test_segments_and_compaction(spark, tmp_path):
         engine.store.commit({}, based_on=manifest)
 
 
+def test_merging_and_vacuum(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    root = tmp_path / "d"
+    root.mkdir()
+    for n in range(60):
+        (root / f"f{n}.txt").write_text(f"file {n} words")
+    engine.add(str(root))
+    for n in range(3):
+        (root / "f1.txt").write_text(f"version {n} words")
+        engine.add(str(root))
+    before = sorted(tuple(r) for r in engine.search("version words").collect())
+    old = engine.store.manifest()
+    new = engine.store.merge()
+    assert len(new["segments"]["chunks"]) == 2  # the large one stays
+    assert old["segments"]["chunks"][0] in new["segments"]["chunks"]
+    assert new["stats"] == old["stats"] == [60, 180]
+    assert sorted(tuple(r) for r in engine.search("version words").collect()) == before
+    assert engine.store.vacuum() == 0  # too young
+    assert engine.store.vacuum(age_seconds=-10) > 0
+    assert sorted(tuple(r) for r in engine.search("version words").collect()) == before
+    assert engine.store.vacuum(age_seconds=-10) == 0
+
+
+def test_searches_read_few_chunks(spark, tmp_path):
+    """Chunks and files are found by pushed conditions; ties beyond what is taken at first are still by path."""
+    from lodestack.engine import TIES, by_ids
+
+    engine = Engine(spark, str(tmp_path / "index"))
+    root = tmp_path / "d"
+    root.mkdir()
+    for n in range(9 * TIES):
+        (root / f"f{n:03}.txt").write_text("the same words" if n else "the same words and others")
+    engine.add(str(root))
+    tables = engine.store.read()
+    plan = by_ids(tables["chunks"], "chunk_id", [3, 5])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(chunk_id, [3,5])]" in plan
+    hits = [r["path"].rsplit("/", 1)[1] for r in engine.search("same words", limit=8).collect()]
+    assert hits == [f"f{n:03}.txt" for n in range(1, 9)]
+    assert [r["path"].rsplit("/", 1)[1] for r in engine.search("others", limit=8).collect()] == ["f000.txt"]
+    with pytest.raises(ValueError, match="mode"):
+        engine.search("same", mode="fuzzy")
+
+
 @pytest.mark.parametrize(("limit", "want"), [(None, 10), (0, 10), (-1, 10), (101, 10), (100, 100), (3, 3)])
 def test_limits(limit, want):
     assert fusion.resolve_limit(limit, 10, 100) == want
