@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .functions import chunking, embed, passages, text
 from .functions.vectors import top_vectors
 from .operators import fusion, keyword, store
@@ -21,6 +22,10 @@ TIES = 4
 MOST_FILES = 1000
 
 
+def _root(path: str) -> str:
+    return folder.canonical(path) if "://" not in path else path.rstrip("/")
+
+
 def by_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
     """The rows with one of a few ids."""
     return df.where(F.col(column).isin(sorted(set(ids))))
@@ -39,10 +44,17 @@ class Stats:
 
 
 class Engine:
-    """An index on disk, and the queries over it. Without an embedder searches are by keyword."""
+    """An index on disk, and the queries over it.
 
-    def __init__(self, spark: SparkSession, path: str, embedder=None):
-        self.spark, self.store, self.embedder = spark, store.Store(spark, path), embedder
+    embedder: "environment" for the one that the environment names, if any;
+    with None searches are by keyword. pdf_backend, transcribe: what reads PDF
+    pages and their pictures, see extract.pdf().
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embedder="environment", pdf_backend: extract.PdfBackend | None = None, transcribe: extract.Transcriber | None = None):
+        self.spark, self.store = spark, store.Store(spark, path)
+        self.embedder = embed.choose() if embedder == "environment" else embedder
+        self.pdf_backend, self.transcribe = pdf_backend, transcribe
 
     def add(self, root: str, tag: str | None = None, exclude: list[str] | None = None) -> Stats:
         """Index a folder or a file, or bring it up to date: changed files are read again, vanished ones leave.
@@ -77,7 +89,7 @@ class Engine:
         return watch.keep_fresh(self.spark, base, checkpoint, take, interval)
 
     def _settings(self, root: str, tag: str | None, exclude: list[str] | None) -> tuple[str, str, list[str]]:
-        root = folder.canonical(root) if "://" not in root else root.rstrip("/")
+        root = _root(root)
         config = folder.load_config(root) if "://" not in root else folder.Config()
         return root, config.tag if tag is None else tag, [*config.exclude, *(exclude or [])]
 
@@ -88,7 +100,7 @@ class Engine:
         source_id = source.select("source_id").first()[0]
         scanned = scanned.withColumn("sha256", store.file_sha(F.col("content")))
         fresh = store.changed(scanned, old["files"]).persist()
-        read = extract.extract_files(fresh).persist()
+        read = extract.extract_files(fresh, backend=self.pdf_backend, transcribe=self.transcribe).persist()
         good = read.where("error is null")
         files = fresh.drop("content").join(good.select("path"), "path", "left_semi").select(store.stable_id("path").alias("file_id"), F.lit(source_id).alias("source_id"), "path", "sha256", "size", "mtime")
         chunks = chunking.chunk_files(good).select(store.stable_id("path", "seq").alias("chunk_id"), store.stable_id("path").alias("file_id"), "seq", "page", "text").persist()
@@ -122,16 +134,54 @@ class Engine:
     def remove(self, *roots: str) -> None:
         """Sources and all that came from their files leave; cached vectors stay.
 
-        Where no vectors are left, the pinned model goes too, so that another can be chosen.
+        Where no vectors are left, the pinned model goes too, so that another can
+        be chosen. LookupError for a root that isn't a source.
         """
         manifest = self.store.manifest()
-        old, paths_ = self.store.read(manifest), [folder.canonical(r) if "://" not in r else r for r in roots]
+        old, paths_ = self.store.read(manifest), [_root(r) for r in roots]
+        for r in paths_:
+            self.source_id(r)
         gone = old["sources"].where(F.col("path").isin(paths_)).select("source_id")
         dead = old["files"].join(gone, "source_id", "left_semi").select("file_id")
         left = old["embeddings"].join(dead, "file_id", "left_anti").limit(1).agg(F.count("*").alias("_left"))
         meta = old["meta"].crossJoin(F.broadcast(left)).where("key <> 'embed_model' or _left > 0").drop("_left")
         self.store.commit({"sources": old["sources"].where(~F.col("path").isin(paths_)), "meta": meta}, dead, manifest)
 
+    def _source(self, root: str):
+        return self.store.read()["sources"].where(F.col("path") == _root(root)).first()
+
+    def source_id(self, root: str) -> int:
+        """A source's id. LookupError if it isn't indexed."""
+        found = self._source(root)
+        if found is None:
+            raise LookupError(f"{root} is not an indexed source")
+        return found["source_id"]
+
+    def source_tag(self, root: str) -> str:
+        """A source's tag; empty if it isn't indexed."""
+        found = self._source(root)
+        return found["tag"] if found else ""
+
+    def health(self) -> dict:
+        """What this engine serves: its version, its index and its embedding model."""
+        return {"ok": True, "version": __version__, "index": self.store.path, "model": self.embedder.model if self.embedder else ""}
+
+    def render_sources(self) -> str:
+        """The sources as text, a line each."""
+        lines = [f"{r['path']} — {r['files']} files, {r['chunks']} chunks" + (f" (tag: {r['tag']})" if r["tag"] else "") for r in self.sources().collect()]
+        return "\n".join(lines) or "Nothing is indexed yet: add a folder first."
+
+    def render_hits(self, query: str, tag: str = "", limit: int | None = 8) -> str:
+        """Numbered, cited passages for a query as text."""
+        rows = self.search(query, tag, fusion.resolve_limit(limit, 8, 50)).collect()
+        shown = [f"[{i}] {r['path']} ({f'page {r["page"]}' if r['page'] > 0 else f'chunk {r["seq"] + 1}'})\n{r['text'] or r['snippet']}" for i, r in enumerate(rows, 1)]
+        return "\n\n".join(shown) or "No passage in the index matches."
+
+    def hit_rate(self, cases: list[tuple[str, list[str]]], k: int = 3) -> tuple[float, list[str]]:
+        """(share of hits, missed queries): a query hits if one of its best k paths ends with one of the expected suffixes."""
+        missed = [q for q, wanted in cases if not any(r["path"].endswith(tuple(wanted)) for r in self.search(q, limit=k).collect())]
+        return 1 - len(missed) / max(1, len(cases)), missed
+
     def sources(self) -> DataFrame:
         t = self.store.read()
         return store.sources_rollup(t["sources"], t["files"], t["chunks"])

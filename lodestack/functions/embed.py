@@ -90,12 +90,39 @@ class OnnxEmbedder:
 
 
 def choose(environment=os.environ):
-    """The endpoint that the environment names, else None: keyword search only."""
+    """The endpoint or the local encoder that the environment names, else None: keyword search only.
+
+    LODESTACK_ENCODER is a folder with model.onnx and tokenizer.json, or with
+    model.safetensors and vocab.txt (and config.json for the number of heads).
+    """
     if base := environment.get("LODESTACK_EMBED_URL"):
         return EndpointEmbedder(base, environment.get("LODESTACK_EMBED_MODEL", ""), environment.get("LODESTACK_EMBED_KEY", ""))
+    if at := environment.get("LODESTACK_ENCODER"):
+        return local_encoder(at)
     return None
 
 
+def local_encoder(folder: str):
+    """The sentence encoder in a folder; ValueError if none is there."""
+    at = lambda name: os.path.join(folder, name)
+    name = os.path.basename(os.path.abspath(folder))
+    if os.path.isfile(at("model.onnx")) and os.path.isfile(at("tokenizer.json")):
+        return OnnxEmbedder(at("model.onnx"), at("tokenizer.json"), name)
+    if not (os.path.isfile(at("model.safetensors")) and os.path.isfile(at("vocab.txt"))):
+        raise ValueError(f"no encoder in {folder}")
+    from .encoder import NumpyEmbedder, read_safetensors
+
+    with open(at("model.safetensors"), "rb") as f:
+        weights = read_safetensors(f.read())
+    with open(at("vocab.txt"), encoding="utf-8") as f:
+        vocabulary = {line.rstrip("\n"): n for n, line in enumerate(f)}
+    heads = 12
+    if os.path.isfile(at("config.json")):
+        with open(at("config.json"), encoding="utf-8") as f:
+            heads = json.load(f).get("num_attention_heads", heads)
+    return NumpyEmbedder(weights, vocabulary, heads, name)
+
+
 def embed_rows(rows: DataFrame, embedder, key: str = "sha", text: str = "text") -> DataFrame:
     """(key, vector) of rows (key, text), in batches within each task."""
     kind = dict(rows.dtypes)[key]

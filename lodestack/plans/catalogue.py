@@ -90,8 +90,11 @@ def _bm25(query: str, any_word: bool = False, tag: str = ""):
     def run(spark, sf):
         docs = files(spark, sf)
         scored = keyword.bm25_scan(docs, query, any_word, "doc_id")
-        shown = docs.select("doc_id", "path", "tag").where(F.col("tag") == tag) if tag else docs.select("doc_id", "path", "tag")
-        found = keyword.top(shown.join(scored, "doc_id"), K, "doc_id")
+        shown = docs.select("doc_id", "path", "tag")
+        if tag:
+            found = keyword.top(shown.where(F.col("tag") == tag).join(scored, "doc_id"), K, "doc_id")
+        else:  # K rows meet the places, not all scores
+            found = shown.join(F.broadcast(keyword.top(scored, K, "doc_id")), "doc_id")
         return found.select("doc_id", text.citation(F.col("path"), F.lit(0), F.lit(0)).alias("cite"), F.round("score", 6).alias("score"))
 
     return run

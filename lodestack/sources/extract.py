@@ -250,6 +250,27 @@ PdfBackend = Callable[[bytes], list[tuple[str, bool]]]
 Transcriber = Callable[[bytes, int], str]
 
 
+def page_text(page) -> str:
+    """A pypdf page's text: its positioned runs put together as lines and paragraphs, or its flat text where that gives nothing."""
+    from .layout import Run, assemble
+
+    runs: list[Run] = []
+
+    def visit(text, cm, tm, font, size):
+        x, y = tm[4] * cm[0] + tm[5] * cm[2] + cm[4], tm[4] * cm[1] + tm[5] * cm[3] + cm[5]
+        height = abs(size * tm[3] * cm[3]) or size or 1.0
+        for n, part in enumerate(text.split("\n")):
+            # Widths aren't given; half the height a character is the usual one.
+            top = y - n * height * 1.2
+            runs.append(Run(part, x, x + 0.5 * height * len(part), top + 0.8 * height, top - 0.2 * height, height, str((font or {}).get("/BaseFont", ""))))
+
+    flat = page.extract_text(visitor_text=visit) or ""
+    try:
+        return assemble(runs) or flat
+    except (ArithmeticError, AttributeError, LookupError, TypeError, ValueError):  # odd geometry
+        return flat
+
+
 def pypdf_backend() -> PdfBackend | None:
     """Pages by pypdf, where it is installed."""
     import importlib.util
@@ -260,7 +281,7 @@ def pypdf_backend() -> PdfBackend | None:
     def pages(data: bytes) -> list[tuple[str, bool]]:
         import pypdf
 
-        return [(p.extract_text() or "", bool(len(p.images))) for p in pypdf.PdfReader(io.BytesIO(data)).pages]
+        return [(page_text(p), bool(len(p.images))) for p in pypdf.PdfReader(io.BytesIO(data)).pages]
 
     return pages
 
@@ -306,10 +327,11 @@ def extract(path: str, data: bytes, backend: PdfBackend | None = None, transcrib
 SECTIONS = "array<struct<text: string, page: int, scan_skipped: boolean, scan_failed: boolean>>"
 
 
-def extract_files(files: DataFrame, key: str = "path", content: str = "content", name: str | None = None) -> DataFrame:
+def extract_files(files: DataFrame, key: str = "path", content: str = "content", name: str | None = None, backend: PdfBackend | None = None, transcribe: Transcriber | None = None) -> DataFrame:
     """(key, sections, error) of files (key, content): a broken file has an error and no sections, and stops nothing.
 
-    name: the column with the file's name, if it isn't the key.
+    name: the column with the file's name, if it isn't the key. backend,
+    transcribe: what reads PDF pages and their pictures; sent to the tasks.
     """
     kind, name = dict(files.dtypes)[key], name or key
     item = pa.struct([("text", pa.string()), ("page", pa.int32()), ("scan_skipped", pa.bool_()), ("scan_failed", pa.bool_())])
@@ -319,7 +341,7 @@ def extract_files(files: DataFrame, key: str = "path", content: str = "content",
             sections, errors = [], []
             for path, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 try:
-                    sections.append([vars(s) for s in extract(str(path), data.as_py() or b"")])
+                    sections.append([vars(s) for s in extract(str(path), data.as_py() or b"", backend, transcribe)])
                     errors.append(None)
                 except ExtractError as e:
                     sections.append([])

@@ -25,7 +25,7 @@ def parse_config(text: str) -> Config:
     """Settings from YAML of the two known keys. ValueError for anything malformed, a bad glob included."""
     out, key = Config(), None
     for number, raw in enumerate(text.splitlines(), 1):
-        line = raw.split(" #")[0].rstrip() if not raw.lstrip().startswith("#") else ""
+        line = _without_comment(raw)
         if not line.strip():
             continue
         if line.lstrip().startswith("- ") and key == "exclude":
@@ -46,6 +46,19 @@ def parse_config(text: str) -> Config:
     return out
 
 
+def _without_comment(line: str) -> str:
+    """A line up to a # that begins it or follows a blank, outside quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and line[:i].rstrip()[-1:] in (":", "-", "[", ","):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+            return line[:i].rstrip()
+    return line.rstrip()
+
+
 def _scalar(value: str, number: int) -> str:
     value = value.strip()
     if value[:1] in "\"'" and value[:1]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestack.engine import Engine
 from lodestack.functions.embed import HashedEmbedder
 from lodestack.operators import fusion, store
+from lodestack.sources import folder
 
 
 @pytest.fixture(scope="module")
@@ -60,11 +61,41 @@ def test_life_of_an_index(spark, docs, tmp_path):
 
     with pytest.raises(ValueError, match="vectors of"):
         Engine(spark, str(tmp_path / "index"), HashedEmbedder(8)).add(str(docs), "work")
+    assert engine.source_tag(str(docs)) == "work"
+    assert engine.source_tag("/nowhere") == ""
+    with pytest.raises(LookupError, match="not an indexed"):
+        engine.remove("/nowhere")
+    assert engine.render_sources() == f"{docs} — 1 files, 2 chunks (tag: work)"
+    assert engine.render_hits("vendor notice").startswith(f"[1] {docs}/contract.md (chunk 1)\n# Terms")
+    assert engine.hit_rate([("vendor notice", ["x.md", "contract.md"]), ("vendor notice", ["garden.txt"])]) == (0.5, ["vendor notice"])
+    assert engine.health()["model"] == "hashed-terms/512"
     engine.remove(str(docs))
+    assert engine.render_sources().startswith("Nothing")
     assert [tuple(r) for r in engine.status().collect()] == [(0, 0, 0)]
     assert Engine(spark, str(tmp_path / "index"), HashedEmbedder(8)).add(str(docs), "work").chunks >= 2
 
 
+def test_command_line(spark, tmp_path):
+    from lodestack import __main__ as cli
+
+    root = tmp_path / "papers"
+    root.mkdir()
+    (root / "a.txt").write_text("apples and pears")
+    (root / "b.log.txt").write_text("noise")
+    engine = Engine(spark, str(tmp_path / "index"), None)
+    run = lambda *argv: cli.run(engine, cli.parser().parse_args(argv))
+    assert run("init", str(root), "--exclude", "*.log.txt").startswith("1 indexed, 0 unchanged, 0 failed")
+    assert cli.initialise(str(root), None, None) == folder.Config("papers", ["*.log.txt"])
+    assert run("list") == f"{root} — 1 files, 1 chunks (tag: papers)"
+    assert run("search", "apples", "--tag", "papers") == f"[1] {root}/a.txt (chunk 1)\napples and pears"
+    assert run("search", "noise") == "No passage in the index matches."
+    assert "a.txt, section 1" in run("ask", "apples")
+    assert run("status") == "1 sources, 1 files, 1 chunks"
+    assert run("remove", str(root)).startswith("removed")
+    with pytest.raises(LookupError):
+        run("remove", str(root))
+
+
 def test_single_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("alone")
     (tmp_path / "b.jpg").write_text("no")

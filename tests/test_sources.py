@@ -1,6 +1,9 @@
 """Extractors, layout, folders and settings."""
 
+import importlib.machinery
 import io
+import sys
+import types
 import zipfile
 from types import SimpleNamespace
 
@@ -137,3 +140,36 @@ def test_markdown_frames(spark):
     for r in extract.markdown_sections(df).orderBy("doc_id", "section").collect():
         got.setdefault(r["doc_id"], []).append(r["text"])
     assert got == {i: w for i, t in enumerate(texts_) if (w := [s.text for s in extract.markdown(t.encode())])}
+
+
+def test_pdf_runs_become_lines(monkeypatch, spark):
+    """pypdf's runs, as its visitor hands them over, are put together by their places; pictures are transcribed."""
+    font = {"/BaseFont": "/Body"}
+
+    class Page:
+        def __init__(self, runs, images=(), flat="flat"):
+            self.runs, self.images, self.flat = runs, images, flat
+
+        def extract_text(self, visitor_text=None):
+            for x, y, text in self.runs:
+                visitor_text(text, [1, 0, 0, 1, 0, 0], [1, 0, 0, 1, x, y], font, 10)
+            return self.flat
+
+    body = Page([(50, 700, "world"), (10, 700, "Hello"), (10, 688, "again"), (10, 600, "Next part")])
+    pages = [body, Page([], ["picture"], ""), Page([])]
+    module = types.ModuleType("pypdf")
+    module.__spec__ = importlib.machinery.ModuleSpec("pypdf", None)
+    module.PdfReader = lambda f: types.SimpleNamespace(pages=pages)
+    monkeypatch.setitem(sys.modules, "pypdf", module)
+    got = extract.pdf(b"", extract.pypdf_backend(), lambda data, page: f"seen on {page}")
+    assert [(s.text, s.page) for s in got] == [("Hello world\nagain\n\nNext part", 1), ("seen on 2", 2), ("flat", 3)]
+
+    files = spark.createDataFrame([("a.pdf", b"x"), ("b.txt", b"plain")], "path string, content binary")
+    rows = extract.extract_files(files, backend=lambda data: [("", True), ("text", False)], transcribe=lambda data, page: "picture").collect()
+    assert {r["path"]: [s["text"] for s in r["sections"]] for r in rows} == {"a.pdf": ["picture", "text"], "b.txt": ["plain"]}
+
+
+def test_comments_in_settings():
+    config = folder.parse_config("tag: 'it # is' # mine\nexclude: # these\n  - \"a #b/**\"\n  - c#d.txt # e\n")
+    assert (config.tag, config.exclude) == ("it # is", ["a #b/**", "c#d.txt"])
+    assert folder.parse_config("tag: don't # say").tag == "don't"
