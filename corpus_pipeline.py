@@ -27,8 +27,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates on five-word shingles, that of the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows without words are near to
-    nothing; rows without a doc_id all stay.
+    Rows that share a doc_id are documents of their own; rows without words are
+    near to nothing; rows without a doc_id all stay.
     """
     return near_dedup.keep_one(docs)
 

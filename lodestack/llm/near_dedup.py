@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, read
+from .common import components, cut, fresh, quoted, read
 from .words import mix, text_words
 
 #: Minima of a document; minima of a band and bands: 1 - (1 - 0.8 ** ROWS) ** BANDS is 0.999997.
@@ -340,17 +340,20 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group, the one of the smallest doc_id, with all its columns.
 
-    Of repeated rows one stays, as they are copies of each other; rows without
-    words stay unless they repeat a doc_id; rows with a null doc_id all stay.
+    Of repeated rows one stays, as they are copies of each other. Rows without
+    words and rows with a null doc_id all stay. Where rows share a doc_id, each
+    is a document of its own, and of those in one group the first by
+    (doc_id, text) stays.
     """
-    kept = groups(docs.select("doc_id", "text"), k, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = cut(kept)
+    known = docs.where("doc_id is not null")
+    unique = known.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").isEmpty()
     name = fresh(docs, "kept_id")
-    known, ids = docs.where("doc_id is not null"), kept.select(F.col("doc_id").alias(name))
-    out = known.join(ids, F.col("doc_id") == F.col(name), "left_semi")
-    if not kept.where("_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    if unique:
+        rows = known.withColumn(name, F.col("doc_id").cast("long"))
+    else:  # numbers in the order of (doc_id, text); the checkpoint holds them still
+        rows = cut(known.orderBy("doc_id", "text").withColumn(name, F.monotonically_increasing_id()))
+    kept = groups(rows.select(F.col(name).alias("doc_id"), "text"), k, percent).where("doc_id = component_id").select(F.col("doc_id").alias(name))
+    return rows.join(cut(kept), name, "left_semi").select(*[quoted(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

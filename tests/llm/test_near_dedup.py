@@ -132,3 +132,11 @@ def test_edges(edge, empty):
     kept = n.keep_one(edge)
     assert kept.columns == edge.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None", "None"]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """A text of its own stays under a repeated doc_id; a copy under one goes."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(3, one), (5, one + " more"), (5, two), (5, two), (7, three), (7, ""), (7, None), (8, two + " end"), (None, one)]
+    kept = n.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([(3, one), (5, two), (7, three), (7, ""), (7, None), (None, one)], "doc_id long, text string").collect())
