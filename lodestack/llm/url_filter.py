@@ -9,6 +9,8 @@ else block if a rule blocks any member, else allow.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,11 @@ def resolved(href: Column, base: Column) -> Column:
     )
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x bound to a variable: however often f names it, it is computed once, and generated code stays small."""
+    return F.transform(F.array(x), f)[0]
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Alias edges (a, b) between urls that the pages' html declares.
 
@@ -86,20 +93,22 @@ def page_links(pages: DataFrame) -> DataFrame:
     likely = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", body.alias("_body"))
     tags = likely.select("url", F.explode(F.regexp_extract_all("_body", F.lit(r"(?is)<(?:link|meta)\b[^>]*+(?:>|\z)"), F.lit(0))).alias("tag"))
 
-    def value(name: str) -> Column:
+    def value(tag: Column, name: str) -> Column:
         """An attribute's value without its quotes; empty if it isn't there."""
         pattern = r"(?is)[\s\"']" + name + r"""\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
-        return F.regexp_replace(F.regexp_extract("tag", pattern, 1), r"""^["']|["']$""", "")
+        return F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""^["']|["']$""", "")
+
+    def target(t: Column) -> Column:
+        canonical = t["link"] & t["rel"].rlike(r"(?i)(^|\s)canonical(\s|$)")
+        refresh = ~t["link"] & t["equiv"].rlike(r"(?i)^\s*refresh\s*$")
+        return F.when(canonical, t["href"]).when(refresh, F.regexp_extract(t["content"], r"(?is)\burl\s*=\s*['\"]?([^'\"]*)", 1))
 
-    # A projection of their own, so that each attribute is taken once.
     names = {"rel": "rel", "equiv": "http-equiv", "href": "href", "content": "content"}
-    taken = tags.select("url", F.col("tag").rlike(r"(?is)^<link\b").alias("link"), *[value(v).alias(k) for k, v in names.items()])
-    canonical = F.col("link") & F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
-    refresh = ~F.col("link") & F.col("equiv").rlike(r"(?i)^\s*refresh\s*$")
-    target = F.when(canonical, F.col("href")).when(refresh, F.regexp_extract("content", r"(?is)\burl\s*=\s*['\"]?([^'\"]*)", 1))
-    targets = taken.select("url", target.alias("href")).where("href <> ''")
-    found = targets.select("url", resolved(F.col("href"), F.col("url")).alias("to")).where("to is not null")
-    return found.select(node_key(F.col("url")).alias("a"), node_key(F.col("to")).alias("b")).where("a is not null and b is not null")
+    taken = once(F.col("tag"), lambda t: F.struct(t.rlike(r"(?is)^<link\b").alias("link"), *[value(t, v).alias(k) for k, v in names.items()]))
+    href = once(taken, target)
+    to = once(F.struct("url", href.alias("href")), lambda r: resolved(r["href"], r["url"]))
+    found = tags.select(once(F.col("url"), node_key).alias("a"), once(to, node_key).alias("b"))
+    return found.where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
