@@ -121,13 +121,14 @@ def eta_text(seconds: Column) -> Column:
 
 #: Layout labels that transcription models write before a block's box. Fixed values.
 LAYOUT_LABELS = (
-    "title sub_title text paragraph table figure image chart formula equation caption footnote header footer list page_number reference"
-).split()
+    "title", "sub_title", "text", "paragraph", "table", "figure", "image", "chart", "formula", "equation", "caption", "footnote", "header", "footer", "list", "page_number", "reference",
+)
 
 
 def strip_layout(c: Column) -> Column:
     """A transcription without layout labels and boxes; text without any is left alone."""
     marker = "(?:" + "|".join(LAYOUT_LABELS) + r") \[\d{1,4}(?:, ?\d{1,4}){3}\]"
+    # Fixed patterns: blanks at line ends and more than one blank line go.
     out = F.regexp_replace(c, marker, "\n\n")
     out = F.regexp_replace(out, r"[ \t]+\n|\n[ \t]+", "\n")
     out = trim_space(F.regexp_replace(out, r"\n{3,}", "\n\n"))

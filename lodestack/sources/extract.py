@@ -65,8 +65,8 @@ def markdown(data: bytes) -> list[Section]:
 #: Elements whose text is left out, and elements at whose edges a paragraph ends. Fixed values.
 DROPPED = ("script", "style", "head", "noscript", "template")
 BLOCKS = (
-    "p div br hr li ul ol dl dt dd blockquote pre section article header footer main aside nav figure figcaption address table tr td th caption"
-).split()
+    "p", "div", "br", "hr", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "section", "article", "header", "footer", "main", "aside", "nav", "figure", "figcaption", "address", "table", "tr", "td", "th", "caption",
+)
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
