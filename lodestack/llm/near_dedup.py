@@ -126,8 +126,18 @@ def shingle_set(text: str, k: int) -> frozenset:
     return frozenset(zip(*[words[j:] for j in range(k)], strict=False)) if words else frozenset()
 
 
+def meet(pairs: DataFrame, others: DataFrame) -> DataFrame:
+    """pairs (a, b, salt, ...) with the columns of others (b, ...), which has one row for each b.
+
+    A b that many pairs name is repeated once for each of its salts, so that
+    its pairs meet it in as many tasks.
+    """
+    salted = pairs.select("b", "salt").distinct().join(others, "b")
+    return pairs.join(salted, ["b", "salt"])
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. texts: (doc_id, text) of all ids in pairs."""
+    """(a, b) of the pairs (a, b, salt) whose full shingle sets are similar enough. texts: (doc_id, text) of all ids in pairs."""
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -144,7 +154,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 keep.append(100 * common >= percent * (len(own) + len(last_set) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    joined = meet(pairs.join(a, "a"), b).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(work, "a long, b long")
 
 
@@ -301,7 +311,7 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     classes = cut(full.groupBy("digest").agg(F.min("doc_id").alias("head")))
     heads = full.join(classes, "digest").where("doc_id = head").select("doc_id", "n_shingles", "bands", "planes")
     keyed = heads.select("doc_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.expr(f"count(*) div {BLOCK} + 1").alias("salts")).where("low <> high")
     members = cut(keyed.join(shared, "key").distinct())
     nodes = members.select("doc_id").distinct()
     planes = cut(heads.select("doc_id", "n_shingles", "planes").join(nodes, "doc_id", "left_semi"))
@@ -312,8 +322,13 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
         one = planes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("planes").alias("pa"))
         two = planes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("planes").alias("pb"))
         close = (similarity(F.col("pa"), F.col("pb")) >= least) | (F.least("na", "nb") < SMALL)
-        kept = pairs.join(one, "a").join(two, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & close)
-        return kept.select("a", "b").distinct()
+        kept = meet(pairs.join(one, "a"), two).where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & close)
+        return kept.select("a", "b", "salt")
+
+    def salted(a: Column, b: Column, rows: DataFrame) -> DataFrame:
+        """Distinct (a, b, salt): a bucket's pairs with one member have a salt for every BLOCK of its documents."""
+        pairs = rows.select(a.alias("a"), b.alias("b"), "salts").groupBy("a", "b").agg(F.max("salts").alias("salts"))
+        return pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(labels, the members of buckets in which several components meet, with their label)."""
@@ -322,10 +337,10 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
         mixed = own.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("key")
         return labels, cut(own.join(mixed, "key", "left_semi"))
 
-    links = cut(confirmed(likely(members.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()), near, k, percent))
+    links = cut(confirmed(likely(salted(F.col("doc_id"), F.col("low"), members.where("doc_id <> low"))), near, k, percent))
     _, open_ = labelled(links)
     top = open_.where("doc_id = high").select("key", F.col("label").alias("_top")).distinct()
-    pairs = open_.join(top, "key").where("label <> _top").select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct()
+    pairs = salted(F.col("doc_id"), F.col("high"), open_.join(top, "key").where("label <> _top"))
     links = cut(links.union(confirmed(likely(pairs), near, k, percent)))
     labels, open_ = labelled(links)
     asked = cut(contenders(open_.select("key", "doc_id", "label"), planes, percent))

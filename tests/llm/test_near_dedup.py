@@ -140,3 +140,10 @@ def test_rows_that_share_a_doc_id(spark):
     rows = [(3, one), (5, one + " more"), (5, two), (5, two), (7, three), (7, ""), (7, None), (8, two + " end"), (None, one)]
     kept = n.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame([(3, one), (5, two), (7, three), (7, ""), (7, None), (None, one)], "doc_id long, text string").collect())
+
+
+def test_hot_pairs_meet_their_member_in_every_salt(spark):
+    pairs = spark.range(300).selectExpr("id + 1 a", "if(id < 290, 0, id) b", "pmod(id, 7) salt")
+    others = spark.range(400).selectExpr("id b", "id * 2 n")
+    got = n.meet(pairs, others).collect()
+    assert sorted((r["a"], r["b"], r["n"]) for r in got) == sorted((i + 1, b, 2 * b) for i in range(300) for b in [0 if i < 290 else i])
