@@ -103,6 +103,14 @@ def build(q: dict[str, object]) -> dict[str, str]:
   UNION ALL SELECT page_id, url FROM pages UNION ALL SELECT DISTINCT conv_id, '/MAIL/' || conv_id || '.MBOX' FROM conversations)
 SELECT id, path, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN ({', '.join(f"'{x}'" for x in FORMATS)}) AS supported FROM e""",
         "path_exclude": path_exclude(q["EXCLUDE"]),
+        "html_sections": r"""WITH plain AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->|<!doctype[^>]*>', '', 'gis'),
+    '<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', '', 'gis') AS h FROM pages),
+marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<h[1-6]\b[^>]*>', chr(2), 'gi'),
+    '</h[1-6]\s*>|</?(p|div|br|hr|li|ul|ol|dl|dt|dd|blockquote|pre|section|article|header|footer|main|aside|nav|figure|figcaption|address|table|tr|td|th|caption)\b[^>]*>', chr(1), 'gi'), '</?[a-z][^>]*>', '', 'gi') AS h FROM plain),
+decoded AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS h FROM marked),
+parts AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(2)), lambda s: array_to_string(
+    list_filter(list_transform(string_split(s, chr(1)), lambda p: trim(regexp_replace(p, '[\s\x1C-\x1F\x0B]+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10))), lambda s: s <> '') AS parts FROM decoded)
+SELECT page_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS section, unnest(parts) AS text, 0 AS page FROM parts""",
         "markdown_sections": f"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^(\\S+(?: \\S+){{0,3}})$', '## \\1', 'g'), '(?m)^(\\S+\\*\\*\\* )', '```\\1', 'g') AS text FROM documents),
 s AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM m),
 n AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM s),
