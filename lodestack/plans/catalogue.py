@@ -357,5 +357,5 @@ for _f in (
 ):
     QUERIES[_f.__name__] = _f
 
-#: SQL by query; chunk_documents, excerpt and fts_snippet are tested against brute force instead.
+#: SQL by query; chunk_documents and fts_snippet are tested against brute force instead.
 ORACLE: dict[str, str] = oracle.build({"AND": AND, "OR": OR, "PHRASE": PHRASE, "MISSING": MISSING, "MODELS": MODELS, "EXCLUDE": EXCLUDE})

@@ -93,6 +93,7 @@ def build(q: dict[str, object]) -> dict[str, str]:
     names = ", ".join(f"({n}, '{m}')" for n, m in enumerate(q["MODELS"]))
     embeds, sees = "|".join(EMBEDS), "|".join(SEES)
     hints = "CASE " + " ".join(f"WHEN contains(lower(id), '{h}') THEN {n}" for n, h in enumerate(SEES)) + " END"
+    places = ", ".join(f"strpos(f, '{w}')" for w in py_words(or_))
     return {
         "bm25_and": top_hits(and_),
         "bm25_or": top_hits(or_, True),
@@ -111,6 +112,12 @@ decoded AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_
 parts AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(2)), lambda s: array_to_string(
     list_filter(list_transform(string_split(s, chr(1)), lambda p: trim(regexp_replace(p, '[\s\x1C-\x1F\x0B]+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10))), lambda s: s <> '') AS parts FROM decoded)
 SELECT page_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS section, unnest(parts) AS text, 0 AS page FROM parts""",
+        "excerpt": rf"""WITH f AS (SELECT doc_id, text AS t, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN strlen(lower(c)) = strlen(c) THEN lower(c) ELSE c END), '') AS f FROM documents),
+p AS (SELECT doc_id, t, coalesce(list_min(list_filter([{places}], lambda x: x > 0)), 1) - 1 AS p FROM f),
+m AS (SELECT doc_id, t, list_max(list_filter(range(greatest(0, p - 53), p + 1), lambda m: m = 0 OR strlen(left(t, m)) <= greatest(0, strlen(left(t, p)) - 53))) AS m FROM p),
+r AS (SELECT doc_id, m, substr(t, m + 1) AS r, left(substr(t, m + 1), list_max(list_filter(range(0, 41), lambda n: strlen(left(substr(t, m + 1), n)) <= 40))) AS opening FROM m),
+g AS (SELECT doc_id, m, CASE WHEN m > 0 AND regexp_matches(opening, '[ \n\t]') THEN substr(r, length(regexp_extract(opening, '^[^ \n\t]*')) + 2) ELSE r END AS r FROM r)
+SELECT doc_id, CASE WHEN m > 0 THEN '…' ELSE '' END || CASE WHEN strlen(r) <= 160 THEN r ELSE left(r, list_max(list_filter(range(0, 161), lambda n: strlen(left(r, n)) <= 160))) || '…' END AS excerpt FROM g""",
         "markdown_sections": f"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^(\\S+(?: \\S+){{0,3}})$', '## \\1', 'g'), '(?m)^(\\S+\\*\\*\\* )', '```\\1', 'g') AS text FROM documents),
 s AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM m),
 n AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM s),
