@@ -19,6 +19,7 @@ components is lost.
 
 from __future__ import annotations
 
+import gc
 from hashlib import blake2b
 
 import numpy as np
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, quoted, read
+from . import common
+from .common import components, fresh, quoted, read
 from .words import mix, text_words
 
 #: Minima of a document; minima of a band and bands: 1 - (1 - 0.8 ** ROWS) ** BANDS is 0.999997.
@@ -42,9 +44,55 @@ _SPREAD = np.uint32(0x2C1B3C6D)
 STEP, BLOCK, INDEXED, LOOKED_UP = 512, 1024, 1 << 18, 1 << 20
 #: Asking documents that are compared with a block at a time.
 ASKING = 64
+#: Links whose components one task finds, and ids that are sent to every executor, at most; more go through joins.
+FEW_LINKS, FEW_IDS = 1 << 18, 1 << 16
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, planes array<long>"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df from a reliable checkpoint; files of shuffles that nothing needs any more are removed.
+
+    Spark removes them when the driver's JVM collects garbage, which may be
+    after the last step, and once Python has collected its handles of them;
+    both here are well under a second. The files behind df itself go with the
+    next call.
+    """
+    out = common.cut(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """rows joined left_semi or left_anti with ids, a checkpoint of one column; where they are few, rows aren't shuffled."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, column, how)
+
+
+def clusters(links: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b), a checkpoint, as by components(); up to FEW_LINKS of them in one task, without shuffles."""
+    if links.coalesce(8).count() > FEW_LINKS:
+        return components(links)
+
+    def work(batches):
+        up = {}
+
+        def root(x):
+            while (above := up.setdefault(x, x)) != x:
+                up[x] = x = up[above]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+    return cut(links.select("a", "b").coalesce(1).mapInArrow(work, "node long, component long"))
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Distinct hashes of the k-word shingles of a sequence of word hashes; fewer words are one shingle."""
     if not len(words):
@@ -169,18 +217,17 @@ def _runs(batches, keys: int):
             yield tuple(int(c[at]) for c in columns), batch.slice(at, end - at)
 
 
-def _dealt(here: DataFrame, asking: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
-    """Rows (by, block, part, asks, doc_id, ...) for a comparison of all of `here` with all of `asking` that share `by`.
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """rows (by, asks, doc_id, blocks, parts, ...) with block and part, for a comparison of all that don't ask with all that do and share `by`.
 
-    sizes: (by, blocks, parts). A row of here is in one block and goes to all
-    parts, a row of asking is in one part and goes to all blocks, so that both
-    sides of a (block, part) are bounded whatever the size of a group.
+    A row that doesn't ask is in one block and goes to all parts, one that asks
+    is in one part and goes to all blocks, so that both sides of a (block, part)
+    are bounded whatever the size of a group.
     """
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     one = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
-    a = here.join(sizes, by).withColumn("block", one("blocks", 0)).withColumn("part", F.explode(every("parts"))).withColumn("asks", F.lit(0))
-    b = asking.join(sizes, by).withColumn("part", one("parts", 1)).withColumn("block", F.explode(every("blocks"))).withColumn("asks", F.lit(1))
-    return a.drop("blocks", "parts").unionByName(b.drop("blocks", "parts"))
+    here = F.col("asks") == 0
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.when(here, F.col("parts")).otherwise(F.col("blocks")) - 1)))
+    return rows.withColumn("block", F.when(here, one("blocks", 0)).otherwise(F.col("_copy"))).withColumn("part", F.when(here, F.col("_copy")).otherwise(one("parts", 1)))
 
 
 def _in_order(rows: DataFrame, by: str, *columns: str) -> DataFrame:
@@ -188,7 +235,7 @@ def _in_order(rows: DataFrame, by: str, *columns: str) -> DataFrame:
 
 
 def contenders(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, rival): documents that share a bucket with a document of another component that may be similar enough.
+    """(doc_id, rival, n_shingles): documents that share a bucket with a document of another component that may be similar enough.
 
     members: (key, doc_id, label). In each bucket the documents outside its
     most frequent component are compared with all the others, in blocks of
@@ -198,9 +245,10 @@ def contenders(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame
     by_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     sizes = by_label.groupBy("key").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"))
     sizes = sizes.select("key", "major", F.expr(f"cast(total div {BLOCK} + 1 as int)").alias("blocks"), F.expr(f"cast((total - most) div {BLOCK} + 1 as int)").alias("parts"))
-    rows = members.join(sizes.select("key", "major"), "key")
-    dealt = _dealt(rows, rows.where("label <> major"), sizes.drop("major"), "key").join(planes, "doc_id")
-    dealt = _in_order(dealt, "key", "doc_id", "label", "major", "n_shingles", "planes")
+    # With their planes before they are dealt, so that the join makes a row a member.
+    rows = members.join(sizes, "key").join(planes, "doc_id")
+    rows = rows.withColumn("asks", F.explode(F.when(F.col("label") == F.col("major"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    dealt = _in_order(_dealt(rows, "key"), "key", "doc_id", "label", "major", "n_shingles", "planes")
     half, chance = HASHES // 64, 2.0**-BITS
     # The estimate is at least `least` where at most this many of the minima differ.
     most = int(HASHES * (1 - chance - (percent / 100 - MARGIN) * (1 - chance)) + 1e-9)
@@ -243,13 +291,13 @@ def contenders(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame
                 near &= (labels == major) | (label < labels)
                 x, y = np.nonzero(np.logical_or.reduceat(near, firsts, axis=1))
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][x]), pa.array(labels[firsts[y]])], names=["doc_id", "rival"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][x]), pa.array(labels[firsts[y]]), pa.array(own_n[some][x])], names=["doc_id", "rival", "n_shingles"])
 
-    return dealt.mapInArrow(work, "doc_id long, rival long").distinct()
+    return dealt.mapInArrow(work, "doc_id long, rival long, n_shingles long").distinct()
 
 
 def first_links(asked: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): for every (doc_id, rival) a link to some document of that component, if there is any.
+    """(a, b): for every (doc_id, rival, n_shingles) asked a link to some document of that component, if there is any.
 
     labels: (doc_id, label, n_shingles) of all nodes. The full shingle sets of a
     component's documents are indexed by shingle, and the sizes of their
@@ -260,11 +308,11 @@ def first_links(asked: DataFrame, labels: DataFrame, texts: DataFrame, k: int, p
     """
     rivals = asked.select("rival").distinct()
     there = labels.select("doc_id", F.col("label").alias("rival"), "n_shingles").join(rivals, "rival", "left_semi")
-    ask = asked.join(labels.select("doc_id", "n_shingles"), "doc_id").select("doc_id", "rival", "n_shingles")
     blocks = there.groupBy("rival").agg(F.expr(f"cast(sum(n_shingles) div {INDEXED} + 1 as int)").alias("blocks"))
-    parts = ask.groupBy("rival").agg(F.expr(f"cast(sum(n_shingles) div {LOOKED_UP} + 1 as int)").alias("parts"))
-    rows = _dealt(there.drop("n_shingles"), ask.drop("n_shingles"), blocks.join(parts, "rival"), "rival")
-    rows = _in_order(rows.join(texts, "doc_id"), "rival", "doc_id", "text")
+    parts = asked.groupBy("rival").agg(F.expr(f"cast(sum(n_shingles) div {LOOKED_UP} + 1 as int)").alias("parts"))
+    rows = there.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1))).drop("n_shingles")
+    rows = rows.join(texts, "doc_id").join(blocks.join(parts, "rival"), "rival")
+    rows = _in_order(_dealt(rows, "rival"), "rival", "doc_id", "text")
 
     def work(batches):
         now, index, ids, sizes = None, {}, [], []
@@ -293,6 +341,21 @@ def first_links(asked: DataFrame, labels: DataFrame, texts: DataFrame, k: int, p
     return rows.mapInArrow(work, "a long, b long")
 
 
+def buckets(keyed: DataFrame) -> DataFrame:
+    """(key, doc_id, low, high, salts) of the buckets keyed (key, doc_id), dealt by key, that hold several documents.
+
+    low and high are a bucket's least and greatest document, salts counts its
+    blocks. Near copies share many bands, so that many buckets have the same
+    documents; of those one stays, as all of them pose the same pairs. They are
+    told by their number, ends, and two hashes of their documents, 128 bits.
+    """
+    keyed = keyed.distinct()
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(salt))).alias(f"_mark{salt}") for salt in range(2)]
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("_n"), *marks).where("low <> high")
+    one = shared.groupBy("low", "high", "_n", "_mark0", "_mark1").agg(F.min("key").alias("key"))
+    return keyed.join(one.select("key", "low", "high", F.expr(f"_n div {BLOCK} + 1").alias("salts")), "key")
+
+
 def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -309,13 +372,12 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     rows = cut(signatures(texts, k))
     full = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(full.groupBy("digest").agg(F.min("doc_id").alias("head")))
-    heads = full.join(classes, "digest").where("doc_id = head").select("doc_id", "n_shingles", "bands", "planes")
-    keyed = heads.select("doc_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.expr(f"count(*) div {BLOCK} + 1").alias("salts")).where("low <> high")
-    members = cut(keyed.join(shared, "key").distinct())
-    nodes = members.select("doc_id").distinct()
-    planes = cut(heads.select("doc_id", "n_shingles", "planes").join(nodes, "doc_id", "left_semi"))
-    near = cut(texts.where("doc_id is not null and text is not null").join(nodes, "doc_id", "left_semi"))
+    heads = cut(full.join(classes, "digest").where("doc_id = head").select("doc_id", "n_shingles", "bands", "planes"))
+    keyed = heads.select("doc_id", F.explode("bands").alias("key")).where("key is not null").repartition("key")
+    members = cut(buckets(keyed))
+    nodes = cut(members.select("doc_id").distinct())
+    planes = cut(among(heads.select("doc_id", "n_shingles", "planes"), nodes, "doc_id", "left_semi"))
+    near = cut(among(texts.where("doc_id is not null and text is not null"), nodes, "doc_id", "left_semi"))
     least = percent / 100 - MARGIN
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -332,7 +394,7 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(labels, the members of buckets in which several components meet, with their label)."""
-        labels = components(links)
+        labels = clusters(links)
         own = members.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("_label")), "doc_id", "left").withColumn("label", F.coalesce("_label", "doc_id")).drop("_label")
         mixed = own.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("key")
         return labels, cut(own.join(mixed, "key", "left_semi"))
@@ -346,7 +408,7 @@ def groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame
     asked = cut(contenders(open_.select("key", "doc_id", "label"), planes, percent))
     of_node = planes.select("doc_id", "n_shingles").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
     links = cut(links.union(first_links(asked, of_node, near, k, percent)))
-    labels = components(links)
+    labels = clusters(links)
     heads_of = classes.join(labels.select(F.col("node").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("_component"))
     out = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(heads_of, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
@@ -367,8 +429,8 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
         rows = known.withColumn(name, F.col("doc_id").cast("long"))
     else:  # numbers in the order of (doc_id, text); the checkpoint holds them still
         rows = cut(known.orderBy("doc_id", "text").withColumn(name, F.monotonically_increasing_id()))
-    kept = groups(rows.select(F.col(name).alias("doc_id"), "text"), k, percent).where("doc_id = component_id").select(F.col("doc_id").alias(name))
-    return rows.join(cut(kept), name, "left_semi").select(*[quoted(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    gone = groups(rows.select(F.col(name).alias("doc_id"), "text"), k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return among(rows, cut(gone), name, "left_anti").select(*[quoted(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import near_dedup as n
 from lodestack.llm import words as w
@@ -147,3 +150,55 @@ def test_hot_pairs_meet_their_member_in_every_salt(spark):
     others = spark.range(400).selectExpr("id b", "id * 2 n")
     got = n.meet(pairs, others).collect()
     assert sorted((r["a"], r["b"], r["n"]) for r in got) == sorted((i + 1, b, 2 * b) for i in range(300) for b in [0 if i < 290 else i])
+
+
+def test_buckets_with_the_same_documents_are_one(spark):
+    """Near copies meet in most of their bands: 30 documents in 40 of them pose the pairs of one bucket."""
+    rows = [(key, i) for key in range(40) for i in range(30)] + [(50, i) for i in range(29)] + [(51, 3), (51, 3), (51, 4), (52, 3), (52, 4), (53, 7), (53, 7)]
+    got = n.buckets(spark.createDataFrame(rows, "key long, doc_id long").repartition("key")).collect()
+    assert sorted(map(tuple, got)) == sorted([(0, i, 0, 29, 1) for i in range(30)] + [(50, i, 0, 28, 1) for i in range(29)] + [(51, 3, 3, 4, 1), (51, 4, 3, 4, 1)])
+
+
+def test_members_are_joined_before_they_are_dealt(spark):
+    """All that don't ask meet all that do, once each; nothing is joined with the copies."""
+    rows = [(1, int(i >= 90), i, 4, 3) for i in range(150)] + [(2, i, i, 1, 1) for i in range(2)]
+    dealt = n._dealt(spark.createDataFrame(rows, "key long, asks int, doc_id long, blocks int, parts int"), "key")
+    assert "Join" not in dealt._jdf.queryExecution().toString()
+    at = {}
+    for r in dealt.collect():
+        at.setdefault((r["key"], r["block"], r["part"]), ([], []))[r["asks"]].append(r["doc_id"])
+    met = [(a, b) for here, asking in at.values() for a in here for b in asking]
+    assert sorted(met) == sorted([(a, b) for a in range(90) for b in range(90, 150)] + [(0, 1)])
+
+
+@pytest.mark.parametrize("few", [n.FEW_LINKS, 0])
+def test_clusters_and_ids_few_or_many(spark, monkeypatch, few):
+    monkeypatch.setattr(n, "FEW_LINKS", few)
+    monkeypatch.setattr(n, "FEW_IDS", few)
+    rng = random.Random(few)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1050)]
+    up = {x: x for ab in links for x in ab}
+    for _ in range(len(links)):
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r["node"]: r["component"] for r in n.clusters(n.cut(spark.createDataFrame(links, "a long, b long").repartition(5))).collect()}
+    loops = {a for a, b in links if a == b}
+    assert {x: c for x, c in got.items() if x not in loops} == {x: c for x, c in up.items() if x not in loops}
+    assert n.clusters(n.cut(spark.createDataFrame([], "a long, b long"))).count() == 0
+    ids = n.cut(spark.range(0, 40, 2).toDF("x"))
+    assert [n.among(spark.range(50).toDF("x"), ids, "x", how).count() for how in ("left_semi", "left_anti")] == [20, 30]
+
+
+def test_files_of_finished_shuffles_go(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    names = lambda: {f for f in files().mkString("\n").split("\n") if "shuffle_" in f}
+    before, kept = names(), []
+    for _ in range(20):
+        kept.append(n.cut(spark.range(20000).repartition(3).groupBy((F.col("id") % 5000).alias("k")).count()))
+    for _ in range(100):
+        ours = {re.search(r"shuffle_\d+", f)[0] for f in names() - before}
+        if len(ours) <= 4:
+            break
+        time.sleep(0.1)
+    assert len(ours) <= 4  # two are behind each
+    assert {made.count() for made in kept} == {5000}
