@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,26 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Has the files of a finished query's shuffles removed.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, *by: str) -> str:
+    """A new folder below the shared one that holds the rows of df as Parquet, in folders by the columns `by`.
+
+    The files of the shuffles behind df go when the write ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return folder
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}
