@@ -24,6 +24,8 @@ KINDS = ("assign", "access", "hex", "literal")
 MASK = "[SECRET]"
 #: Literals that score at least this are secrets.
 THRESHOLD = 0.5
+#: Shorter literals are no secrets.
+SHORT = 8
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -147,7 +149,7 @@ def strength(value: str | Value) -> float:
     """0 to 1: how much a literal looks like a secret, by length, character classes and entropy."""
     v = value if isinstance(value, Value) else joined([value])
     length = sum(v.counts.values())
-    if length < 8 or any(c.isspace() for c in v.counts) or _stands_in(v, length):
+    if length < SHORT or any(c.isspace() for c in v.counts) or _stands_in(v, length):
         return 0.0
     bits = -sum(n / length * math.log2(n / length) for n in v.counts.values())
     kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in v.counts}
@@ -204,9 +206,13 @@ def literal_spans(text: str) -> list[Span]:
             todo.pop()
         return values[root] or _EMPTY
 
-    reached, todo = set(), []
+    reached, todo, weights = set(), [], {}
     for i, a in enumerate(found):
-        if (weight := sensitivity(a.name)) and weight * strength(resolve(i)) >= THRESHOLD:
+        if a.name not in weights:
+            weights[a.name] = sensitivity(a.name)
+        if not weights[a.name] or all(j is None for j in refers[i]) and sum(len(t[1]) for t in a.terms) < SHORT:
+            continue
+        if weights[a.name] * strength(resolve(i)) >= THRESHOLD:
             todo.append(i)
     out = set()
     while todo:
