@@ -7,8 +7,8 @@ released blocks the one with the earliest deadline takes the next slot; the
 weights add up to one, so every slot is taken and, at any slot, what a source
 has got differs from its share by less than one block. The schedule repeats
 after `period` slots: one period is computed, in one row, and every block
-finds its slot by a join on (source, index within the period). Where there are
-many sources, that row holds their distinct weights instead of the sources.
+finds its slot by a join on (source, index within the period). That row
+holds the sources' distinct weights instead of the sources.
 """
 
 from __future__ import annotations
@@ -54,30 +54,11 @@ def target_units(sources: DataFrame, period: int = PERIOD) -> DataFrame:
 def pfair_schedule(units: DataFrame) -> DataFrame:
     """One period's schedule: (source, nth, slot, units, period) from (source, units).
 
-    Earliest deadline first among released blocks; ties go to the source that
-    sorts first. One row per source enters and one row per slot leaves.
-    """
-    one = units.where("units > 0").groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s"), F.sum("units").alias("period"))
-    # The state holds the blocks given to each source so far, and the picks; i is a source's place from 0.
-    pick = """array_min(filter(transform(s, (x, i) -> if((acc.c[i] * period) div x.units <= t,
-        named_struct('deadline', ((acc.c[i] + 1) * period + x.units - 1) div x.units, 'i', i), null)), x -> x is not null)).i"""
-    run = f"""aggregate(sequence(0L, period - 1), named_struct('c', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
-        (acc, t) -> aggregate(array({pick}), acc, (st, p) -> named_struct(
-            'c', transform(st.c, (n, i) -> if(i = p, n + 1L, n)), 'picks', array_append(st.picks, p))),
-        acc -> acc.picks)"""
-    picks = one.select("s", "period", F.expr(run).alias("picks"))
-    slots = picks.select("s", "period", F.posexplode("picks").alias("slot", "i"))
-    slots = slots.select(F.expr("s[i].source").alias("source"), F.expr("s[i].units").alias("units"), "period", F.col("slot").cast("long").alias("slot"))
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return slots.withColumn("nth", nth.cast("long"))
-
-
-def wide_schedule(units: DataFrame) -> DataFrame:
-    """pfair_schedule for many sources: the same columns and bounds, but ties go to more units, then by source.
-
-    Sources of equal units have equal release slots and deadlines, so a slot
-    goes to such a class and within it by (index, source). The one row holds
-    the classes, at most the square root of twice the period.
+    Earliest deadline first among released blocks; ties go to more units, then
+    to the source that sorts first. Sources of equal units have equal release
+    slots and deadlines, so a slot goes to such a class and within it by
+    (index, source). The one row holds the classes, at most the square root of
+    twice the period; one row a slot leaves.
     """
     units = units.where("units > 0")
     members = units.withColumn("member", (F.row_number().over(Window.partitionBy("units").orderBy("source")) - 1).cast("long"))
@@ -135,7 +116,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PE
         named = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(int(v)).cast("long"))]) if weights else F.lit(None).cast("map<string,bigint>")
         units = by_source.select("source", F.coalesce(named[F.col("source")], F.lit(1).cast("long")).alias("units"))
     n_sources = docs.select(F.coalesce("source", F.lit(""))).distinct().count()
-    plan = pfair_schedule(units) if n_sources <= PERIOD else cut(wide_schedule(units))
+    plan = cut(pfair_schedule(units))
     shares = plan.select(F.col("source").alias(f"{p}_source"), F.col("nth").alias(f"{p}_nth"), F.col("slot").alias(f"{p}_slot"), F.col("units").alias(f"{p}_units"), F.col("period").alias(f"{p}_period"))
     sizes = shares.select(f"{p}_source", f"{p}_units", f"{p}_period").distinct()
     by_nth = shares.select(f"{p}_source", f"{p}_nth", f"{p}_slot")
@@ -168,8 +149,8 @@ n AS (SELECT s, count(*) AS n FROM d GROUP BY s),
 e AS (SELECT s, sqrt(CAST(n AS DOUBLE)) / (SELECT sum(x ORDER BY s) FROM (SELECT s, sqrt(CAST(n AS DOUBLE)) AS x FROM n)) * ({PERIOD} - (SELECT count(*) FROM n)) AS exact FROM n),
 f AS (SELECT s, exact, CAST(floor(exact) AS BIGINT) AS whole, round(exact - floor(exact), 9) AS rest FROM e),
 r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, s) AS rank FROM f),
-u AS (SELECT s, CAST(1 + whole + CASE WHEN rank <= {PERIOD} - (SELECT count(*) FROM f) - (SELECT sum(whole) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS units,
-             row_number() OVER (ORDER BY s) AS i FROM r),
+u AS (SELECT *, row_number() OVER (ORDER BY units DESC, s) AS i FROM (
+  SELECT s, CAST(1 + whole + CASE WHEN rank <= {PERIOD} - (SELECT count(*) FROM f) - (SELECT sum(whole) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS units FROM r)),
 l AS (SELECT list(units ORDER BY i) AS us, list(s ORDER BY i) AS ss FROM u),
 run AS (
   SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(us, lambda x: CAST(0 AS BIGINT)) AS c, us FROM l

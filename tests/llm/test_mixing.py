@@ -1,3 +1,4 @@
+import heapq
 from collections import Counter
 
 import pytest
@@ -17,6 +18,24 @@ def test_deviation_below_one_block(spark, units):
     assert given == dict(zip(names, units, strict=True))
 
 
+@pytest.mark.parametrize("n", [9, 900, 2000])
+def test_ties_go_to_more_units_at_any_number_of_sources(spark, n):
+    """Against earliest deadline first by a plain heap."""
+    units = {f"s{i:04d}": 1 + (i * 7) % 5 for i in range(n)}
+    period, released, waiting, expected = sum(units.values()), [], [(0, s, 0) for s in units], []
+    heapq.heapify(waiting)
+    for t in range(period):
+        while waiting and waiting[0][0] <= t:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(released, (-(-(i + 1) * period // units[s]), -units[s], s, i))
+        _, _, s, i = heapq.heappop(released)
+        expected.append((s, i))
+        if i + 1 < units[s]:
+            heapq.heappush(waiting, ((i + 1) * period // units[s], s, i + 1))
+    plan = mixing.pfair_schedule(spark.createDataFrame(list(units.items()), "source string, units long")).orderBy("slot").collect()
+    assert [(r["source"], r["nth"]) for r in plan] == expected
+
+
 def test_rows_keep_the_schedule(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(2000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 3, "b": 1}, block_docs=4).collect()
@@ -56,7 +75,7 @@ def test_more_sources_than_slots(spark, monkeypatch, broadcast):
     assert Counter(r["source"] for r in got) == sizes
     assert len({r["position"] for r in got}) == len(got)
     # Every block lies between its release slot and its deadline.
-    plan = mixing.wide_schedule(spark.createDataFrame(list(units.items()), "source string, units long")).orderBy("slot").collect()
+    plan = mixing.pfair_schedule(spark.createDataFrame(list(units.items()), "source string, units long")).orderBy("slot").collect()
     assert [r["slot"] for r in plan] == list(range(8192))
     given = Counter()
     for t, r in enumerate(plan):
