@@ -27,7 +27,7 @@ SCALE = 1_000_000_000
 MIN_DOCS, TOP = 3, 200
 #: Bytes of a text that are split at a time; counts that a task holds before it hands them on.
 PIECE, HELD = 1 << 20, 300_000
-#: Least number of shards of a language's vectors, and evaluations (vectors x sources x sources) that add one.
+#: Least number of shards of a language's vectors, and evaluations (terms x sources x sources) that add one.
 SHARDS, PER_SHARD = 64, 1 << 28
 #: Cells of a dense block of counts, and of the sums of pairs, that a task holds.
 CELLS, SUMS = 1 << 18, 1 << 20
@@ -85,10 +85,11 @@ def pair_sums(vectors: DataFrame, stats: DataFrame) -> DataFrame:
     """
     kind = "array<struct<source:string,n:bigint>>"
     known = stats.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.col("size").alias("n")))).cast(kind).alias("vector"), F.max("terms").alias("m"), F.count("*").alias("_s"))
-    many = vectors.groupBy("lang").agg(F.count("*").alias("_v"))
-    known = known.join(many, "lang", "left").withColumn("shards", F.expr(f"{SHARDS} + (coalesce(_v, 0) * _s * _s) div {PER_SHARD}"))
-    heads = known.select("lang", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.lit(0).alias("kind"), "vector", "m")
-    body = vectors.join(known.select("lang", "shards"), "lang").select("lang", F.expr("pmod(xxhash64(vector), shards)").alias("shard"), F.lit(1).alias("kind"), F.col("vector").cast(kind).alias("vector"), "m")
+    # No language has more distinct vectors than terms.
+    work_of = known.agg(F.max(F.expr("m * _s * _s")).alias("n")).first()["n"] or 0
+    shards = SHARDS + work_of // PER_SHARD
+    heads = known.select("lang", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.lit(0).alias("kind"), "vector", "m")
+    body = vectors.select("lang", F.expr(f"pmod(xxhash64(vector), {shards}L)").alias("shard"), F.lit(1).alias("kind"), F.col("vector").cast(kind).alias("vector"), "m")
     dealt = heads.union(body).repartition("lang", "shard").sortWithinPartitions("lang", "shard", "kind")
 
     def work(batches):
