@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,11 +16,10 @@ from .operators import fusion, keyword, store
 from .sources import extract, folder
 from .streaming import watch
 
+MODES = ("", "search", "answer")
 HIT = ("path", "seq", "page", "snippet", "text", "score")
 #: How many times the limit of a search is taken at first, for rows that tie.
 TIES = 4
-#: Written files of one batch of changes that are indexed by themselves; with more the whole root is brought up to date.
-MOST_FILES = 1000
 
 
 def _root(path: str) -> str:
@@ -77,14 +77,10 @@ class Engine:
             rel = F.substr("path", F.lit(len(base) + 2))
             job = watch.route(F.col("op"), F.lit(False), text.base_name(F.col("path")) == folder.CONFIG_NAME, F.col("path"), rel, patterns)
             jobs = changes.select(job.alias("job"), "path").where("job is not null").distinct()
-            if jobs.where("job = 'reconcile'").isEmpty():
-                written = [r["path"] for r in jobs.limit(MOST_FILES + 1).collect()]
-                if not written:
-                    return
-                if len(written) <= MOST_FILES:
-                    self.add_files(root, written, tag, exclude)
-                    return
-            self.add(root, tag, exclude)
+            if not jobs.where("job = 'reconcile'").isEmpty():
+                self.add(root, tag, exclude)
+            elif written := [r["path"] for r in jobs.collect()]:  # no more than the change source has listed
+                self.add_files(root, written, tag, exclude)
 
         return watch.keep_fresh(self.spark, base, checkpoint, take, interval)
 
@@ -116,19 +112,21 @@ class Engine:
             "postings": keyword.stored_postings(chunks),
         }
         if self.embedder is not None:
-            alive = old["chunks"].join(dead, "file_id", "left_anti").select("file_id", "chunk_id", "text")
-            missing = store.missing_embeddings(alive, old["embeddings"]).unionByName(chunks.select("file_id", "chunk_id", "text"))
+            missing, waiting = chunks.select("file_id", "chunk_id", "text"), self.store.backlog(manifest, dead)
+            if waiting is not None:
+                missing = missing.unionByName(waiting)
             added["embeddings"], added["embedding_cache"], added["meta"] = store.embed_missing(missing, old["embedding_cache"], old["meta"], embed.embedder_for(self.embedder), self.embedder.model)
         failed, changed, total, n_chunks = read.where("error is not null").count(), fresh.count(), scanned.select("path").count(), chunks.count()
-        if changed > failed or not dead.isEmpty() or manifest["version"] == 0 or "embeddings" in added:
+        if changed > failed or not dead.isEmpty() or manifest["version"] == 0 or (self.embedder is not None and waiting is not None):
             manifest = self.store.commit(added, dead, manifest)
         else:
             manifest = self.store.commit({"sources": added["sources"]}, None, manifest)
         marks = read.select(F.explode("sections").alias("s")).agg(F.count_if("s.scan_skipped").alias("a"), F.count_if("s.scan_failed").alias("b")).first()
-        for df in (fresh, read, chunks, dead):
+        for df in (fresh, read, chunks, dead, *([added["embedding_cache"]] if "embedding_cache" in added else [])):
             df.unpersist()
         if max(map(len, manifest["segments"].values())) > store.SEGMENTS:
-            self.store.merge()
+            with contextlib.suppress(store.Conflict):  # another writer was faster; the next commit tries again
+                self.store.merge()
         return Stats(changed - failed, total - changed, failed, n_chunks, marks["a"], marks["b"])
 
     def remove(self, *roots: str) -> None:
@@ -215,12 +213,15 @@ class Engine:
     def search(self, query: str, tag: str = "", limit: int | None = 10, answer: bool = False, mode: str = "") -> DataFrame:
         """The best hits (path, seq, page, snippet, text, score); for an answer, the nearest ones if none are relevant.
 
-        mode: hybrid, or nothing for the same; anything else is a ValueError.
+        mode: answer for the same as answer=True, search or nothing; anything
+        else is a ValueError. Hits of any word are searched for only where the
+        decision needs them.
         Scores come from the stored postings of the query's terms and the
         version's own statistics; texts are read of the few hits only.
         """
-        if mode not in ("", "hybrid"):
-            raise ValueError(f"unknown mode: {mode}")
+        if mode not in MODES:
+            raise ValueError(f"unknown mode {mode!r}, not one of {MODES[1:]}")
+        answer = answer or mode == "answer"
         limit = fusion.resolve_limit(limit, 6 if answer else 10, 20 if answer else 100)
         words = text.py_words(query)
         if not words:
@@ -235,7 +236,7 @@ class Engine:
         def by_keyword(any_word: bool) -> DataFrame:
             return hits(keyword.bm25(tables["postings"], None, query, any_word, stats=stats), lambda t: passages.snippet(t, query))
 
-        all_words, any_word = by_keyword(False), by_keyword(True) if len(words) > 1 else None
+        all_words = by_keyword(False)
         vector, failed = None, False
         pinned = tables["meta"].where("key = 'embed_model'").select("value").first()
         if self.embedder is not None and pinned and pinned[0] == self.embedder.model:
@@ -246,6 +247,9 @@ class Engine:
             else:
                 vectors = tables["embeddings"] if tagged is None else tables["embeddings"].join(tagged, "file_id", "left_semi")
                 vector = self._hits(tables, top_vectors(vectors, q, limit, "chunk_id", "vector"), limit, lambda t: passages.excerpt(t, words))
+        # The legs are rows at hand, so that looking at them is no job.
+        empty = all_words.isEmpty() and (vector is None or answer and vector.isEmpty())
+        any_word = by_keyword(True) if len(words) > 1 and empty and not failed else None
         return fusion.hybrid(all_words, any_word, vector, ["path", "seq"], limit, answer, failed)
 
     def chunk(self, path: str, seq: int, window: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,8 @@ TABLES = {
     "embedding_cache": "sha string, model string, vector array<float>",
     "meta": "key string, value string",
 }
+#: Distinct texts whose cached vectors are looked up by prefixes of their hash; hexadecimal digits of a prefix.
+LOOKUPS, PREFIX = 64, 6
 #: Raised whenever extraction changes, so that files are read again.
 EXTRACT_VERSION = "2"
 
@@ -106,6 +109,17 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
     return keyed.groupBy("sha").agg(F.min("chunk_id").alias("first"), F.count("*").alias("copies"), F.min("text").alias("text"))
 
 
+def cached(cache: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Rows of the cache that keyed (sha) may need: where few texts are asked for, conditions on their prefixes reach the scan, whose files are sorted by sha."""
+    few = [r["sha"] for r in keyed.select("sha").distinct().limit(LOOKUPS + 1).collect()]
+    if len(few) > LOOKUPS:
+        return cache
+    wanted = F.lit(False)
+    for prefix in sorted({x[:PREFIX] for x in few}):
+        wanted = wanted | F.col("sha").startswith(prefix)
+    return cache.where(wanted)
+
+
 def embed_missing(missing: DataFrame, cache: DataFrame, meta: DataFrame, embedder, model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(embeddings, new cache rows, meta) for chunks (file_id, chunk_id, text) without a vector.
 
@@ -117,7 +131,7 @@ def embed_missing(missing: DataFrame, cache: DataFrame, meta: DataFrame, embedde
     if pinned and pinned[0] != model:
         raise ValueError(f"the index holds vectors of {pinned[0]}, not {model}")
     keyed = missing.withColumn("sha", F.sha2("text", 256))
-    known = cache.where(F.col("model") == model).select("sha", "vector")
+    known = cached(cache.where(F.col("model") == model), keyed).select("sha", "vector")
     wanted = keyed.groupBy("sha").agg(F.min("text").alias("text")).join(known.select("sha"), "sha", "left_anti")
     made = embedder(wanted).select("sha", F.lit(model).alias("model"), "vector").persist()
     vectors = keyed.join(known.unionByName(made.select("sha", "vector")), "sha").select("file_id", "chunk_id", "vector")
@@ -168,8 +182,18 @@ STORED = {
 SMALL, BY_FILE = ("sources", "meta"), ("files", "chunks", "lengths", "postings", "embeddings")
 #: Segments of a table after which small ones are merged.
 SEGMENTS = 32
+#: The layout of segments: 1 had postings without dl and no backlog, 2 has both.
+SCHEMA = 2
+#: Seconds for which a commit tries again behind other writers' versions, and between two tries.
+PATIENCE, PAUSE = 5.0, 0.2
+#: Keys of the small tables, by which two writers' changes are merged.
+KEYS = {"sources": "path", "meta": "key"}
 #: How a table's segments are laid out, so that a search reads few row groups.
-ORDER = {"postings": ("term", "chunk_id", "pos"), "chunks": ("chunk_id",), "files": ("file_id",)}
+ORDER = {"postings": ("term", "chunk_id", "pos"), "chunks": ("chunk_id",), "files": ("file_id",), "embedding_cache": ("sha",)}
+
+
+class Conflict(RuntimeError):
+    """Another writer changed what this commit changes."""
 
 
 class Store:
@@ -177,9 +201,15 @@ class Store:
 
     A commit writes what is new as a segment, the ids of files whose earlier
     rows are dead, and then the next file of the log, which must not exist yet:
-    readers keep the version they opened, a failed commit leaves no trace in
-    the log, and of two writers one gets an error. The cost of a commit follows
-    the change, not the index.
+    readers keep the version they opened, and a failed commit leaves no trace in
+    the log. Of two writers the later one puts its segments behind the other's
+    version if they changed different files and sources, and else gets a
+    Conflict. The cost of a commit follows the change, not the index.
+
+    The backlog of a version numbers the commits whose chunks were written
+    without vectors; a commit with vectors clears it. Segments carry a schema
+    number; older ones are lifted when they are read, until a merge rewrites
+    them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -194,8 +224,13 @@ class Store:
         names = [f.getPath().getName() for f in self._fs.listStatus(log)] if self._fs.exists(log) else []
         names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
         if not names:
-            return {"version": 0, "segments": {t: [] for t in STORED}, "dead": []}
-        return json.loads(self.spark.read.text(f"{self.path}/log/{max(names)}").first()[0])
+            return {"version": 0, "segments": {t: [] for t in STORED}, "dead": [], "backlog": [], "schema": {}}
+        until = time.monotonic() + PATIENCE
+        while True:  # a version that is being written just now is not whole yet
+            row = self.spark.read.text(f"{self.path}/log/{max(names)}").first()
+            if row is not None or time.monotonic() > until:
+                return json.loads(row[0])
+            time.sleep(PAUSE)
 
     def read(self, manifest: dict | None = None) -> dict[str, DataFrame]:
         """The live rows of all tables."""
@@ -206,6 +241,17 @@ class Store:
         segments = manifest["segments"][table]
         if not segments:
             return self.spark.createDataFrame([], STORED[table])
+        schemas = manifest.get("schema", {})
+        old = [s for s in segments if table == "postings" and schemas.get(str(s[0]), 1) < 2]
+        if not old:
+            return self._live(table, manifest, segments)
+        lengths = self._live("lengths", manifest, [s for s in manifest["segments"]["lengths"] if s[0] in {n for n, _ in old}])
+        lifted = self._live(table, manifest, old).drop("dl").join(lengths.select("chunk_id", "dl"), "chunk_id").select("file_id", "chunk_id", "pos", "term", "dl")
+        others = [s for s in segments if s not in old]
+        return lifted.unionByName(self._live(table, manifest, others)) if others else lifted
+
+    def _live(self, table: str, manifest: dict, segments: list) -> DataFrame:
+        """The rows of some segments of a table without those of files that later commits marked dead."""
         newest_dead = max((n for n, _ in manifest["dead"]), default=0)
         read = lambda at: self.spark.read.schema(STORED[table]).parquet(f"{self.path}/{at}")
         if table not in BY_FILE or newest_dead <= min(n for n, _ in segments):
@@ -221,6 +267,21 @@ class Store:
         dead = dead.groupBy("_dead").agg(F.max("_until").alias("_until"))
         return rows.join(dead, (F.col("file_id") == F.col("_dead")) & (F.col("_segment") < F.col("_until")), "left_anti").drop("_segment")
 
+    def backlog(self, manifest: dict, dead: DataFrame | None = None) -> DataFrame | None:
+        """Live chunks (file_id, chunk_id, text) without a vector; None where no commit left any, and then nothing is read.
+
+        Only the chunks of commits in the backlog are read, and the ids of
+        vectors. dead: files (file_id) that are leaving.
+        """
+        numbers = manifest.get("backlog", [n for n, _ in manifest["segments"]["chunks"]])
+        segments = [s for s in manifest["segments"]["chunks"] if s[0] in numbers]
+        if not segments:
+            return None
+        chunks = self._live("chunks", manifest, segments).select("file_id", "chunk_id", "text")
+        if dead is not None:
+            chunks = chunks.join(dead, "file_id", "left_anti")
+        return missing_embeddings(chunks, self._table("embeddings", manifest)).select("file_id", "chunk_id", "text")
+
     def stats(self, manifest: dict) -> tuple[int, int]:
         """The numbers of live chunks and of their tokens."""
         return tuple(manifest["stats"]) if "stats" in manifest else self._counts(self._table("lengths", manifest))
@@ -234,39 +295,120 @@ class Store:
 
         replacing: numbers of commits whose live rows added holds, and whose segments are let go.
         """
-        old = based_on or self.manifest()
-        n, folder = old["version"] + 1, f"data/{old['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
-        segments = {t: [s for s in old["segments"][t] if t in SMALL or s[0] not in replacing] for t in STORED}
+        base = based_on or self.manifest()
+        folder = f"data/{base['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
         for t, df in added.items():
             rows = df.select(*[c.split()[0] for c in STORED[t].split(", ")])
             if t in ORDER:
                 rows = rows.repartitionByRange(ORDER[t][0]).sortWithinPartitions(*ORDER[t])
             rows.write.parquet(f"{self.path}/{folder}/{t}")
-            segments[t] = [*([] if t in SMALL else segments[t]), [n, f"{folder}/{t}"]]
-        chunks, tokens = self.stats(old) if old["version"] else (0, 0)
-        marks, rows = list(old["dead"]), {k: v for k, v in old.get("rows", {}).items() if int(k) not in replacing}
+        written, gone, made = {t: f"{folder}/{t}" for t in added}, (0, 0), None
         if dead is not None:
             dead.select("file_id").distinct().write.parquet(f"{self.path}/{folder}/dead")
-            marks.append([n, f"{folder}/dead"])
-            if old["segments"]["lengths"]:
-                gone = self._counts(self._table("lengths", old).join(self.spark.read.schema("file_id long").parquet(f"{self.path}/{folder}/dead"), "file_id", "left_semi"))
-                chunks, tokens = chunks - gone[0], tokens - gone[1]
+            if base["segments"]["lengths"]:
+                gone = self._counts(self._table("lengths", base).join(self.spark.read.schema("file_id long").parquet(f"{self.path}/{folder}/dead"), "file_id", "left_semi"))
         if "lengths" in added:
             made = self._counts(self.spark.read.schema(STORED["lengths"]).parquet(f"{self.path}/{folder}/lengths"))
+        onto, until = base, time.monotonic() + PATIENCE
+        while True:
+            manifest = self._next(onto, base, written, f"{folder}/dead" if dead is not None else None, gone, made, replacing)
+            if self._claim(manifest):
+                return manifest
+            newest = self.manifest()
+            if replacing:
+                raise Conflict("the index changed while segments were merged")
+            if newest["version"] <= onto["version"]:  # its file isn't listed yet
+                if time.monotonic() > until:
+                    raise Conflict("the next version is taken")
+                time.sleep(PAUSE)
+                continue
+            written |= self._rebased(base, newest, written, folder if dead is not None else None)
+            onto = newest
+
+    def _next(self, onto: dict, base: dict, written: dict[str, str], dead: str | None, gone: tuple[int, int], made: tuple[int, int] | None, replacing: set[int]) -> dict:
+        """The version behind `onto` with what a commit based on `base` has written."""
+        n = onto["version"] + 1
+        segments = {t: [s for s in onto["segments"][t] if t in SMALL or s[0] not in replacing] for t in STORED}
+        for t, at in written.items():
+            segments[t] = [*([] if t in SMALL else segments[t]), [n, at]]
+        chunks, tokens = self.stats(onto) if onto["version"] else (0, 0)
+        chunks, tokens = chunks - gone[0], tokens - gone[1]
+        rows = {k: v for k, v in onto.get("rows", {}).items() if int(k) not in replacing}
+        if made is not None:
             rows[str(n)] = made[0]
             if not replacing:
                 chunks, tokens = chunks + made[0], tokens + made[1]
+        marks = [*onto["dead"], *([[n, dead]] if dead else [])]
+        before = lambda m: set(m.get("backlog", [k for k, _ in m["segments"]["chunks"]]))
+        backlog = before(onto)
+        if replacing:
+            backlog = backlog - replacing | ({n} if backlog & replacing else set())
+        elif "embeddings" in written:
+            backlog -= before(base)
+        elif "chunks" in written:
+            backlog.add(n)
         # A mark is of use as long as there are segments from before it.
         first = min((s[0] for t in BY_FILE for s in segments[t]), default=n)
-        manifest = {"version": n, "segments": segments, "dead": [m for m in marks if m[0] > first], "stats": [chunks, tokens], "rows": rows}
-        out = self._fs.create(self._path(f"{self.path}/log/{n:08d}.json"), False)
+        alive = {str(s[0]) for t in STORED for s in segments[t]}
+        schema = {k: v for k, v in onto.get("schema", {}).items() if k in alive} | {str(n): SCHEMA}
+        return {"version": n, "segments": segments, "dead": [m for m in marks if m[0] > first], "stats": [chunks, tokens], "rows": rows, "backlog": sorted(backlog), "schema": schema}
+
+    def _claim(self, manifest: dict) -> bool:
+        """Write the next file of the log; False if another writer has."""
+        at = self._path(f"{self.path}/log/{manifest['version']:08d}.json")
+        try:
+            out = self._fs.create(at, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        return manifest
+        return True
+
+    def _rebased(self, base: dict, newest: dict, written: dict[str, str], dead: str | None) -> dict[str, str]:
+        """New folders of the small tables, merged with what others have made of them since base. Conflict if both changed the same files, sources, or the backlog."""
+        if "embeddings" in written and base.get("backlog") and newest.get("backlog", []) != base["backlog"]:
+            raise Conflict("the backlog of vectors changed")
+
+        def touched(files: list, marks: list) -> DataFrame:
+            out = self.spark.createDataFrame([], "file_id long")
+            for at in (*files, *marks):
+                out = out.unionByName(self.spark.read.schema("file_id long").parquet(f"{self.path}/{at}"))
+            return out
+
+        since = lambda entries: [at for n, at in entries if n > base["version"]]
+        if any(s not in newest["segments"]["files"] for s in base["segments"]["files"]):
+            # Segments were merged: only rows that base doesn't have are changes.
+            theirs = self._table("files", newest).join(self._table("files", base).select("file_id", "sha256"), ["file_id", "sha256"], "left_anti").select("file_id").unionByName(touched([], since(newest["dead"])))
+        else:
+            theirs = touched(since(newest["segments"]["files"]), since(newest["dead"]))
+        ours = touched([written["files"]] if "files" in written else [], [f"{dead}/dead"] if dead else [])
+        if not ours.join(theirs, "file_id", "left_semi").isEmpty():
+            raise Conflict("another writer changed the same files")
+        out = {}
+        for t in SMALL:
+            if t in written and newest["segments"][t] != base["segments"][t]:
+                rows = self._merged(t, self._table(t, base), self.spark.read.schema(STORED[t]).parquet(f"{self.path}/{written[t]}"), self._table(t, newest))
+                out[t] = f"data/{newest['version'] + 1:08d}-{uuid.uuid4().hex[:12]}/{t}"
+                rows.write.parquet(f"{self.path}/{out[t]}")
+        return out
+
+    @staticmethod
+    def _merged(table: str, base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+        """The rows of a small table after both changes to base; Conflict where one key was changed in two ways."""
+        key = KEYS[table]
+        named = lambda df, c: df.select(key, F.struct(*df.columns).alias(c))
+        rows = named(base, "_b").join(named(ours, "_o"), key, "full_outer").join(named(theirs, "_t"), key, "full_outer").persist()
+        same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+        clash = rows.where(~same("_o", "_b") & ~same("_t", "_b") & ~same("_o", "_t"))
+        if not clash.isEmpty():
+            raise Conflict(f"another writer changed {clash.first()[key]}")
+        return rows.select(F.when(same("_o", "_b"), F.col("_t")).otherwise(F.col("_o")).alias("_r")).where("_r is not null").select("_r.*")
 
     def _rewrite(self, manifest: dict, numbers: set[int]) -> dict:
         """The live rows of some commits' segments as one segment a table."""
-        part = {"segments": {t: [s for s in manifest["segments"][t] if s[0] in numbers] for t in STORED}, "dead": manifest["dead"]}
+        part = manifest | {"segments": {t: [s for s in manifest["segments"][t] if s[0] in numbers] for t in STORED}}
         return self.commit({t: self._table(t, part) for t in STORED if t not in SMALL and part["segments"][t]}, based_on=manifest, replacing=numbers)
 
     def compact(self) -> dict:

@@ -1,7 +1,10 @@
 """The engine end to end over folders, and the store's changes."""
 
+import json
 import os
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,8 +152,150 @@ def test_segments_and_compaction(spark, tmp_path):
     assert len(engine.store.manifest()["segments"]["chunks"]) == 1
     assert [tuple(r) for r in engine.search("words").collect()] == before
     assert engine.store.read(manifest)["chunks"].count() == 1  # an opened version stays readable
-    with pytest.raises(Exception, match="exist"):
-        engine.store.commit({}, based_on=manifest)
+    late = engine.store.commit({}, based_on=manifest)  # behind the compaction
+    assert late["version"] == manifest["version"] + 2
+    assert [tuple(r) for r in engine.search("words").collect()] == before
+
+
+def _folders(tmp_path, *names):
+    for n in names:
+        (tmp_path / n).mkdir(parents=True)
+        (tmp_path / n / "a.txt").write_text(f"words of {n}")
+    return [str(tmp_path / n) for n in names]
+
+
+def test_two_writers_of_different_roots(spark, tmp_path):
+    """Both threads start from the same version; the later one goes behind the other."""
+    roots = _folders(tmp_path, "one", "two")
+    engines = [Engine(spark, str(tmp_path / "index"), HashedEmbedder(16)) for _ in roots]
+    gate, whole = threading.Barrier(2), store.Store.manifest
+
+    def add(engine, root):
+        first = iter([True])
+
+        def manifest(self):
+            found = whole(self)
+            if next(first, False):
+                gate.wait(60)
+            return found
+
+        engine.store.manifest = manifest.__get__(engine.store)
+        return engine.add(root)
+
+    with ThreadPoolExecutor(2) as pool:
+        stats = list(pool.map(add, engines, roots))
+    assert [x.indexed for x in stats] == [1, 1]
+    fresh = Engine(spark, str(tmp_path / "index"), HashedEmbedder(16))
+    manifest = fresh.store.manifest()
+    assert manifest["version"] == 2
+    assert manifest["stats"] == [2, 6]
+    assert sorted(r["path"] for r in fresh.sources().collect()) == sorted(roots)
+    assert fresh.store.read()["meta"].count() == 1
+    assert {r["path"].split("/")[-2] for r in fresh.search("words").collect()} == {"one", "two"}
+
+
+def test_writers_of_the_same_files_conflict(spark, tmp_path):
+    (root,) = _folders(tmp_path, "one")
+    engine = Engine(spark, str(tmp_path / "index"), None)
+    engine.add(root)
+    base = engine.store.manifest()
+    (tmp_path / "one/a.txt").write_text("other words")
+    engine.add(root)
+    dead = engine.store.read(base)["files"].select("file_id")
+    with pytest.raises(store.Conflict, match="same files"):
+        engine.store.commit({}, dead, base)
+    tagged = base["segments"]["sources"][0]
+    sources = spark.read.schema(store.STORED["sources"]).parquet(f"{engine.store.path}/{tagged[1]}")
+    base = engine.store.manifest()
+    engine.store.commit({"sources": sources.withColumn("tag", F.lit("x"))}, None, base)
+    with pytest.raises(store.Conflict, match="changed"):
+        engine.store.commit({"sources": sources.withColumn("tag", F.lit("y"))}, None, base)
+    with pytest.raises(store.Conflict, match="merged"):
+        engine.store._rewrite(base, {1})
+
+
+def test_a_small_commit_opens_no_old_chunks(spark, tmp_path, monkeypatch):
+    root = tmp_path / "d"
+    root.mkdir()
+    engine = Engine(spark, str(tmp_path / "index"), HashedEmbedder(8))
+    for n in range(4):
+        (root / f"f{n}.txt").write_text(f"file {n} of words")
+        engine.add_files(str(root), [str(root / f"f{n}.txt")])
+    opened, write = [], engine.store.commit
+    monkeypatch.setattr(engine.store, "commit", lambda added, *more, **how: opened.extend(f for df in added.values() for f in df.inputFiles()) or write(added, *more, **how))
+    (root / "f9.txt").write_text("file 9 of words")
+    engine.add_files(str(root), [str(root / "f9.txt")])
+    assert len(engine.store.manifest()["segments"]["chunks"]) == 5
+    assert opened and not any("/chunks/" in f or "/embeddings/" in f for f in opened)
+    assert engine.store.manifest()["backlog"] == []
+    assert engine.store.read()["embeddings"].count() == 5
+
+
+def test_backlog_of_vectors(spark, tmp_path):
+    """Chunks of commits without an embedder get their vectors with the next one that has one, once, also after a merge."""
+    roots = _folders(tmp_path, "one", "two", "three", "four", "five")
+    plain, full = Engine(spark, str(tmp_path / "index"), None), Engine(spark, str(tmp_path / "index"), HashedEmbedder(8))
+    plain.add(roots[0])
+    assert plain.store.manifest()["backlog"] == [1]
+    full.add(roots[1])
+    assert full.store.manifest()["backlog"] == []
+    plain.add(roots[2])
+    plain.add(roots[3])
+    assert plain.store.manifest()["backlog"] == [3, 4]
+    n = plain.store.compact()["version"]
+    assert plain.store.manifest()["backlog"] == [n]
+    waiting = plain.store.backlog(plain.store.manifest())
+    assert sorted(r["text"] for r in waiting.collect()) == ["words of four", "words of three"]
+    full.add(roots[4])
+    rows = [r["chunk_id"] for r in full.store.read()["embeddings"].collect()]
+    assert len(rows) == len(set(rows)) == 5
+    assert full.store.backlog(full.store.manifest()) is None
+
+
+def test_an_index_of_the_first_schema_answers(spark, tmp_path):
+    """Postings without dl, and a log that names neither schema nor backlog."""
+    (root,) = _folders(tmp_path, "one")
+    engine = Engine(spark, str(tmp_path / "index"), None)
+    engine.add(root)
+    before = [tuple(r) for r in engine.search("words").collect()]
+    manifest = engine.store.manifest()
+    at = f"{engine.store.path}/{manifest['segments']['postings'][0][1]}"
+    spark.read.parquet(at).drop("dl").write.parquet(f"{at}-old")
+    manifest["segments"]["postings"][0][1] += "-old"
+    for key in ("schema", "backlog"):
+        del manifest[key]
+    log = tmp_path / "index/log/00000001.json"
+    (tmp_path / "index/log/.00000001.json.crc").unlink(missing_ok=True)
+    log.write_text(json.dumps(manifest))
+    old = Engine(spark, str(tmp_path / "index"), HashedEmbedder(8))
+    assert [tuple(r) for r in old.search("words").collect()] == before
+    assert old.store.backlog(old.store.manifest()).count() == 1
+    lifted = old.store.compact()
+    assert lifted["schema"] == {"2": store.SCHEMA}
+    assert [tuple(r) for r in old.search("words").collect()] == before
+
+
+def test_modes_and_the_second_leg(spark, tmp_path, monkeypatch):
+    from lodestack.operators import keyword
+
+    (root,) = _folders(tmp_path, "one")
+    jobs, bm25 = [], keyword.bm25
+    monkeypatch.setattr(keyword, "bm25", lambda *a, **k: jobs.append(a[3]) or bm25(*a, **k))
+    for embedder, empty_legs in ((None, {"": 2, "search": 2, "answer": 2}), (HashedEmbedder(64), {"": 1, "search": 1, "answer": 1})):
+        engine = Engine(spark, str(tmp_path / f"index{len(jobs)}"), embedder)
+        engine.add(root)
+        for mode in ("", "search", "answer"):
+            jobs.clear()
+            assert engine.search("words of", mode=mode).count() == 1
+            assert jobs == [False]
+            jobs.clear()
+            engine.search("words zzz", mode=mode).collect()
+            assert len(jobs) == empty_legs[mode]
+    assert engine.search("qq zzz", mode="search").count() == 0
+    assert engine.search("qq zzz", mode="answer").count() == engine.search("qq zzz", answer=True).count() == 1
+    for mode in ("hybrid", "fuzzy"):
+        with pytest.raises(ValueError, match="mode"):
+            engine.search("words", mode=mode)
 
 
 def test_merging_and_vacuum(spark, tmp_path):
