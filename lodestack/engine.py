@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import __version__
 from .functions import chunking, embed, passages, text
@@ -55,6 +56,8 @@ class Engine:
         self.spark, self.store = spark, store.Store(spark, path)
         self.embedder = embed.choose() if embedder == "environment" else embedder
         self.pdf_backend, self.transcribe = pdf_backend, transcribe
+        #: Of the last keyword search by blocks.
+        self.pruned: keyword.Pruned | None = None
 
     def add(self, root: str, tag: str | None = None, exclude: list[str] | None = None) -> Stats:
         """Index a folder or a file, or bring it up to date: changed files are read again, vanished ones leave.
@@ -111,6 +114,7 @@ class Engine:
             "lengths": keyword.lengths(chunks).join(of_file, "chunk_id"),
             "postings": keyword.stored_postings(chunks),
         }
+        added["blocks"] = keyword.blocks(added["postings"])
         if self.embedder is not None:
             missing, waiting = chunks.select("file_id", "chunk_id", "text"), self.store.backlog(manifest, dead)
             if waiting is not None:
@@ -176,8 +180,24 @@ class Engine:
         return "\n\n".join(shown) or "No passage in the index matches."
 
     def hit_rate(self, cases: list[tuple[str, list[str]]], k: int = 3) -> tuple[float, list[str]]:
-        """(share of hits, missed queries): a query hits if one of its best k paths ends with one of the expected suffixes."""
-        missed = [q for q, wanted in cases if not any(r["path"].endswith(tuple(wanted)) for r in self.search(q, limit=k).collect())]
+        """(share of hits, missed queries): a query hits if one of its best k paths ends with one of the expected suffixes.
+
+        Without an embedder all cases are one plan over the postings (of chunks
+        that tie beyond TIES * k places those with the smallest ids count);
+        with one each case is a search.
+        """
+        if self.embedder is not None:
+            missed = [q for q, wanted in cases if not any(r["path"].endswith(tuple(wanted)) for r in self.search(q, limit=k).collect())]
+            return 1 - len(missed) / max(1, len(cases)), missed
+        manifest = self.store.manifest()
+        tables = self.store.read(manifest)
+        asked = self.spark.createDataFrame([(n, q, wanted) for n, (q, wanted) in enumerate(cases)], "query_id int, query string, wanted array<string>")
+        found = keyword.batch(tables["postings"], asked.select("query_id", "query"), self.store.stats(manifest), TIES * k, strict_first=True)
+        placed = found.join(tables["chunks"].select("chunk_id", "seq"), "chunk_id").join(tables["files"].select("file_id", "path"), "file_id")
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "path", "seq")
+        best = placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(asked, "query_id")
+        hit = {r["query_id"] for r in best.where(F.exists("wanted", lambda w: F.col("path").endswith(w))).select("query_id").distinct().collect()}
+        missed = [q for n, (q, _) in enumerate(cases) if n not in hit]
         return 1 - len(missed) / max(1, len(cases)), missed
 
     def sources(self) -> DataFrame:
@@ -217,7 +237,8 @@ class Engine:
         else is a ValueError. Hits of any word are searched for only where the
         decision needs them.
         Scores come from the stored postings of the query's terms and the
-        version's own statistics; texts are read of the few hits only.
+        version's own statistics; of words of one term only those blocks are
+        read that can hold a hit. Texts are read of the few hits only.
         """
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}, not one of {MODES[1:]}")
@@ -228,13 +249,25 @@ class Engine:
             raise ValueError("empty query")
         manifest = self.store.manifest()
         tables, stats = self.store.read(manifest), self.store.stats(manifest)
+        # Postings from before blocks were stored are read whole until a merge.
+        blocked = {n for n, _ in manifest["segments"]["postings"]} == {n for n, _ in manifest["segments"]["blocks"]}
+        terms = keyword.single_terms(query) if blocked else None
         tagged = tables["files"].join(tables["sources"].where(F.col("tag") == tag).select("source_id"), "source_id", "left_semi").select("file_id") if tag else None
 
         def hits(scored: DataFrame, shown) -> DataFrame:
             return self._hits(tables, scored if tagged is None else scored.join(tagged, "file_id", "left_semi"), limit, shown)
 
         def by_keyword(any_word: bool) -> DataFrame:
-            return hits(keyword.bm25(tables["postings"], None, query, any_word, stats=stats), lambda t: passages.snippet(t, query))
+            shown = lambda t: passages.snippet(t, query)
+            if terms is None:
+                return hits(keyword.bm25(tables["postings"], None, query, any_word, stats=stats), shown)
+            df = None
+            if manifest["dead"]:  # blocks count the chunks of replaced files too
+                alive = tables["postings"].where(F.col("term").isin(sorted(terms))).groupBy("term").agg(F.count_distinct("chunk_id").alias("n"))
+                df = {r["term"]: r["n"] for r in alive.collect()}
+            keep = (lambda x: x) if tagged is None else (lambda x: x.join(tagged, "file_id", "left_semi"))
+            self.pruned = keyword.best(tables["postings"], tables["blocks"], terms, any_word, stats, TIES * limit, df, keep)
+            return hits(self.pruned.scored, shown)
 
         all_words = by_keyword(False)
         vector, failed = None, False

@@ -14,18 +14,18 @@ EMBEDS = ("embed", "minilm")
 SEES = ("ocr", "-vl", "vl-", "vision", "llava", "bakllava", "minicpm-v", "moondream", "pixtral")
 
 
-def chat_model(models: DataFrame) -> DataFrame:
-    """Of (pos, id), the first model that neither embeds nor sees, else the first that doesn't embed: one row or none."""
+def chat_model(models: DataFrame, *by: str) -> DataFrame:
+    """Of (by..., pos, id), the first model that neither embeds nor sees, else the first that doesn't embed: one row or none for each endpoint, told by the columns `by`."""
     name = F.lower("id")
     kind = F.when(name.rlike("|".join(EMBEDS)), None).when(name.rlike("|".join(SEES)), 1).otherwise(0)
-    return models.withColumn("_kind", kind).where("_kind is not null").groupBy().agg(F.min_by("id", F.struct("_kind", "pos")).alias("id")).where("id is not null")
+    return models.withColumn("_kind", kind).where("_kind is not null").groupBy(*by).agg(F.min_by("id", F.struct("_kind", "pos")).alias("id")).where("id is not null")
 
 
-def vision_model(models: DataFrame) -> DataFrame:
-    """Of (pos, id), the model of the best hint, then the first: one row or none."""
+def vision_model(models: DataFrame, *by: str) -> DataFrame:
+    """Of (by..., pos, id), the model of the best hint, then the first: one row or none for each endpoint."""
     hint = F.coalesce(*[F.when(F.contains(F.lower("id"), F.lit(h)), F.lit(n)) for n, h in enumerate(SEES)])
     best = models.withColumn("_hint", hint).where("_hint is not null")
-    return best.withColumn("_n", F.row_number().over(Window.partitionBy().orderBy("_hint", "pos"))).where("_n = 1").select("id")
+    return best.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_hint", "pos"))).where("_n = 1").select(*by, "id")
 
 
 def is_local(url: str) -> bool:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import py_terms, py_words, terms
+from ..functions.text import PY_SPACE, py_terms, py_words, terms
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Leading bits of a chunk's id that make its block; blocks that are scored first, besides one for each wanted hit; ranges of blocks that are pushed to a scan.
+BLOCK_BITS, FIRST, RANGES = 22, 32, 256
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -141,6 +146,116 @@ def bm25_scan(chunks: DataFrame, query: str, any_word: bool = False, key: str =
     return narrow.crossJoin(F.broadcast(stats)).select(key, score.alias("score")).where("score > 0")
 
 
+def _impact(tf, dl, avgdl: float):
+    """What a term's count in a chunk adds to its score, without the term's own weight: it grows with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _block(key: str, bits: int):
+    return F.shiftright(F.col(key), 64 - bits)
+
+
+def blocks(postings: DataFrame, key: str = "chunk_id", bits: int = BLOCK_BITS) -> DataFrame:
+    """(term, block, n, most, least) of postings (key, term, dl): chunks of a block that have a term, their highest count and smallest length.
+
+    A block is a range of ids, the same for all terms and segments.
+    """
+    counted = postings.where(F.col(key).isNotNull()).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return counted.groupBy("term", _block(key, bits).alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
+
+
+class Pruned(NamedTuple):
+    """Scores of a part of the chunks that holds the best ones, and how many blocks were read and passed over."""
+
+    scored: DataFrame
+    read: int
+    passed: int
+
+
+def single_terms(query: str) -> dict[str, int] | None:
+    """A query's terms and how often each is asked for; None where a word has several terms, or none has any."""
+    wanted = phrases(query)
+    return {p[0]: n for p, n in wanted.items()} if wanted and all(len(p) == 1 for p in wanted) else None
+
+
+def best(postings: DataFrame, blocks: DataFrame, wanted: dict[str, int], any_word: bool, stats: tuple[int, int], k: int, df: dict[str, int] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda x: x, key: str = "chunk_id", bits: int = BLOCK_BITS) -> Pruned:
+    """bm25() of single terms, for the k best chunks and those that tie with them: blocks that can't reach these aren't read.
+
+    A block's highest counts and smallest length bound the scores in it. The
+    blocks of the highest bounds are scored first; the k-th best score among
+    them is a threshold, and only blocks whose bound reaches it are read, by
+    conditions on ranges of ids where they are few. df: chunks of every term,
+    where blocks hold dead ones too. keep: what filters scored rows (a tag), so
+    that the threshold is one of rows that stay.
+    """
+    n, avgdl = stats[0], stats[1] / max(1, stats[0])
+    asked = F.col("term").isin(sorted(wanted))
+    entries = blocks.where(asked).groupBy("block", "term").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).persist()
+    if df is None:
+        df = {r["term"]: r["n"] for r in entries.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    weights = {t: w * idf_value(n, df.get(t, 0)) for t, w in wanted.items()}
+    weight = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, w)])[F.col("term")]
+    bounds = entries.groupBy("block").agg(F.sum(weight * _impact(F.col("most"), F.col("least"), avgdl)).alias("bound"), F.count("*").alias("_terms"))
+    bounds = bounds if any_word else bounds.where(F.col("_terms") == len(wanted))
+    carried = [key, *(c for c in ("file_id",) if c in postings.columns)]
+
+    def scored(of: list[int] | DataFrame) -> DataFrame:
+        rows = postings.where(asked & F.col(key).isNotNull())
+        if isinstance(of, list):
+            width, ranges = 1 << (64 - bits), F.lit(False)
+            for b in sorted(of):
+                ranges = ranges | F.col(key).between(b * width, (b + 1) * width - 1)
+            rows = rows.where(ranges)
+        else:
+            rows = rows.withColumn("block", _block(key, bits)).join(of.select("block"), "block", "left_semi")
+        found = rows.groupBy(*carried, "dl", "term").agg(F.count("*").alias("tf"))
+        out = found.groupBy(*carried).agg(F.sum(weight * _impact(F.col("tf"), F.col("dl"), avgdl)).alias("score"), F.count("*").alias("_terms"))
+        return (out if any_word else out.where(F.col("_terms") == len(wanted))).select(*carried, "score")
+
+    head = FIRST + k  # enough for a threshold where every block is one chunk
+    first = bounds.orderBy(F.desc("bound"), "block").limit(head + 1).collect()
+    if len(first) <= head:
+        entries.unpersist()
+        return Pruned(scored([r["block"] for r in first]), len(first), 0)
+    held = keep(scored([r["block"] for r in first[:head]])).orderBy(F.desc("score")).limit(k).collect()
+    least = held[-1]["score"] * (1 - 1e-9) if len(held) == k else 0.0
+    total, reaching = bounds.count(), bounds.where(F.col("bound") >= least)
+    few = [r["block"] for r in reaching.select("block").limit(RANGES + 1).collect()]
+    if len(few) <= RANGES:
+        entries.unpersist()
+        return Pruned(scored(few), len(few), total - len(few))
+    many = reaching.count()
+    return Pruned(scored(reaching), many, total - many)
+
+
+def batch(postings: DataFrame, queries: DataFrame, stats: tuple[int, int], k: int, key: str = "chunk_id", strict_first: bool = False) -> DataFrame:
+    """(query_id, key, score, rank): the k best chunks of each of many queries (query_id, query), ties by key.
+
+    Postings (key, pos, term, dl) are read once for all queries, and every
+    distinct phrase is matched once. Chunks with any of a query's phrases are
+    hits; with strict_first only those with all of them, where there are any.
+    """
+    n, avgdl = stats[0], stats[1] / max(1, stats[0])
+    words = queries.select("query_id", F.explode(F.filter(F.split("query", f"[{PY_SPACE}]+"), lambda w: w != "")).alias("w")).select("query_id", terms(F.col("w")).alias("ts")).where(F.size("ts") > 0)
+    asked = words.groupBy("query_id", F.array_join("ts", " ").alias("phrase")).agg(F.count("*").alias("weight"))
+    asked = asked.withColumn("_all", F.count("*").over(Window.partitionBy("query_id")))
+    table = asked.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("i", "term"), F.size(F.split("phrase", " ")).alias("size"))
+    carried = [c for c in ("file_id", "dl") if c in postings.columns]
+    votes = postings.where(F.col(key).isNotNull()).join(table, "term").groupBy("phrase", "size", key, *carried, (F.col("pos") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("votes"))
+    found = votes.where("votes = size").groupBy("phrase", key, *carried).agg(F.count("*").alias("tf"))
+    df = found.groupBy("phrase").agg(F.count("tf").alias("df"))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    parts = found.join(asked.join(df, "phrase").withColumn("_w", idf * F.col("weight")), "phrase")
+    kept = [key, *(c for c in carried if c != "dl")]
+    scored = parts.groupBy("query_id", *kept).agg(F.sum(F.col("_w") * _impact(F.col("tf"), F.col("dl"), avgdl)).alias("score"), (F.count("*") == F.max("_all")).alias("_strict"))
+    # Sums of copies may differ in their last bits.
+    by = [*([F.desc("_strict")] if strict_first else []), F.desc(F.round("score", 9)), key]
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
+    if strict_first:
+        ranked = ranked.withColumn("_any", F.max("_strict").over(Window.partitionBy("query_id"))).where("_strict or not _any")
+    return ranked.select("query_id", *kept, "score", "rank")
+
+
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     """The k best rows by score, then by the given columns."""
     return scored.orderBy(F.desc("score"), *ties).limit(k)

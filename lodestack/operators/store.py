@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import keyword
+
 #: The tables and their columns.
 TABLES = {
     "sources": "source_id long, path string, tag string, added_at timestamp",
@@ -175,10 +177,11 @@ STORED = {
     "chunks": TABLES["chunks"],
     "lengths": "file_id long, chunk_id long, dl long",
     "postings": "file_id long, chunk_id long, pos int, term string, dl long",
+    "blocks": "term string, block long, n long, most long, least long",
     "embeddings": "file_id long, chunk_id long, vector array<float>",
     "embedding_cache": TABLES["embedding_cache"],
 }
-#: Small tables that a commit writes anew; the cache only grows; the others grow by segments and shrink by dead files.
+#: Small tables that a commit writes anew; the cache and the postings' blocks only grow; the others grow by segments and shrink by dead files.
 SMALL, BY_FILE = ("sources", "meta"), ("files", "chunks", "lengths", "postings", "embeddings")
 #: Segments of a table after which small ones are merged.
 SEGMENTS = 32
@@ -189,7 +192,7 @@ PATIENCE, PAUSE = 5.0, 0.2
 #: Keys of the small tables, by which two writers' changes are merged.
 KEYS = {"sources": "path", "meta": "key"}
 #: How a table's segments are laid out, so that a search reads few row groups.
-ORDER = {"postings": ("term", "chunk_id", "pos"), "chunks": ("chunk_id",), "files": ("file_id",), "embedding_cache": ("sha",)}
+ORDER = {"postings": ("term", "chunk_id", "pos"), "blocks": ("term", "block"), "chunks": ("chunk_id",), "files": ("file_id",), "embedding_cache": ("sha",)}
 
 
 class Conflict(RuntimeError):
@@ -229,7 +232,10 @@ class Store:
         while True:  # a version that is being written just now is not whole yet
             row = self.spark.read.text(f"{self.path}/log/{max(names)}").first()
             if row is not None or time.monotonic() > until:
-                return json.loads(row[0])
+                found = json.loads(row[0])
+                for t in STORED:
+                    found["segments"].setdefault(t, [])
+                return found
             time.sleep(PAUSE)
 
     def read(self, manifest: dict | None = None) -> dict[str, DataFrame]:
@@ -409,7 +415,10 @@ class Store:
     def _rewrite(self, manifest: dict, numbers: set[int]) -> dict:
         """The live rows of some commits' segments as one segment a table."""
         part = manifest | {"segments": {t: [s for s in manifest["segments"][t] if s[0] in numbers] for t in STORED}}
-        return self.commit({t: self._table(t, part) for t in STORED if t not in SMALL and part["segments"][t]}, based_on=manifest, replacing=numbers)
+        rows = {t: self._table(t, part) for t in STORED if t not in SMALL and part["segments"][t]}
+        if "postings" in rows:
+            rows["blocks"] = keyword.blocks(rows["postings"])
+        return self.commit(rows, based_on=manifest, replacing=numbers)
 
     def compact(self) -> dict:
         """One segment a table, without dead rows. vacuum() deletes what no version needs any more."""

@@ -100,6 +100,30 @@ def _bm25(query: str, any_word: bool = False, tag: str = ""):
     return run
 
 
+def _by_blocks(query: str, any_word: bool):
+    """The same hits from postings and their blocks, as an index stores them."""
+
+    def run(spark, sf):
+        docs = files(spark, sf)
+        posted = keyword.stored_postings(docs.selectExpr("doc_id file_id", "doc_id chunk_id", "text"))
+        bits = 56  # the ids are small numbers: 256 of them a block
+        stats = tuple(keyword.corpus_stats(keyword.lengths(docs, "doc_id")).select("n", "total").first())
+        found = keyword.best(posted, keyword.blocks(posted, bits=bits), keyword.single_terms(query), any_word, stats, K, bits=bits)
+        hits = keyword.top(found.scored, K, "chunk_id").withColumnRenamed("chunk_id", "doc_id")
+        return docs.select("doc_id", "path").join(F.broadcast(hits), "doc_id").select("doc_id", text.citation(F.col("path"), F.lit(0), F.lit(0)).alias("cite"), F.round("score", 6).alias("score"))
+
+    return run
+
+
+def batch_search(spark, sf):
+    """Every benchmark item as a query over the documents: its three best ones, in one plan."""
+    docs = heavy(spark, sf, "documents")
+    posted = keyword.stored_postings(docs.selectExpr("doc_id file_id", "doc_id chunk_id", "text"))
+    stats = tuple(keyword.corpus_stats(keyword.lengths(docs, "doc_id")).select("n", "total").first())
+    found = keyword.batch(posted, read(spark, sf, "benchmark").selectExpr("item_id query_id", "text query"), stats, 3)
+    return found.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 def corpus_stats(spark, sf):
     found = keyword.corpus_stats(keyword.lengths(heavy(spark, sf, "documents"), "doc_id"))
     return found.select("n", "total", F.round("avgdl", 6).alias("avgdl"))
@@ -339,8 +363,12 @@ MODELS = ["all-MiniLM-L6", "llava-7b", "nomic-embed-text", "qwen-VL-7b", "llama-
 
 
 def model_pick(spark, sf):
-    m = spark.createDataFrame(list(enumerate(MODELS)), "pos int, id string")
-    return models.chat_model(m).select(F.lit("chat").alias("use"), "id").unionByName(models.vision_model(m).select(F.lit("vision").alias("use"), "id"))
+    """Every language as an endpoint that offers a model a source, the largest first: what is picked to chat and to see."""
+    offers = read(spark, sf, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
+    pos = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "source"))
+    name = F.get(F.array(*map(F.lit, MODELS)), F.pmod("d", F.lit(len(MODELS))).cast("int"))
+    m = offers.select("lang", pos.alias("pos"), F.concat(name, F.lit("-"), "source").alias("id"))
+    return models.chat_model(m, "lang").select("lang", F.lit("chat").alias("use"), "id").unionByName(models.vision_model(m, "lang").select("lang", F.lit("vision").alias("use"), "id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -348,12 +376,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_or": _bm25(OR, True),
     "bm25_phrase": _bm25(PHRASE),
     "bm25_tag": _bm25(OR, True, "fr"),
+    "bm25_blocks_and": _by_blocks(AND, False),
+    "bm25_blocks_or": _by_blocks(OR, True),
 }
 for _f in (
     clean_text, format_dispatch, path_exclude, markdown_sections, html_sections, chunk_documents, corpus_stats, term_df, vector_topk, vector_topk_tag, relevance_floor,
     rrf_fuse, hybrid_strict, hybrid_keyword_only, hybrid_answer_fallback, sources_rollup, status_totals, changed_files, prune_files, missing_embeddings, embed_cache_dedupe,
     remove_source_cascade, chunk_context, l2_normalize, quantize_int8, dequantize, softmax_rows, mean_pool_label, excerpt, fts_snippet, citations, prompt_assembly, mcp_render,
-    owner_longest_prefix, route_events, debounce_sessions, eta_ema, milestones, recall_at_k, model_pick,
+    owner_longest_prefix, batch_search, route_events, debounce_sessions, eta_ema, milestones, recall_at_k, model_pick,
 ):
     QUERIES[_f.__name__] = _f
 

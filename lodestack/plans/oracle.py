@@ -90,7 +90,7 @@ SELECT rel, hidden, excluded, lower(regexp_extract(rel, '(\\.[^./]*)$', 1)) IN (
 def build(q: dict[str, object]) -> dict[str, str]:
     """The SQL of every query that has any; q: the constants of the catalogue."""
     and_, or_, phrase, missing = q["AND"], q["OR"], q["PHRASE"], q["MISSING"]
-    names = ", ".join(f"({n}, '{m}')" for n, m in enumerate(q["MODELS"]))
+    names = ", ".join(f"'{m}'" for m in q["MODELS"])
     embeds, sees = "|".join(EMBEDS), "|".join(SEES)
     hints = "CASE " + " ".join(f"WHEN contains(lower(id), '{h}') THEN {n}" for n, h in enumerate(SEES)) + " END"
     places = ", ".join(f"strpos(f, '{w}')" for w in py_words(or_))
@@ -98,6 +98,18 @@ def build(q: dict[str, object]) -> dict[str, str]:
         "bm25_and": top_hits(and_),
         "bm25_or": top_hits(or_, True),
         "bm25_phrase": top_hits(phrase),
+        "bm25_blocks_and": top_hits(and_),
+        "bm25_blocks_or": top_hits(or_, True),
+        "batch_search": f"""WITH {TOK},
+w AS (SELECT item_id, regexp_extract_all(strip_accents(lower(w)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS ts FROM (SELECT item_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM benchmark)),
+a AS (SELECT item_id, ts, count(*) AS weight FROM w WHERE len(ts) > 0 GROUP BY item_id, ts),
+g AS (SELECT doc_id, pos, p.term, k.ts FROM p JOIN (SELECT DISTINCT ts, ts[1] AS head FROM a) k ON p.term = k.head),
+o AS (SELECT g.ts, g.doc_id, count(*) AS tf FROM g JOIN d USING (doc_id) WHERE d.ts[pos + 1 : pos + len(g.ts)] = g.ts GROUP BY g.ts, g.doc_id),
+i AS (SELECT ts, greatest(ln((any_value(st.n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM o, st GROUP BY ts),
+s AS (SELECT a.item_id, o.doc_id, sum(weight * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM a JOIN o ON o.ts = a.ts JOIN i ON i.ts = a.ts JOIN l ON l.doc_id = o.doc_id, st GROUP BY a.item_id, o.doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""",
         "bm25_tag": top_hits(or_, True, "fr"),
         "clean_text": f"WITH c AS (SELECT doc_id, regexp_replace({trim('text')}, '{JUNK}', '', 'g') AS text FROM documents) SELECT doc_id, text FROM c WHERE text <> ''",
         "format_dispatch": f"""WITH e AS (SELECT doc_id AS id, source || '/' || doc_id || '.' || lang AS path FROM documents
@@ -183,6 +195,7 @@ SELECT user_id, event_id, pct, tenth FROM m WHERE tenth > coalesce(before, -1)""
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM t),
 hit AS (SELECT rank, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS hit FROM r)
 SELECT k, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS recall FROM hit, (VALUES (1), (3), (10)) ks(k) WHERE rank <= k GROUP BY k""",
-        "model_pick": f"""WITH m(pos, id) AS (VALUES {names}), x AS (SELECT *, regexp_matches(lower(id), '{embeds}') AS e, regexp_matches(lower(id), '{sees}') AS s, {hints} AS h FROM m)
-SELECT 'chat' AS use, (SELECT id FROM x WHERE NOT e ORDER BY s, pos LIMIT 1) AS id UNION ALL SELECT 'vision', (SELECT id FROM x WHERE h IS NOT NULL ORDER BY h, pos LIMIT 1)""",
+        "model_pick": f"""WITH g AS (SELECT lang, source, min(doc_id) AS d, count(*) AS n FROM documents GROUP BY lang, source),
+m AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS pos, [{names}][d % {len(q["MODELS"])} + 1] || '-' || source AS id FROM g), x AS (SELECT lang, pos, id, regexp_matches(lower(id), '{embeds}') AS e, regexp_matches(lower(id), '{sees}') AS s, {hints} AS h FROM m)
+SELECT lang, 'chat' AS use, first(id ORDER BY s, pos) AS id FROM x WHERE NOT e GROUP BY lang UNION ALL SELECT lang, 'vision', first(id ORDER BY h, pos) FROM x WHERE h IS NOT NULL GROUP BY lang""",
     }

@@ -220,28 +220,35 @@ def _body(message) -> str:
     return _visible(text) if kind == "text/html" else text.replace("\r\n", "\n").strip(PY_SPACE)
 
 
+#: Longest line of a mailbox, in bytes.
+MAIL_LINE = 8 << 20
+
+
+def message_text(raw: bytes) -> str:
+    """Subject, sender and date of a message, then its body; a message that can't be parsed as it is."""
+    try:
+        message = email.message_from_bytes(raw, policy=email.policy.default)
+        head = [f"{name}: {message[name]}" for name in ("Subject", "From", "Date") if message[name]]
+        text = "\n".join(head) + "\n\n" + _body(message)
+    except Exception:
+        text = raw.decode("utf-8", "replace")
+    return text.strip(PY_SPACE)
+
+
 def mbox(data: bytes) -> list[Section]:
     """A section for each message, its place as page: subject, sender and date, then the body."""
     if not data.startswith(b"From "):
         raise ExtractError("the first line doesn't begin a message")
     messages: list[list[bytes]] = []
     for line in data.split(b"\n"):
+        if len(line) > MAIL_LINE:
+            raise ExtractError("a line is too long")
         if line.startswith(b"From "):
             messages.append([])
         else:
             messages[-1].append(re.sub(rb"^>(>*From )", rb"\1", line))
-    out = []
-    for place, lines in enumerate(messages, 1):
-        raw = b"\n".join(lines)
-        try:
-            message = email.message_from_bytes(raw, policy=email.policy.default)
-            head = [f"{name}: {message[name]}" for name in ("Subject", "From", "Date") if message[name]]
-            text = "\n".join(head) + "\n\n" + _body(message)
-        except Exception:  # a message that can't be parsed is kept as it is
-            text = raw.decode("utf-8", "replace")
-        if text := text.strip(PY_SPACE):
-            out.append(Section(text, place))
-    return out
+    texts = ((place, message_text(b"\n".join(lines))) for place, lines in enumerate(messages, 1))
+    return [Section(text, place) for place, text in texts if text]
 
 
 #: What reads PDF pages: (bytes) -> [(text, has an image)], or None where no library is installed.

@@ -141,20 +141,48 @@ def smoothed_rates(samples: DataFrame, key: str, ts: str, done: str) -> DataFram
     """(key, samples, rate) after a key's samples in order of ts: an exponential average of the units a second.
 
     The first interval's rate seeds it, as does any interval after a rate of 0;
-    intervals without time are passed over.
+    of samples at one time the one with the least done counts, and those
+    without a time only add to the number of samples.
+
+    Samples are dealt by (key, ts) into ranges, so that a key with most of them
+    is spread over tasks. As long as no rate is negative a range maps the rate
+    before it by a line, or from 0 to a value of its own; a second step takes
+    the few ranges of a key in order. A range with a negative rate, after which
+    the average may be 0, keeps its rates for that step.
     """
-    order = F.array_sort(F.collect_list(F.struct(micros(F.col(ts)).alias("t"), F.col(done).cast("double").alias("d"))))
-    state = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("double").alias("d"), F.lit(0.0).alias("r"))
-
-    def step(acc, x):
-        rate = (x["d"] - acc["d"]) / ((x["t"] - acc["t"]) / 1_000_000)
-        mixed = F.when(acc["r"] == 0, rate).otherwise(SMOOTHING * rate + (1 - SMOOTHING) * acc["r"])
-        r = F.when(acc["t"].isNull() | (x["t"] <= acc["t"]), acc["r"]).otherwise(mixed)
-        still = acc["t"].isNotNull() & (x["t"] <= acc["t"])
-        return F.struct(F.when(still, acc["t"]).otherwise(x["t"]).alias("t"), F.when(still, acc["d"]).otherwise(x["d"]).alias("d"), r.alias("r"))
-
-    rows = samples.groupBy(key).agg(order.alias("_s"))
-    return rows.select(key, F.size("_s").cast("long").alias("samples"), F.aggregate("_s", state, step)["r"].alias("rate"))
+    t, d = micros(F.col(ts)).alias("t"), F.col(done).cast("double").alias("d")
+    once = samples.select(key, t, d).groupBy(key, "t").agg(F.min("d").alias("d"), F.count("*").alias("n"))
+    dealt = once.repartitionByRange(key, "t").withColumn("range", F.spark_partition_id())
+    ranges = dealt.groupBy(key, "range").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "d")))).alias("s"))
+
+    def rate(before, after):
+        return (after["d"] - before["d"]) / ((after["t"] - before["t"]) / 1_000_000)
+
+    def step(r, x):
+        return F.when(r == 0, x).otherwise(SMOOTHING * x + (1 - SMOOTHING) * r)
+
+    s, rates = F.col("s"), F.col("rates")
+    inner = F.transform(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: rate(F.get(s, i), x))
+    maps = ranges.withColumn("rates", inner).select(
+        key,
+        "n",
+        F.get(s, F.lit(0)).alias("first"),
+        F.get(s, F.size(s) - 1).alias("last"),
+        F.aggregate(rates, F.lit(0.0), step).alias("of_zero"),
+        F.aggregate(rates, F.lit(0.0), lambda r, x: SMOOTHING * x + (1 - SMOOTHING) * r).alias("add"),
+        F.pow(F.lit(1 - SMOOTHING), F.size(rates)).alias("times"),
+        F.when(F.exists(rates, lambda x: x < 0), rates).alias("rates"),
+    )
+    one = F.when(F.col("first").isNotNull(), F.struct("first", "last", "of_zero", "add", "times", "rates"))
+    keys = maps.groupBy(key).agg(F.sum("n").alias("samples"), F.array_sort(F.collect_list(one)).alias("m"))
+
+    def over(acc, x):
+        r = F.when(acc["last"].isNull(), F.lit(0.0)).otherwise(step(acc["r"], rate(acc["last"], x["first"])))
+        by_map = F.when(r == 0, x["of_zero"]).otherwise(x["add"] + x["times"] * r)
+        return F.struct(x["last"].alias("last"), F.when(x["rates"].isNotNull(), F.aggregate(x["rates"], r, step)).otherwise(by_map).alias("r"))
+
+    nothing = F.struct(F.lit(None).cast("struct<t:bigint,d:double>").alias("last"), F.lit(0.0).alias("r"))
+    return keys.select(key, "samples", F.aggregate("m", nothing, over)["r"].alias("rate"))
 
 
 def milestones(snapshots: DataFrame, key: str, ts: str, done: str, total: str, *ties: str) -> DataFrame:

@@ -264,23 +264,55 @@ def test_an_index_of_the_first_schema_answers(spark, tmp_path):
     manifest["segments"]["postings"][0][1] += "-old"
     for key in ("schema", "backlog"):
         del manifest[key]
+    del manifest["segments"]["blocks"]
     log = tmp_path / "index/log/00000001.json"
     (tmp_path / "index/log/.00000001.json.crc").unlink(missing_ok=True)
     log.write_text(json.dumps(manifest))
     old = Engine(spark, str(tmp_path / "index"), HashedEmbedder(8))
     assert [tuple(r) for r in old.search("words").collect()] == before
     assert old.store.backlog(old.store.manifest()).count() == 1
+    assert old.pruned is None
     lifted = old.store.compact()
     assert lifted["schema"] == {"2": store.SCHEMA}
     assert [tuple(r) for r in old.search("words").collect()] == before
+    assert old.pruned.read == 1
+
+
+def test_searches_pass_over_blocks(spark, tmp_path, monkeypatch):
+    """The same hits as by all postings, with replaced files and tags, while most blocks aren't read."""
+    from lodestack.operators import keyword
+
+    monkeypatch.setattr(keyword, "FIRST", 3)
+    for tag in ("a", "b"):
+        (tmp_path / tag).mkdir()
+        for n in range(24):
+            (tmp_path / tag / f"{n}.txt").write_text("common " * (1 + n % 3) + "filler " * (5 + n * 7 % 50) + ("rare" if n % 20 == 3 else ""))
+    engine = Engine(spark, str(tmp_path / "index"), None)
+    engine.add(str(tmp_path / "a"), "a")
+    engine.add(str(tmp_path / "b"), "b")
+    for n in range(0, 24, 4):
+        (tmp_path / "a" / f"{n}.txt").write_text("common words in their place")
+    engine.add(str(tmp_path / "a"), "a")
+    asked = [("common", ""), ("common rare", ""), ("rare common filler", "b"), ("common filler", "a"), ("nothing common", "")]
+    rows = lambda q, tag: [(r["path"], r["seq"], round(r["score"], 9)) for r in engine.search(q, tag, limit=2).collect()]
+    by_blocks, passed = [], []
+    for q, tag in asked:
+        by_blocks.append(rows(q, tag))
+        passed.append(engine.pruned.passed)
+    monkeypatch.setattr(keyword, "single_terms", lambda q: None)
+    assert by_blocks == [rows(q, tag) for q, tag in asked]
+    assert sum(p > 0 for p in passed) >= 2
+    rate = engine.hit_rate([(q, ["a/0.txt"]) for q, tag in asked if not tag], 2)
+    expected = [q for (q, tag), found in zip(asked, by_blocks, strict=True) if not tag and not any(path.endswith("a/0.txt") for path, *_ in found)]
+    assert rate == (1 - len(expected) / 3, expected)
 
 
 def test_modes_and_the_second_leg(spark, tmp_path, monkeypatch):
     from lodestack.operators import keyword
 
     (root,) = _folders(tmp_path, "one")
-    jobs, bm25 = [], keyword.bm25
-    monkeypatch.setattr(keyword, "bm25", lambda *a, **k: jobs.append(a[3]) or bm25(*a, **k))
+    jobs, bm25 = [], keyword.best
+    monkeypatch.setattr(keyword, "best", lambda *a, **k: jobs.append(a[3]) or bm25(*a, **k))
     for embedder, empty_legs in ((None, {"": 2, "search": 2, "answer": 2}), (HashedEmbedder(64), {"": 1, "search": 1, "answer": 1})):
         engine = Engine(spark, str(tmp_path / f"index{len(jobs)}"), embedder)
         engine.add(root)

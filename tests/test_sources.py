@@ -173,3 +173,35 @@ def test_comments_in_settings():
     config = folder.parse_config("tag: 'it # is' # mine\nexclude: # these\n  - \"a #b/**\"\n  - c#d.txt # e\n")
     assert (config.tag, config.exclude) == ("it # is", ["a #b/**", "c#d.txt"])
     assert folder.parse_config("tag: don't # say").tag == "don't"
+
+
+def test_mailboxes_by_ranges(spark, tmp_path):
+    """Conversations as one mailbox, read in some fifty ranges: the whole-file reader's messages."""
+    from lodestack.sources import mailbox
+
+    from .conftest import SF
+
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").limit(600).collect()
+    mails = [f"From {r['role']} now\nSubject: {r['conv_id']}/{r['turn']}\nFrom: {r['role']}\n\n{r['text'] or ''}\n>From here\n" + ("line\n" * 2000 if n % 97 == 0 else "") for n, r in enumerate(turns)]
+    data = "".join(mails).encode() + b"From \xff\nContent-Type: text/plain\n\n\xe9 last, without an end"
+    (tmp_path / "a.mbox").write_bytes(data)
+    (tmp_path / "b.mbox").write_bytes(b"From x\n\nonly one")
+    (tmp_path / "c.mbox").write_bytes(b"no message\nFrom x\n\ny")
+    (tmp_path / "d.mbox").write_bytes(b"From x\n\n" + b"z" * (extract.MAIL_LINE + 1) + b"\nFrom y\n\nw")
+    (tmp_path / "e.mbox").write_bytes(b"")
+    got = mailbox.messages(spark, f"{tmp_path}/[bcde].mbox").collect()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(data) // 50))
+        got += mailbox.messages(spark, str(tmp_path / "a.mbox")).collect()
+        assert mailbox.fragments(spark, str(tmp_path / "a.mbox")).where("body is null").count() >= 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    of = lambda name: sorted((r["page"], r["text"]) for r in got if r["path"].endswith(name) and not r["error"])
+    assert of("a.mbox") == [(s.page, s.text) for s in extract.mbox(data)]
+    assert of("b.mbox") == [(1, "only one")]
+    assert {r["path"][-6]: r["error"] for r in got if r["error"]} == {"c": "the first line doesn't begin a message", "d": "a line is too long"}
+    for name in "cd":
+        with pytest.raises(extract.ExtractError):
+            extract.mbox((tmp_path / f"{name}.mbox").read_bytes())
+    assert of("c.mbox") == of("d.mbox") == of("e.mbox") == []

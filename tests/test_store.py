@@ -84,3 +84,37 @@ def test_owners(spark):
     paths = spark.createDataFrame([("/data/docs/a",), ("/data/docs2/a",), ("/data",), ("/x",)], "path string")
     roots = spark.createDataFrame([("/data",), ("/data/docs",), ("/data/docs",)], "root string")
     assert {r["path"]: r["root"] for r in store.owners(paths, roots).collect()} == {"/data/docs/a": "/data/docs", "/data/docs2/a": "/data", "/data": "/data", "/x": None}
+
+
+def test_blocks_and_batches_score_as_single_searches(spark):
+    """Block-pruned and batched keyword search against bm25() on whole documents, for several block sizes and thresholds."""
+    from lodestack.operators import keyword
+
+    from .conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id file_id", "doc_id chunk_id", "text")
+    postings = keyword.stored_postings(docs).cache()
+    stats = tuple(keyword.corpus_stats(keyword.lengths(docs)).select("n", "total").first())
+    shown = lambda df, k: [(r["chunk_id"], round(r["score"], 9)) for r in df.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(k).collect()]
+    first, ranges = keyword.FIRST, keyword.RANGES
+    passed = []
+    try:
+        for q, any_word in (("the erin of", False), ("ouen thand the", True), ("the the and", True)):
+            expected = shown(keyword.bm25(postings, None, q, any_word, stats=stats), 5)
+            for bits, keyword.FIRST, keyword.RANGES in ((60, 2, 256), (63, 4, 3), (64, 6, 256), (57, 32, 256)):
+                found = keyword.best(postings, keyword.blocks(postings, bits=bits), keyword.single_terms(q), any_word, stats, 5, bits=bits)
+                assert shown(found.scored, 5) == expected
+                passed.append(found.passed)
+    finally:
+        keyword.FIRST, keyword.RANGES = first, ranges
+    assert sum(p > 0 for p in passed) > 3
+    assert keyword.single_terms("of-the erin") is None
+    queries = ["the erin of", "of-the erin", "zzqq ouen", "zzqq", "the the"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    got = keyword.batch(postings, asked, stats, 4).collect()
+    for n, q in enumerate(queries):
+        own = sorted((r["rank"], r["chunk_id"], round(r["score"], 9)) for r in got if r["query_id"] == n)
+        assert [x[1:] for x in own] == shown(keyword.bm25(postings, None, q, True, stats=stats), 4)
+    strict = keyword.batch(postings, asked, stats, 4, strict_first=True).where("query_id = 0").orderBy("rank").collect()
+    assert [(r["chunk_id"], round(r["score"], 9)) for r in strict] == shown(keyword.bm25(postings, None, queries[0], stats=stats), 4)
+    postings.unpersist()

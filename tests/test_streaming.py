@@ -67,3 +67,36 @@ def test_milestones(spark):
     df = spark.createDataFrame([("p", n, n, 20) for n in range(1, 21)] + [("q", 1, 5, 0)], "k string, t int, d long, total long")
     got = [(r["tenth"], r["pct"]) for r in watch.milestones(df, "k", "t", "d", "total").orderBy("t").collect()]
     assert got == [(0, 5), *[(n, 10 * n) for n in range(1, 11)]]
+
+
+def test_rates_of_a_split_key(spark):
+    """A key with most samples lies in several ranges; negative rates and repeated times are as in a plain loop."""
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    rng, rows = random.Random(3), []
+    for key, n, falls in (("hot", 3000, False), ("falls", 400, True), ("one", 1, False), ("zero", 5, False)):
+        done = 0
+        for i in range(n):
+            done += 0 if key == "zero" else rng.choice([1, 2, -3]) if falls else rng.randint(0, 4)
+            rows.append((key, datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=i - i % 2 if i % 7 == 0 else i), float(done)))
+    rows += [("cancel", datetime(2024, 1, 1, 0, 0, s, tzinfo=timezone.utc), d) for s, d in ((0, 0.0), (1, 1.0), (2, -2.0), (3, 5.0), (4, 6.0))] + [("hot", None, 1.0)]
+
+    def plain(samples):
+        t, d, r = None, None, 0.0
+        for when, x in sorted(samples):
+            if t is not None and when > t:
+                rate = (x - d) / (when - t).total_seconds()
+                r = rate if r == 0 else watch.SMOOTHING * rate + (1 - watch.SMOOTHING) * r
+            if t is None or when > t:
+                t, d = when, x
+        return r
+
+    df = spark.createDataFrame(rows, "key string, ts timestamp, done double").repartition(5)
+    got = {r["key"]: r for r in watch.smoothed_rates(df, "key", "ts", "done").collect()}
+    for key in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == key]
+        assert got[key]["samples"] == len(own)
+        assert abs(got[key]["rate"] - plain([x for x in own if x[0]])) < 1e-9
+    ranges = df.repartitionByRange(4, "key", "ts").select("key", F.spark_partition_id().alias("p")).where("key = 'hot'").distinct().count()
+    assert ranges > 1
