@@ -30,8 +30,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.5, 0.5
 #: Words of a run, items of a block, words of half a window for the shortest class of items; each further class has items of up to WIDER times that.
 RUN, BLOCK, HALF, WIDER = 3, 2, 64, 4
-#: Most bytes of item texts in one index; more items are searched index by index.
-INDEX_BYTES = 32 << 20
+#: Most bytes of item texts in one index; more items are searched index by index. An index holds about 40 times its texts in Python's objects, so under 200 MB.
+INDEX_BYTES = 4 << 20
 #: Most cells of the table of group maxima.
 CELLS = 4 << 20
 _WORD = re.compile(r"\w+")

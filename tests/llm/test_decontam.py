@@ -1,5 +1,8 @@
 import random
+import tracemalloc
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -87,3 +90,20 @@ def test_shards_find_the_same(spark, bench):
     assert whole == parts
     clean, other = (sorted(r["doc_id"] for r in d.keep_clean(docs, items, n).collect()) for n in (d.INDEX_BYTES, 3000))
     assert clean == other == sorted({r["doc_id"] for r in docs.collect()} - {i for i, *_ in whole})
+
+
+def test_a_full_share_is_bounded_in_memory():
+    """An index over INDEX_BYTES of item texts, words of a Zipf-like vocabulary."""
+    rng = np.random.default_rng(7)
+    texts, size = [], 0
+    while size < d.INDEX_BYTES:
+        texts.append(" ".join(f"w{x}" for x in rng.zipf(1.3, 40) % 50_000))
+        size += len(texts[-1])
+    tracemalloc.start()
+    items = [d.Item(n, t) for n, t in enumerate(texts)]
+    df = Counter(w for i in items for w in set(i.words))
+    index = d.Index(items, len(items), 40.0, df)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(index.items) == len(texts)
+    assert held < 200 << 20
