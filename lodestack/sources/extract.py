@@ -12,17 +12,19 @@ import email.policy
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from html.parser import HTMLParser
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import FORMATS
-from ..functions.text import PY_SPACE
+from ..functions.text import PY_SPACE, strip_junk, trim_space
+from .layout import RUNS, Run, page_text
 
 #: Most bytes that a part of an archive may inflate to.
 PART_BYTES = 512 << 20
@@ -35,6 +37,7 @@ class Section:
     page: int = 0
     scan_skipped: bool = False
     scan_failed: bool = False
+    runs: Sequence[Run] = ()
 
 
 class ExtractError(ValueError):
@@ -251,16 +254,22 @@ def mbox(data: bytes) -> list[Section]:
     return [Section(text, place) for place, text in texts if text]
 
 
-#: What reads PDF pages: (bytes) -> [(text, has an image)], or None where no library is installed.
-PdfBackend = Callable[[bytes], list[tuple[str, bool]]]
+class Page(NamedTuple):
+    """A PDF page: its flat text, whether it has an image, and its positioned runs if they are known."""
+
+    text: str
+    image: bool = False
+    runs: Sequence[Run] = ()
+
+
+#: What reads PDF pages: (bytes) -> pages, or (text, image) pairs; None where no library is installed.
+PdfBackend = Callable[[bytes], list[Page | tuple[str, bool]]]
 #: What reads the text of a page's picture: (bytes, page) -> text. LookupError: none is at hand.
 Transcriber = Callable[[bytes, int], str]
 
 
-def page_text(page) -> str:
-    """A pypdf page's text: its positioned runs put together as lines and paragraphs, or its flat text where that gives nothing."""
-    from .layout import Run, assemble
-
+def pypdf_page(page) -> Page:
+    """A pypdf page with its runs."""
     runs: list[Run] = []
 
     def visit(text, cm, tm, font, size):
@@ -272,10 +281,7 @@ def page_text(page) -> str:
             runs.append(Run(part, x, x + 0.5 * height * len(part), top + 0.8 * height, top - 0.2 * height, height, str((font or {}).get("/BaseFont", ""))))
 
     flat = page.extract_text(visitor_text=visit) or ""
-    try:
-        return assemble(runs) or flat
-    except (ArithmeticError, AttributeError, LookupError, TypeError, ValueError):  # odd geometry
-        return flat
+    return Page(flat, bool(len(page.images)), runs)
 
 
 def pypdf_backend() -> PdfBackend | None:
@@ -288,13 +294,13 @@ def pypdf_backend() -> PdfBackend | None:
     def pages(data: bytes) -> list[tuple[str, bool]]:
         import pypdf
 
-        return [(page_text(p), bool(len(p.images))) for p in pypdf.PdfReader(io.BytesIO(data)).pages]
+        return [pypdf_page(p) for p in pypdf.PdfReader(io.BytesIO(data)).pages]
 
     return pages
 
 
 def pdf(data: bytes, backend: PdfBackend | None = None, transcribe: Transcriber | None = None) -> list[Section]:
-    """A section for every page, blank ones too. A page that is a picture is transcribed, or marked skipped or failed."""
+    """A section for every page, blank ones too, with the page's runs; extract_files() puts them together. A page that is a picture is transcribed, or marked skipped or failed."""
     backend = backend or pypdf_backend()
     if backend is None:
         raise ExtractError("no PDF backend is installed")
@@ -303,9 +309,9 @@ def pdf(data: bytes, backend: PdfBackend | None = None, transcribe: Transcriber
         pages = backend(data)
     except Exception as e:
         raise ExtractError(f"not a readable PDF: {e}") from e
-    for place, (text, image) in enumerate(pages, 1):
-        section = Section(text.strip(PY_SPACE), place)
-        if not section.text and image:
+    for place, page in enumerate((Page(*p) for p in pages), 1):
+        section = Section(page.text.strip(PY_SPACE), place, runs=page.runs)
+        if page.image and not section.text and not any(r.text.strip(PY_SPACE) for r in page.runs):
             try:
                 seen = transcribe(data, place).strip(PY_SPACE) if transcribe else None
                 section = Section(seen or "", place, scan_skipped=seen is None, scan_failed=seen == "")
@@ -341,14 +347,16 @@ def extract_files(files: DataFrame, key: str = "path", content: str = "content",
     transcribe: what reads PDF pages and their pictures; sent to the tasks.
     """
     kind, name = dict(files.dtypes)[key], name or key
-    item = pa.struct([("text", pa.string()), ("page", pa.int32()), ("scan_skipped", pa.bool_()), ("scan_failed", pa.bool_())])
+    run = pa.struct([(c, pa.string() if c in ("text", "font_name") else pa.float64()) for c in Run._fields])
+    item = pa.struct([("text", pa.string()), ("page", pa.int32()), ("scan_skipped", pa.bool_()), ("scan_failed", pa.bool_()), ("runs", pa.list_(run))])
 
     def work(batches):
         for batch in batches:
             sections, errors = [], []
             for path, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 try:
-                    sections.append([vars(s) for s in extract(str(path), data.as_py() or b"", backend, transcribe)])
+                    found = extract(str(path), data.as_py() or b"", backend, transcribe)
+                    sections.append([vars(s) | {"runs": [r._asdict() for r in s.runs]} for s in found])
                     errors.append(None)
                 except ExtractError as e:
                     sections.append([])
@@ -356,7 +364,14 @@ def extract_files(files: DataFrame, key: str = "path", content: str = "content",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sections, pa.list_(item)), pa.array(errors, pa.string())], names=[key, "sections", "error"])
 
     rows = files.select(F.col(key).alias("_key"), F.col(name).cast("string").alias("_name"), F.col(content).cast("binary").alias("_content"))
-    return rows.mapInArrow(work, f"{key} {kind}, sections {SECTIONS}, error string")
+    found = rows.mapInArrow(work, f"{key} {kind}, sections {SECTIONS[:-2]}, runs: {RUNS}>>, error string")
+
+    def text(s: Column) -> Column:
+        built = strip_junk(trim_space(page_text(s["runs"])))
+        return F.when(F.size(s["runs"]) == 0, s["text"]).otherwise(F.coalesce(F.nullif(built, F.lit("")), s["text"]))
+
+    section = lambda s: F.struct(text(s).alias("text"), *[s[c].alias(c) for c in ("page", "scan_skipped", "scan_failed")])
+    return found.select(key, F.transform("sections", section).alias("sections"), "error")
 
 
 def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -367,8 +382,6 @@ def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     from pyspark.sql.window import Window
 
-    from ..functions.text import trim_space
-
     lines = docs.select(F.col(key), F.posexplode(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")).alias("n", "line"))
     bare = F.regexp_replace("line", r"^ +", "")
     so_far = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)

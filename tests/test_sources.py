@@ -5,9 +5,9 @@ import io
 import sys
 import types
 import zipfile
-from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.sources import extract, folder, layout
 
@@ -104,16 +104,52 @@ def test_junk():
 
 
 def run(text, left, right, top, bottom, size=10.0, font="Sans"):
-    return SimpleNamespace(text=text, left=left, right=right, top=top, bottom=bottom, font_size=size, font_name=font)
+    return layout.Run(text, float(left), float(right), float(top), float(bottom), size, font)
 
 
-def test_layout():
+def assemble(spark, *pages):
+    df = spark.createDataFrame([(n, p) for n, p in enumerate(pages)], f"n int, runs {layout.RUNS}")
+    return [r["text"] for r in df.orderBy("n").select(layout.page_text(F.col("runs")).alias("text")).collect()]
+
+
+def test_layout(spark):
     rows = [
         run("world", 30, 50, 100, 90), run("hello", 0, 20, 100, 90), run("next", 0, 20, 89, 79),
         run("far", 0, 20, 50, 40), run("• item", 0, 20, 39, 29), run("x", 0, 5, 39, 29, font="FontAwesome5"), run("Big", 0, 20, 28, 10, 18.0), run("column", 60, 90, 100, 90),
     ]
-    assert layout.assemble(rows) == "hello world\nnext\n\nfar\n\n• item\n\nBig\n\ncolumn"
-    assert layout.assemble([]) == ""
+    assert assemble(spark, rows, [], [run("  ", 0, 5, 10, 0)], None) == ["hello world\nnext\n\nfar\n\n• item\n\nBig\n\ncolumn", "", "", None]
+
+
+def test_layout_rules(spark):
+    """Each limit on both sides: overlap, blanks, gap, rise, font size, marks of items; odd boxes and missing values."""
+    a = run("a", 0, 5, 100, 90)
+    cases = [
+        ([a, run("b", 6, 9, 95, 85)], "a\nb"),  # half of the box isn't enough for a line, nor for a rise
+        ([a, run("b", 6, 9, 96, 86)], "ab"),
+        ([a, run("b", 6.1, 9, 100, 90)], "a b"),
+        ([a, run(" b", 8, 9, 100, 90)], "a b"),
+        ([a, run("b", 0, 5, 82, 72)], "a\nb"),
+        ([a, run("b", 0, 5, 81, 71)], "a\n\nb"),
+        ([a, run("b", 0, 5, 200, 190)], "a\n\nb"),
+        ([a, run("b", 0, 5, 89, 79, 11.5)], "a\nb"),
+        ([a, run("b", 0, 5, 89, 79, 11.6)], "a\n\nb"),
+        ([a, run("b", 0, 5, 89, 79, 8.6)], "a\n\nb"),
+        ([a, run("b", 0, 5, 89, 79, 0.0)], "a\nb"),
+        ([a, run("- b", 0, 5, 89, 79)], "a\n\n- b"),
+        ([a, run("-b", 0, 5, 89, 79)], "a\n-b"),
+        ([a, run("b", 0, 5, 90, 90)], "a\nb"),
+        ([run("b", 3, 4, 50, 50), run("a", 3, 4, 50, 50)], "b\na"),  # boxes without a height
+        ([run("tie", 0, 1, 9, 0), run("d", 0, 1, 9, 0, font=None)], "tied"),
+    ]
+    got = assemble(spark, *[c for c, _ in cases])
+    assert [(n, g) for n, g in enumerate(got)] == [(n, w) for n, (_, w) in enumerate(cases)]
+
+
+def test_layout_of_a_full_page(spark):
+    """Three thousand lines of two runs each, and one line of three thousand runs."""
+    tall = [run(f"{w}{n}", 10 * k, 10 * k + 5, -11 * n, -11 * n - 10) for n in range(3000) for k, w in enumerate("ab")]
+    wide = [run(f"w{n}", 10 * n, 10 * n + 5, 10, 0) for n in reversed(range(3000))]
+    assert assemble(spark, tall, wide) == ["\n".join(f"a{n} b{n}" for n in range(3000)), " ".join(f"w{n}" for n in range(3000))]
 
 
 def test_layout_frames(spark):
@@ -161,8 +197,10 @@ def test_pdf_runs_become_lines(monkeypatch, spark):
     module.__spec__ = importlib.machinery.ModuleSpec("pypdf", None)
     module.PdfReader = lambda f: types.SimpleNamespace(pages=pages)
     monkeypatch.setitem(sys.modules, "pypdf", module)
-    got = extract.pdf(b"", extract.pypdf_backend(), lambda data, page: f"seen on {page}")
-    assert [(s.text, s.page) for s in got] == [("Hello world\nagain\n\nNext part", 1), ("seen on 2", 2), ("flat", 3)]
+    read = extract.pypdf_backend()(b"")
+    file = spark.createDataFrame([("a.pdf", b"x")], "path string, content binary")
+    (row,) = extract.extract_files(file, backend=lambda data: read, transcribe=lambda data, page: f"seen on {page}").collect()
+    assert [(s["text"], s["page"]) for s in row["sections"]] == [("Hello world\nagain\n\nNext part", 1), ("seen on 2", 2), ("flat", 3)]
 
     files = spark.createDataFrame([("a.pdf", b"x"), ("b.txt", b"plain")], "path string, content binary")
     rows = extract.extract_files(files, backend=lambda data: [("", True), ("text", False)], transcribe=lambda data, page: "picture").collect()
