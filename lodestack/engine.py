@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import __version__
-from .functions import chunking, embed, passages, text
-from .functions.vectors import top_vectors
+from .functions import chunking, embed, passages, text, vectors
 from .operators import fusion, keyword, store
 from .sources import extract, folder
 from .streaming import watch
@@ -58,6 +57,8 @@ class Engine:
         self.pdf_backend, self.transcribe = pdf_backend, transcribe
         #: Of the last keyword search by blocks.
         self.pruned: keyword.Pruned | None = None
+        #: Of the last vector search by codes.
+        self.compared: vectors.Pruned | None = None
 
     def add(self, root: str, tag: str | None = None, exclude: list[str] | None = None) -> Stats:
         """Index a folder or a file, or bring it up to date: changed files are read again, vanished ones leave.
@@ -120,6 +121,7 @@ class Engine:
             if waiting is not None:
                 missing = missing.unionByName(waiting)
             added["embeddings"], added["embedding_cache"], added["meta"] = store.embed_missing(missing, old["embedding_cache"], old["meta"], embed.embedder_for(self.embedder), self.embedder.model)
+            added["codes"] = vectors.codes(added["embeddings"], "chunk_id", "vector", "file_id")
         failed, changed, total, n_chunks = read.where("error is not null").count(), fresh.count(), scanned.select("path").count(), chunks.count()
         if changed > failed or not dead.isEmpty() or manifest["version"] == 0 or (self.embedder is not None and waiting is not None):
             manifest = self.store.commit(added, dead, manifest)
@@ -230,6 +232,13 @@ class Engine:
         rows = sorted(rows, key=lambda r: (-r[4], r[0], r[1]))[:limit]
         return self.spark.createDataFrame([(*r[:3], shown(r[3]), *r[3:]) for r in rows], "path string, seq int, page int, snippet string, text string, score double")
 
+    def _near(self, tables: dict[str, DataFrame], manifest: dict, query: list[float], k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The k nearest vectors, by their codes; vectors from before codes were stored are all compared until a merge."""
+        if {n for n, _ in manifest["segments"]["embeddings"]} != {n for n, _ in manifest["segments"]["codes"]}:
+            return vectors.top_vectors(keep(tables["embeddings"]), query, k, "chunk_id", "vector")
+        self.compared = vectors.top_vectors_by_codes(tables["codes"], tables["embeddings"], query, k, "chunk_id", "vector", keep)
+        return self.compared.scored
+
     def search(self, query: str, tag: str = "", limit: int | None = 10, answer: bool = False, mode: str = "") -> DataFrame:
         """The best hits (path, seq, page, snippet, text, score); for an answer, the nearest ones if none are relevant.
 
@@ -255,7 +264,10 @@ class Engine:
         tagged = tables["files"].join(tables["sources"].where(F.col("tag") == tag).select("source_id"), "source_id", "left_semi").select("file_id") if tag else None
 
         def hits(scored: DataFrame, shown) -> DataFrame:
-            return self._hits(tables, scored if tagged is None else scored.join(tagged, "file_id", "left_semi"), limit, shown)
+            return self._hits(tables, keep(scored), limit, shown)
+
+        def keep(rows: DataFrame) -> DataFrame:
+            return rows if tagged is None else rows.join(tagged, "file_id", "left_semi")
 
         def by_keyword(any_word: bool) -> DataFrame:
             shown = lambda t: passages.snippet(t, query)
@@ -265,7 +277,6 @@ class Engine:
             if manifest["dead"]:  # blocks count the chunks of replaced files too
                 alive = tables["postings"].where(F.col("term").isin(sorted(terms))).groupBy("term").agg(F.count_distinct("chunk_id").alias("n"))
                 df = {r["term"]: r["n"] for r in alive.collect()}
-            keep = (lambda x: x) if tagged is None else (lambda x: x.join(tagged, "file_id", "left_semi"))
             self.pruned = keyword.best(tables["postings"], tables["blocks"], terms, any_word, stats, TIES * limit, df, keep)
             return hits(self.pruned.scored, shown)
 
@@ -278,8 +289,7 @@ class Engine:
             except OSError:
                 failed = True
             else:
-                vectors = tables["embeddings"] if tagged is None else tables["embeddings"].join(tagged, "file_id", "left_semi")
-                vector = self._hits(tables, top_vectors(vectors, q, limit, "chunk_id", "vector"), limit, lambda t: passages.excerpt(t, words))
+                vector = self._hits(tables, self._near(tables, manifest, q, limit, keep), limit, lambda t: passages.excerpt(t, words))
         # The legs are rows at hand, so that looking at them is no job.
         empty = all_words.isEmpty() and (vector is None or answer and vector.isEmpty())
         any_word = by_keyword(True) if len(words) > 1 and empty and not failed else None

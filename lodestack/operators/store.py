@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import vectors
 from . import keyword
 
 #: The tables and their columns.
@@ -179,10 +180,11 @@ STORED = {
     "postings": "file_id long, chunk_id long, pos int, term string, dl long",
     "blocks": "term string, block long, n long, most long, least long",
     "embeddings": "file_id long, chunk_id long, vector array<float>",
+    "codes": f"file_id long, chunk_id long, {vectors.CODES}",
     "embedding_cache": TABLES["embedding_cache"],
 }
 #: Small tables that a commit writes anew; the cache and the postings' blocks only grow; the others grow by segments and shrink by dead files.
-SMALL, BY_FILE = ("sources", "meta"), ("files", "chunks", "lengths", "postings", "embeddings")
+SMALL, BY_FILE = ("sources", "meta"), ("files", "chunks", "lengths", "postings", "embeddings", "codes")
 #: Segments of a table after which small ones are merged.
 SEGMENTS = 32
 #: The layout of segments: 1 had postings without dl and no backlog, 2 has both.
@@ -192,7 +194,7 @@ PATIENCE, PAUSE = 5.0, 0.2
 #: Keys of the small tables, by which two writers' changes are merged.
 KEYS = {"sources": "path", "meta": "key"}
 #: How a table's segments are laid out, so that a search reads few row groups.
-ORDER = {"postings": ("term", "chunk_id", "pos"), "blocks": ("term", "block"), "chunks": ("chunk_id",), "files": ("file_id",), "embedding_cache": ("sha",)}
+ORDER = {"postings": ("term", "chunk_id", "pos"), "blocks": ("term", "block"), "chunks": ("chunk_id",), "files": ("file_id",), "embeddings": ("chunk_id",), "codes": ("chunk_id",), "embedding_cache": ("sha",)}
 
 
 class Conflict(RuntimeError):
@@ -418,6 +420,8 @@ class Store:
         rows = {t: self._table(t, part) for t in STORED if t not in SMALL and part["segments"][t]}
         if "postings" in rows:
             rows["blocks"] = keyword.blocks(rows["postings"])
+        if "embeddings" in rows:
+            rows["codes"] = vectors.codes(rows["embeddings"], "chunk_id", "vector", "file_id")
         return self.commit(rows, based_on=manifest, replacing=numbers)
 
     def compact(self) -> dict:

@@ -143,6 +143,13 @@ def vector_topk(spark, sf):
     return found.select("vec_id", F.round("score", 5).alias("score"))
 
 
+def vector_topk_codes(spark, sf):
+    """The same by int8 codes: only vectors whose bounds reach the best ones are compared exactly."""
+    e = read(spark, sf, "embeddings")
+    found = vectors.top_vectors_by_codes(vectors.codes(e), e, _query_vector(spark, sf), K)
+    return found.scored.select("vec_id", F.round("score", 5).alias("score"))
+
+
 def vector_topk_tag(spark, sf):
     e = read(spark, sf, "embeddings")
     found = vectors.top_vectors(e.where("label = 3"), _query_vector(spark, sf), K)

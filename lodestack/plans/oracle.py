@@ -142,6 +142,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS
         "corpus_stats": f"WITH {TOK} SELECT n, CAST(total AS BIGINT) AS total, round(avgdl, 6) AS avgdl FROM st",
         "term_df": f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term",
         "vector_topk": f"WITH {NEAR}, t AS (SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, round(score, 5) AS score FROM t",
+        "vector_topk_codes": f"WITH {NEAR}, t AS (SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, round(score, 5) AS score FROM t",
         "vector_topk_tag": f"WITH {NEAR}, t AS (SELECT vec_id, score FROM v WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, round(score, 5) AS score FROM t",
         "relevance_floor": f"WITH {NEAR}, t AS (SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 50) SELECT vec_id, round(score, 5) AS score FROM t WHERE score >= 0.25 AND score >= 0.5 * (SELECT max(score) FROM t)",
         "rrf_fuse": f"WITH {legs(and_)}, {fused('nv')}",

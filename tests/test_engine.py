@@ -404,3 +404,39 @@ def test_sources_keep_their_ids(spark):
     new = spark.createDataFrame([(9, "/a", ""), (3, "/c", "v")], "source_id long, path string, tag string").withColumn("added_at", F.current_timestamp())
     got = {r["path"]: (r["source_id"], r["tag"]) for r in store.upsert_sources(old, new).collect()}
     assert got == {"/a": (1, ""), "/b": (2, "u"), "/c": (3, "v")}
+
+
+def test_vector_searches_read_few_vectors(spark, tmp_path):
+    """Hits by codes are those of all vectors, with replaced files and tags, also after a merge, and on an index from before codes."""
+    for tag in ("a", "b"):
+        (tmp_path / tag).mkdir()
+        for n in range(20):
+            (tmp_path / tag / f"{n}.txt").write_text(f"words{n} of file{n % 7} in {tag} " + "filler " * (n % 5))
+    engine = Engine(spark, str(tmp_path / "index"), HashedEmbedder(64))
+    engine.add(str(tmp_path / "a"), "a")
+    engine.add(str(tmp_path / "b"), "b")
+    (tmp_path / "a" / "3.txt").write_text("words4 of file4 in its place")
+    engine.add(str(tmp_path / "a"), "a")
+    asked = [("words4 file4", ""), ("file2 filler", "a"), ("words9 of file2", "b")]
+
+    def rows():
+        return [[(r["path"], r["seq"], round(r["score"], 6)) for r in engine.search(q, tag, limit=3).collect()] for q, tag in asked]
+
+    def without_codes():
+        manifest = store.Store.manifest
+        try:
+            store.Store.manifest = lambda self: (m := manifest(self)) | {"segments": m["segments"] | {"codes": []}}
+            engine.compared = None
+            found = rows()
+            assert engine.compared is None
+        finally:
+            store.Store.manifest = manifest
+        return found
+
+    by_codes = rows()
+    assert engine.compared.by_ids and engine.compared.read < 20
+    assert by_codes == without_codes() and all(by_codes)
+    engine.store.compact()
+    assert rows() == by_codes
+    codes, live = (engine.store.read()[t].select("chunk_id").distinct() for t in ("codes", "embeddings"))
+    assert codes.count() == live.count() == codes.join(live, "chunk_id").count()

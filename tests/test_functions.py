@@ -1,5 +1,6 @@
 """Pure functions: chunks, passages, globs, tokens."""
 
+import math
 import re
 import sqlite3
 import time
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestack.functions import chunking, embed, models, passages, text
+from lodestack.functions import chunking, embed, models, passages, text, vectors
 from lodestack.functions.paths import glob_to_regex
 
 from .conftest import SF
@@ -263,3 +264,42 @@ def test_highlight(spark):
     assert words == ["the", "needle"]
     got = spark.createDataFrame([("a Needle",)], "t string").select(text.highlighted(F.col("t"), words)).first()[0]
     assert got == "a <mark>Needle</mark>"
+
+
+def test_vectors_by_codes(spark, monkeypatch):
+    """The rows of the plain scan, also with ties, odd lengths, zero and infinite vectors, by ids and by a join."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3000, 24))
+    rows = [(n, [float(x) for x in v]) for n, v in enumerate(base.astype(np.float32))]
+    rows += [(5000 + n, rows[n % 3][1]) for n in range(40)] + [(6000, [0.0] * 24), (6001, [1.0]), (6002, []), (6003, None), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    coded = vectors.codes(df)
+    plain = lambda d, q, k: [(r["vec_id"], round(r["score"], 4)) for r in vectors.top_vectors(d, q, k).collect()]
+    for q, k in ((rows[0][1], 10), (rows[1][1], 60), (rows[7][1], 1), ([0.0] * 24, 5), ([1.0], 3), (rows[9][1], 5000)):
+        for few in (vectors.FEW, 0):
+            monkeypatch.setattr(vectors, "FEW", few)
+            found = vectors.top_vectors_by_codes(coded, df, q, k)
+            assert [(r["vec_id"], round(r["score"], 4)) for r in found.scored.collect()] == plain(df, q, k)
+            assert found.by_ids == (found.read <= few)
+            if k <= 60 and any(q) and len(q) > 1:
+                assert found.read <= k + 60
+        monkeypatch.undo()
+    some = df.where("vec_id % 2 = 0")
+    found = vectors.top_vectors_by_codes(coded, df, rows[0][1], 10, keep=lambda x: x.where("vec_id % 2 = 0"))
+    assert [(r["vec_id"], round(r["score"], 4)) for r in found.scored.collect()] == plain(some, rows[0][1], 10)
+    assert vectors.top_vectors_by_codes(coded, df, rows[0][1], 0).scored.count() == 0
+    assert vectors.top_vectors_by_codes(coded.limit(0), df.limit(0), rows[0][1], 3).scored.count() == 0
+
+
+def test_bounds_of_codes_hold(spark):
+    """Every score lies between its bounds; what has no finite components has none and is always compared."""
+    rng = np.random.default_rng(6)
+    rows = [(n, [float(x) for x in np.float32(rng.normal(size=16) * 10.0 ** rng.integers(-20, 20))]) for n in range(500)] + [(900, [1.0] * 15 + [float("inf")]), (901, [None, *[1.0] * 15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = np.float32(rng.normal(size=16))
+    got = {r["vec_id"]: r for r in vectors._bounds(vectors.codes(df), q, 10**6, "vec_id").collect()}
+    for n, v in rows[:500]:
+        products = np.asarray(v, np.float64) * q.astype(np.float64)
+        for exact in (float(products.sum()), math.fsum(products)):
+            assert got[n]["low"] <= exact <= got[n]["high"]
+    assert all((got[n]["low"], got[n]["high"]) == (float("-inf"), float("inf")) for n in (900, 901))
