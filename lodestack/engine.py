@@ -73,20 +73,27 @@ class Engine:
         root, tag, exclude = self._settings(root, tag, exclude)
         return self._index(root, tag, folder.scan_files(self.spark, root, files, exclude), False)
 
-    def watch(self, root: str, checkpoint: str, tag: str | None = None, exclude: list[str] | None = None, interval: str = "1 second"):
-        """A running query that keeps a root fresh. Written files are indexed by themselves; anything else brings the root up to date."""
-        base, _, patterns = self._settings(root, tag, exclude)
+    def watch(self, root: str, checkpoint: str, tag: str | None = None, exclude: list[str] | None = None, interval: str = "1 second", quiet_ms: int = watch.QUIET_MS):
+        """A running query that keeps a root fresh; watch.pending() of it is the number of jobs that wait.
 
-        def take(changes: DataFrame) -> None:
-            rel = F.substr("path", F.lit(len(base) + 2))
-            job = watch.route(F.col("op"), F.lit(False), text.base_name(F.col("path")) == folder.CONFIG_NAME, F.col("path"), rel, patterns)
-            jobs = changes.select(job.alias("job"), "path").where("job is not null").distinct()
-            if not jobs.where("job = 'reconcile'").isEmpty():
+        A file that was written is indexed by itself once it has been quiet for
+        quiet_ms, anything else brings the root up to date once nothing of that
+        kind has happened for as long. Jobs that are due together are one pass.
+        """
+        base, _, patterns = self._settings(root, tag, exclude)
+        path = F.col("path")
+        job = watch.route(F.col("op"), F.lit(False), text.base_name(path) == folder.CONFIG_NAME, path, F.substr("path", F.lit(len(base) + 2)), patterns)
+        routed = watch.changes(self.spark, base).select(job.alias("job"), "path").where("job is not null")
+        events = routed.select(F.when(F.col("job") == "file", path).otherwise(F.lit(base)).alias("key"), "job")
+
+        def take(due: DataFrame) -> None:
+            jobs = due.collect()  # no more than the change source has listed
+            if any(r["job"] == "reconcile" for r in jobs):
                 self.add(root, tag, exclude)
-            elif written := [r["path"] for r in jobs.collect()]:  # no more than the change source has listed
-                self.add_files(root, written, tag, exclude)
+            elif jobs:
+                self.add_files(root, [r["key"] for r in jobs], tag, exclude)
 
-        return watch.keep_fresh(self.spark, base, checkpoint, take, interval)
+        return watch.run(watch.quiet_jobs(events, quiet_ms), checkpoint, take, interval)
 
     def _settings(self, root: str, tag: str | None, exclude: list[str] | None) -> tuple[str, str, list[str]]:
         root = _root(root)

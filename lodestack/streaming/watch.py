@@ -14,6 +14,8 @@ from ..functions import paths
 
 #: Smoothing of progress rates: the newest sample's weight.
 SMOOTHING = 0.25
+#: Milliseconds without a change after which a file is indexed.
+QUIET_MS = 500
 
 
 def route(op: Column, is_dir: Column, is_config: Column, path: Column, rel: Column, exclude: list[str]) -> Column:
@@ -53,7 +55,7 @@ def debounced_stream(events: DataFrame, key: str, ts: str, gap: str, lateness: s
     return out.select(key, "first_ts", "last_ts", "events", *[F.col(f"_c.{c}").alias(c) for c in carried])
 
 
-def quiet_jobs(events: DataFrame, quiet_ms: int = 500) -> DataFrame:
+def quiet_jobs(events: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     """(key, job) of a stream of (key, job): the first job of a key, once the key has been quiet for a while.
 
     Processing-time timers in Spark's keyed state; every event of the key sets the timer anew.
@@ -134,7 +136,23 @@ def changes(spark: SparkSession, root: str) -> DataFrame:
 
 def keep_fresh(spark: SparkSession, root: str, checkpoint: str, index: Callable[[DataFrame], None], interval: str = "1 second"):
     """A running query that hands every batch of changes under root to index(); the checkpoint makes it resume."""
-    return changes(spark, root).writeStream.foreachBatch(lambda df, _: None if df.isEmpty() else index(df)).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    return run(changes(spark, root), checkpoint, lambda df: None if df.isEmpty() else index(df), interval)
+
+
+def run(stream: DataFrame, checkpoint: str, take: Callable[[DataFrame], None], interval: str = "1 second"):
+    """A running query that hands every batch of a stream to take()."""
+    return stream.writeStream.foreachBatch(lambda df, _: take(df)).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def pending(query) -> int:
+    """Jobs that wait in a running query over quiet_jobs(), or are being done by its present batch.
+
+    A waiting job is a row of the query's state, so the number is right after a
+    restart too. It is that of the last finished batch: jobs whose batch is
+    still at work count.
+    """
+    progress = query.lastProgress
+    return sum(s["numRowsTotal"] for s in progress["stateOperators"]) if progress else 0
 
 
 def smoothed_rates(samples: DataFrame, key: str, ts: str, done: str) -> DataFrame:

@@ -440,3 +440,38 @@ def test_vector_searches_read_few_vectors(spark, tmp_path):
     assert rows() == by_codes
     codes, live = (engine.store.read()[t].select("chunk_id").distinct() for t in ("codes", "embeddings"))
     assert codes.count() == live.count() == codes.join(live, "chunk_id").count()
+
+
+def test_writes_in_a_row_are_one_pass(spark, tmp_path, monkeypatch):
+    """Ten writes within the quiet time make one pass over the file; the gauge rises, and falls when it is done."""
+    from lodestack.streaming import watch
+
+    (root,) = _folders(tmp_path, "busy")
+    engine, passes = Engine(spark, str(tmp_path / "index"), None), []
+    engine.add(root)
+    monkeypatch.setattr(engine, "add_files", lambda r, files, *a: passes.append(sorted(files)))
+    monkeypatch.setattr(engine, "add", lambda *a: passes.append("all"))
+    query = engine.watch(root, str(tmp_path / "checkpoint"), interval="300 milliseconds", quiet_ms=6000)
+
+    def until(done, seconds=60):
+        end = time.time() + seconds
+        while time.time() < end and not done():
+            time.sleep(0.1)
+        assert done()
+
+    try:
+        until(lambda: passes and watch.pending(query) == 0)
+        passes.clear()
+        for n in range(10):
+            with open(f"{root}/new.txt", "a") as f:
+                f.write(f"line {n}\n")
+            time.sleep(0.5)
+        until(lambda: watch.pending(query) == 1)
+        assert passes == []
+        until(lambda: passes and watch.pending(query) == 0)
+        assert passes == [[f"{root}/new.txt"]]
+        os.remove(f"{root}/new.txt")
+        until(lambda: len(passes) == 2)
+        assert passes[1] == "all"
+    finally:
+        query.stop()
