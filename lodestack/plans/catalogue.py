@@ -387,7 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_blocks_or": _by_blocks(OR, True),
 }
 for _f in (
-    clean_text, format_dispatch, path_exclude, markdown_sections, html_sections, chunk_documents, corpus_stats, term_df, vector_topk, vector_topk_tag, relevance_floor,
+    clean_text, format_dispatch, path_exclude, markdown_sections, html_sections, chunk_documents, corpus_stats, term_df, vector_topk, vector_topk_codes, vector_topk_tag, relevance_floor,
     rrf_fuse, hybrid_strict, hybrid_keyword_only, hybrid_answer_fallback, sources_rollup, status_totals, changed_files, prune_files, missing_embeddings, embed_cache_dedupe,
     remove_source_cascade, chunk_context, l2_normalize, quantize_int8, dequantize, softmax_rows, mean_pool_label, excerpt, fts_snippet, citations, prompt_assembly, mcp_render,
     owner_longest_prefix, batch_search, route_events, debounce_sessions, eta_ema, milestones, recall_at_k, model_pick,
