@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.phrases import Best, Phrases, pieces
 from ..functions.text import PY_SPACE, py_terms, py_words, terms
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Leading bits of a chunk's id that make its block; blocks that are scored first, besides one for each wanted hit; ranges of blocks that are pushed to a scan.
 BLOCK_BITS, FIRST, RANGES = 22, 32, 256
+#: Phrases of queries that a scan holds at once in the driver and in every task; more take another scan.
+SHARE = 1 << 20
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -228,6 +234,12 @@ def best(postings: DataFrame, blocks: DataFrame, wanted: dict[str, int], any_wor
     return Pruned(scored(reaching), many, total - many)
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, phrase, weight): the distinct phrases of each query, their terms joined by blanks, and how often each occurs in it."""
+    words = queries.select("query_id", F.explode(F.filter(F.split("query", f"[{PY_SPACE}]+"), lambda w: w != "")).alias("w")).select("query_id", terms(F.col("w")).alias("ts")).where(F.size("ts") > 0)
+    return words.groupBy("query_id", F.array_join("ts", " ").alias("phrase")).agg(F.count("*").alias("weight"))
+
+
 def batch(postings: DataFrame, queries: DataFrame, stats: tuple[int, int], k: int, key: str = "chunk_id", strict_first: bool = False) -> DataFrame:
     """(query_id, key, score, rank): the k best chunks of each of many queries (query_id, query), ties by key.
 
@@ -236,8 +248,7 @@ def batch(postings: DataFrame, queries: DataFrame, stats: tuple[int, int], k: in
     hits; with strict_first only those with all of them, where there are any.
     """
     n, avgdl = stats[0], stats[1] / max(1, stats[0])
-    words = queries.select("query_id", F.explode(F.filter(F.split("query", f"[{PY_SPACE}]+"), lambda w: w != "")).alias("w")).select("query_id", terms(F.col("w")).alias("ts")).where(F.size("ts") > 0)
-    asked = words.groupBy("query_id", F.array_join("ts", " ").alias("phrase")).agg(F.count("*").alias("weight"))
+    asked = _asked(queries)
     asked = asked.withColumn("_all", F.count("*").over(Window.partitionBy("query_id")))
     table = asked.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("i", "term"), F.size(F.split("phrase", " ")).alias("size"))
     carried = [c for c in ("file_id", "dl") if c in postings.columns]
@@ -256,6 +267,66 @@ def batch(postings: DataFrame, queries: DataFrame, stats: tuple[int, int], k: in
     return ranked.select("query_id", *kept, "score", "rank")
 
 
+def batch_scan(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """batch() without an index: (query_id, key, score, rank) from the texts themselves, in two scans.
+
+    The first scan counts the chunks of every phrase, and chunks and tokens; in
+    the second every task scores its chunks for all queries and hands on the k
+    best ones of each. Neither postings nor scores are shuffled: what is, grows
+    with the queries and the tasks, not with the texts. Queries beyond SHARE
+    phrases are dealt over shares, each with scans of its own. Rows without a key
+    count in the statistics, but are never found.
+    """
+    asked = _asked(queries)
+    shares = 1 + asked.count() // SHARE
+    rows = chunks.select(F.col(key).alias("key"), terms(F.coalesce(text, F.lit(""))).alias("terms"))
+    parts = [_scan_share(rows, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(shares)) == i), k) for i in range(shares)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select("query_id", F.col("key").alias(key), "score", "rank")
+
+
+def _scan_share(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, score, rank) for a share of the queries, as (query_id, phrase, weight), over rows (key, terms)."""
+    held = asked.collect()
+    ids = list(dict.fromkeys(r["query_id"] for r in held))
+    number = {q: i for i, q in enumerate(ids)}
+    phrase = {p: i for i, p in enumerate(sorted({r["phrase"] for r in held}))}
+    known = Phrases([tuple(p.split(" ")) for p in phrase])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(phrase), np.int64), 0, 0
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            keys, lists = piece.columns
+            n, total = n + len(lists), total + len(lists.flatten())
+            df += np.bincount(known.counts(lists.filter(keys.is_valid()))[1], minlength=len(phrase))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, total]))], names=["phrase", "n"])
+
+    df = {r["phrase"]: r["n"] for r in rows.mapInArrow(count, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n")).collect()}
+    n = df.get(-1, 0)
+    avgdl = df.get(-2, 0) / max(1, n)
+    weights = [(i, number[r["query_id"]], r["weight"] * idf_value(n, df[i])) for r in held if (i := phrase[r["phrase"]]) in df]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(weights, len(phrase), len(ids), k)
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            keys, lists = piece.columns
+            at, i, tf = known.counts(lists)
+            best.add(keys, at, i, _impact(tf, np.asarray(lists.value_lengths(), np.int64)[at], avgdl))
+        found = best.rows()
+        if found is not None:
+            yield from found.combine_chunks().to_batches()
+
+    kept = rows.where(F.col("key").isNotNull())
+    schema = T.StructType([T.StructField("query", T.LongType()), kept.schema["key"], T.StructField("score", T.DoubleType()), T.StructField("order", T.LongType())])
+    ranked = kept.mapInArrow(score, schema).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("order"), "key"))).where(F.col("rank") <= k)
+    # As many rows as the share has queries.
+    named = rows.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", asked.schema["query_id"].dataType)]))
+    return ranked.join(F.broadcast(named), "query").select("query_id", "key", "score", "rank")
+
+
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     """The k best rows by score, then by the given columns."""
     return scored.orderBy(F.desc("score"), *ties).limit(k)

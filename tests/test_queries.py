@@ -87,3 +87,30 @@ def test_chunks_by_parts(spark):
             assert got[i] == [(0, 0, body)]
         assert all(len(c[2].encode()) <= chunking.BUDGET for c in got[i])
         assert [c[0] for c in got[i]] == list(range(len(got[i])))
+
+
+def test_many_queries_shuffle_less_than_the_texts(spark, tmp_path):
+    """batch_search on copies of documents, in files enough for all cores: its SQL's rows, and what is shuffled stays far below the texts."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    copies = docs.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1000).drop("copy")
+    copies.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")  # a part for each file
+    try:
+        oracle.check(spark, c, str(tmp_path), catalogue.QUERIES["batch_search"], catalogue.ORACLE["batch_search"])
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    size = c.execute("select sum(strlen(text)) from documents").fetchone()[0]
+    assert 0 < shuffled() - before < size / 4

@@ -118,3 +118,48 @@ def test_blocks_and_batches_score_as_single_searches(spark):
     strict = keyword.batch(postings, asked, stats, 4, strict_first=True).where("query_id = 0").orderBy("rank").collect()
     assert [(r["chunk_id"], round(r["score"], 9)) for r in strict] == shown(keyword.bm25(postings, None, queries[0], stats=stats), 4)
     postings.unpersist()
+
+
+def test_scanned_batches_by_plain_counts(spark, monkeypatch):
+    """batch_scan() against counts in Python: phrases that share beginnings and overlap themselves, copies, nulls, shares and small pieces."""
+    import random
+    from collections import Counter
+
+    from lodestack.functions import phrases, text
+    from lodestack.operators import keyword
+
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices("a b c d".split(), k=draw.randrange(30))) for _ in range(80)]
+    texts += [None, "", "a a a a a", "e", "b-a " * 700, *texts[:30]]
+    rows = [(*r,) for r in enumerate(texts)] + [(None, "a b c d zz")]
+    asked = [(i, " ".join("-".join(draw.choices("a b c d".split(), k=draw.randrange(1, 4))) for _ in range(3))) for i in range(12)]
+    asked += [(20, "a-a a-a-a a a"), (21, "zz e"), (22, "zz"), (23, " - "), (24, None), (25, "E")]
+    split = [(d, (t or "").split(" ") if "-" not in (t or "") else text.py_terms(t)) for d, t in rows]
+    split = [(d, [t for t in ts if t]) for d, ts in split]
+    n, avgdl = len(split), sum(len(ts) for _, ts in split) / len(split)
+
+    def tf(ts, p):
+        return sum(tuple(ts[i : i + len(p)]) == p for i in range(len(ts)))
+
+    expected = set()
+    for q, query in asked:
+        scores = Counter()
+        for p, weight in (keyword.phrases(query) if (query or "").strip() else {}).items():
+            tfs = {d: (c, len(ts)) for d, ts in split if d is not None and (c := tf(ts, p))}
+            for d, (c, dl) in tfs.items():
+                scores[d] += weight * keyword.idf_value(n, len(tfs)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / avgdl))
+        best = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+        expected |= {(q, d, round(s, 7), r) for r, (d, s) in enumerate(best, 1)}
+    assert len(expected) > 60
+    docs = spark.createDataFrame(rows, "doc int, t string")
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    for share, tokens, cells in ((1 << 20, 1 << 20, 1 << 20), (10, 50, 40), (1 << 20, 1, 1)):
+        monkeypatch.setattr(keyword, "SHARE", share)
+        monkeypatch.setattr(phrases, "TOKENS", tokens)
+        monkeypatch.setattr(phrases, "CELLS", cells)
+        got = keyword.batch_scan(docs.repartition(3), queries, 5, "doc", "t")
+        assert got.schema["doc"].dataType.simpleString() == "int"
+        assert {(r["query_id"], r["doc"], round(r["score"], 7), r["rank"]) for r in got.collect()} == expected
+    monkeypatch.undo()
+    assert keyword.batch_scan(docs.limit(0), queries, 5, "doc", "t").count() == 0
+    assert keyword.batch_scan(docs, queries.limit(0), 5, "doc", "t").count() == 0
