@@ -252,11 +252,14 @@ def batch(postings: DataFrame, queries: DataFrame, stats: tuple[int, int], k: in
     asked = asked.withColumn("_all", F.count("*").over(Window.partitionBy("query_id")))
     table = asked.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("i", "term"), F.size(F.split("phrase", " ")).alias("size"))
     carried = [c for c in ("file_id", "dl") if c in postings.columns]
-    votes = postings.where(F.col(key).isNotNull()).join(table, "term").groupBy("phrase", "size", key, *carried, (F.col("pos") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("votes"))
+    # Dealt by chunk once, so that counts, and scores for all queries, are taken where a chunk's postings lie.
+    dealt = postings.where(F.col(key).isNotNull()).join(table, "term").repartition(key)
+    votes = dealt.groupBy("phrase", "size", key, *carried, (F.col("pos") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("votes"))
     found = votes.where("votes = size").groupBy("phrase", key, *carried).agg(F.count("*").alias("tf"))
     df = found.groupBy("phrase").agg(F.count("tf").alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    parts = found.join(asked.join(df, "phrase").withColumn("_w", idf * F.col("weight")), "phrase")
+    # As many rows as the queries have phrases.
+    parts = found.join(F.broadcast(asked.join(df, "phrase").withColumn("_w", idf * F.col("weight"))), "phrase")
     kept = [key, *(c for c in carried if c != "dl")]
     scored = parts.groupBy("query_id", *kept).agg(F.sum(F.col("_w") * _impact(F.col("tf"), F.col("dl"), avgdl)).alias("score"), (F.count("*") == F.max("_all")).alias("_strict"))
     # Sums of copies may differ in their last bits.

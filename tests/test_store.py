@@ -163,3 +163,26 @@ def test_scanned_batches_by_plain_counts(spark, monkeypatch):
     monkeypatch.undo()
     assert keyword.batch_scan(docs.limit(0), queries, 5, "doc", "t").count() == 0
     assert keyword.batch_scan(docs, queries.limit(0), 5, "doc", "t").count() == 0
+
+
+def test_batches_deal_postings_once(spark):
+    """batch() over postings shuffles about what matches, by chunk, and not scores for each query and chunk."""
+    from lodestack.operators import keyword
+
+    from .conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id file_id", "doc_id chunk_id", "text")
+    postings = keyword.stored_postings(docs).cache()
+    stats = tuple(keyword.corpus_stats(keyword.lengths(docs)).select("n", "total").first())
+    queries = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id query_id", "text query")
+    context, n = spark.sparkContext._jsc.sc(), postings.count()
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    assert keyword.batch(postings, queries, stats, 3).count() == 3 * queries.count()
+    postings.unpersist()
+    # 11 bytes a posting; 32 with a shuffle for each grouping.
+    assert shuffled() - before < 16 * n
